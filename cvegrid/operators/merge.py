@@ -33,9 +33,9 @@ def _merge(current: DataFrame, incoming: DataFrame, keys: list[str], rules: dict
         if name in keys:
             columns.append(F.col(name))
         elif name in rules:
-            columns.append(rules[name](old, new).cast(field.dataType).alias(name))
+            columns.append(rules[name](old, new).cast(field.dataType.simpleString()).alias(name))
         elif name in incoming.columns:
-            value = F.when(new.isNotNull(), new[name].cast(field.dataType)).otherwise(old[name])
+            value = F.when(new.isNotNull(), new[name].cast(field.dataType.simpleString())).otherwise(old[name])
             columns.append(value.alias(name))
         else:
             columns.append(old[name].alias(name))

@@ -30,6 +30,11 @@ def severity(prefix: str = "") -> Column:
     return F.coalesce(F.col(f"{prefix}cvss_v31_score"), F.col(f"{prefix}cvss_v2_score"))
 
 
+def mean(column: Column) -> Column:
+    """Mean of decimals from their exact sum, so it does not depend on the order of rows."""
+    return F.try_divide(F.sum(column).cast("double"), F.count(column))
+
+
 def members(frame: DataFrame, *columns: str) -> DataFrame:
     """One row per distinct weakness of a row."""
     return frame.select(*columns, F.explode(F.array_distinct("cwes")).alias("cwe_id"))
@@ -233,7 +238,7 @@ def _weakness_sums(rows: DataFrame) -> DataFrame:
     """Count and mean v3.1 score per weakness, summed before any join so no id is hot."""
     return members(rows, "cvss_v31_score").groupBy("cwe_id").agg(
         F.count("*").alias("cve_count"),
-        F.avg(F.col("cvss_v31_score").cast("double")).alias("avg_cvss"),
+        mean(F.col("cvss_v31_score")).alias("avg_cvss"),
     )
 
 
@@ -334,20 +339,25 @@ def filtered_counts(c: Catalog) -> DataFrame:
     )
 
 
-def _discrete_percentiles(column: str, points: dict[str, float]) -> list[Column]:
-    return [
-        F.expr(f"percentile_disc({point}) WITHIN GROUP (ORDER BY {column})").cast("double").alias(name)
-        for name, point in points.items()
-    ]
+def _discrete_percentiles(column: str, points: dict[str, float]) -> Column:
+    """Several discrete percentiles from one aggregate buffer, as a struct.
+
+    The buffer counts distinct values; both columns it is used on are decimals with a fixed
+    number of possible values, so it does not grow with the rows.
+    """
+    wanted = ", ".join(str(p) for p in points.values())
+    found = F.expr(f"percentile_disc(array({wanted})) WITHIN GROUP (ORDER BY {column})")
+    return F.struct(*[F.get(found, F.lit(i)).cast("double").alias(name) for i, name in enumerate(points)])
 
 
 def calibration_percentiles(c: Catalog) -> DataFrame:
+    points = _discrete_percentiles("risk_score", {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999})
     return c.risk.agg(
-        *_discrete_percentiles("risk_score", {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}),
+        points.alias("points"),
         F.min("risk_score").alias("min_score"),
         F.max("risk_score").alias("max_score"),
         F.max(F.when(~F.col("kev_listed"), F.col("risk_score"))).alias("max_not_listed"),
-    )
+    ).select("points.*", "min_score", "max_score", "max_not_listed")
 
 
 def freshness(c: Catalog) -> DataFrame:
@@ -360,7 +370,7 @@ def freshness(c: Catalog) -> DataFrame:
 
 
 def component_means(c: Catalog) -> DataFrame:
-    return c.risk.agg(*[F.avg(F.col(name).cast("double")).alias(name) for name in COMPONENTS])
+    return c.risk.agg(*[mean(F.col(name)).alias(name) for name in COMPONENTS])
 
 
 def top_vendors(c: Catalog, limit: int = 5) -> DataFrame:
@@ -381,8 +391,8 @@ def _listed_scores(c: Catalog) -> DataFrame:
 
 
 def ransomware_compare(c: Catalog) -> DataFrame:
-    mean = F.avg(F.col("cvss_v31_score").cast("double"))
-    return _listed_scores(c).groupBy("ransomware").agg(F.count("*").alias("entries"), mean.alias("avg_cvss"))
+    average = mean(F.col("cvss_v31_score")).alias("avg_cvss")
+    return _listed_scores(c).groupBy("ransomware").agg(F.count("*").alias("entries"), average)
 
 
 def severity_distribution(c: Catalog) -> DataFrame:
@@ -409,10 +419,9 @@ def widest_products(c: Catalog, limit: int = 10) -> DataFrame:
 
 def weakness_by_avg_cvss(c: Catalog, limit: int = 10) -> DataFrame:
     scored = c.nvd.where(F.col("cvss_v31_score").isNotNull())
-    mean = F.round("avg_cvss", 6)
     return (
         _named(_weakness_sums(scored), c)
-        .withColumn("avg_cvss", mean)
+        .withColumn("avg_cvss", F.round("avg_cvss", 6))
         .orderBy(F.col("avg_cvss").desc(), "cwe_id")
         .limit(limit)
     )
@@ -444,9 +453,7 @@ def exploitation_vs_listing(c: Catalog) -> DataFrame:
 
 def severity_coverage(c: Catalog) -> DataFrame:
     v31, v2 = F.col("cvss_v31_score").isNotNull(), F.col("cvss_v2_score").isNotNull()
-    kind = F.when(v31, "v3.1").when(v2, "v2 only").otherwise("neither").alias("coverage")
     counts = c.nvd.agg(F.count("*").alias("total"), F.count_if(v31).alias("v31"), F.count_if(~v31 & v2).alias("v2_only"))
-    del kind
     rows = F.expr(
         "stack(3, 'v3.1', v31, total, 'v2 only', v2_only, total, 'neither', total - v31 - v2_only, total)"
         " AS (coverage, cve_count, total)"
@@ -472,13 +479,14 @@ def likelihood_distribution(c: Catalog) -> DataFrame:
     def at_least(value: str) -> Column:
         return F.count_if(F.col("probability") >= F.lit(value).cast("decimal(6,5)"))
 
+    points = _discrete_percentiles("probability", {"median": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999})
     return c.epss.agg(
-        *_discrete_percentiles("probability", {"median": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}),
+        points.alias("points"),
         F.min("probability").alias("min_probability"),
         F.max("probability").alias("max_probability"),
         at_least("0.5").alias("at_least_half"),
         at_least("0.1").alias("at_least_tenth"),
-    )
+    ).select("points.*", "min_probability", "max_probability", "at_least_half", "at_least_tenth")
 
 
 def weakness_occurrences(c: Catalog) -> DataFrame:
@@ -505,7 +513,7 @@ def count_at_score(c: Catalog, score: int = 10) -> DataFrame:
 
 
 def avg_score(c: Catalog) -> DataFrame:
-    return c.nvd.agg(F.avg(severity().cast("double")).alias("avg_cvss"))
+    return c.nvd.agg(mean(severity()).alias("avg_cvss"))
 
 
 def frequent_weaknesses_all(c: Catalog, limit: int = 10) -> DataFrame:
@@ -514,8 +522,7 @@ def frequent_weaknesses_all(c: Catalog, limit: int = 10) -> DataFrame:
 
 
 def ransomware_avg_score(c: Catalog) -> DataFrame:
-    mean = F.avg(F.col("cvss_v31_score").cast("double"))
-    return _listed_scores(c).where("ransomware").agg(mean.alias("avg_cvss"))
+    return _listed_scores(c).where("ransomware").agg(mean(F.col("cvss_v31_score")).alias("avg_cvss"))
 
 
 def critical_memory_corruption(c: Catalog, label: str = "Memory corruption") -> DataFrame:
