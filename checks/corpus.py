@@ -103,21 +103,37 @@ BASE = [
     "'CVE-' || year(o_orderdate) || '-' || (o_orderkey + 10000) AS cve_id",
 ]
 
-V31 = f"(CASE WHEN k % 10 < 6 THEN {tenths(37)} END)"
-V2 = f"(CASE WHEN k % 10 BETWEEN 4 AND 8 THEN {tenths(53)} END)"
-SEVERITY = (
-    f"(CASE WHEN {V31} >= 9 THEN 'CRITICAL' WHEN {V31} >= 7 THEN 'HIGH' "
-    f"WHEN {V31} >= 4 THEN 'MEDIUM' WHEN {V31} IS NOT NULL THEN 'LOW' END)"
-)
-V2_SEVERITY = f"(CASE WHEN {V2} >= 7 THEN 'HIGH' WHEN {V2} >= 4 THEN 'MEDIUM' WHEN {V2} IS NOT NULL THEN 'LOW' END)"
-VECTOR = f"(CASE WHEN {V31} IS NOT NULL THEN 'CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:' || {pick('k % 3', ('N', 'L', 'H'))} END)"
-CWE_A = pick("k % 10", WEAKNESS_CYCLE)
-CWE_B = pick("k % 7", WEAKNESS_CYCLE[:7])
-EXPLOITATION = f"(CASE WHEN k % 2 = 0 THEN {pick('k % 3', ('none', 'poc', 'active'))} END)"
-AUTOMATABLE = f"(CASE WHEN k % 2 = 0 THEN {pick('k % 5 % 2', ('yes', 'no'))} END)"
-IMPACT = f"(CASE WHEN k % 2 = 0 THEN {pick('k % 7 % 2', ('total', 'partial'))} END)"
-MODIFIED = "(d + CAST(k % 400 AS INT))"
-DESCRIPTION = "('Flaw number ' || k || ' in vendor-' || (k % 40) || ' gear, triage class ' || lower(pri))"
+_V31 = f"(CASE WHEN k % 10 < 6 THEN {tenths(37)} END)"
+_V2 = f"(CASE WHEN k % 10 BETWEEN 4 AND 8 THEN {tenths(53)} END)"
+
+
+def _even(options: str) -> str:
+    return f"CASE WHEN k % 2 = 0 THEN {options} END"
+
+
+# Attributes of a vulnerability, each a column before anything uses it.
+DETAIL = [
+    "*",
+    f"{_V31} AS v31",
+    f"{_V2} AS v2",
+    f"{pick('k % 10', WEAKNESS_CYCLE)} AS cwe_a",
+    f"{pick('k % 7', WEAKNESS_CYCLE[:7])} AS cwe_b",
+    f"{_even(pick('k % 3', ('none', 'poc', 'active')))} AS exploitation",
+    f"{_even(pick('k % 5 % 2', ('yes', 'no')))} AS automatable",
+    f"{_even(pick('k % 7 % 2', ('total', 'partial')))} AS impact",
+    "(d + CAST(k % 400 AS INT)) AS modified",
+    "'vendor-' || (k % 40) AS vendor",
+    "'Flaw number ' || k || ' in vendor-' || (k % 40) || ' gear, triage class ' || lower(pri) AS prose",
+    f"{pick('k % 4', ('T23:30:00.000-08:00', 'T00:15:00Z', 'T12:00:00.000', 'T06:45:10.123'))} AS clock",
+]
+MORE_DETAIL = [
+    "*",
+    "CASE WHEN v31 >= 9 THEN 'CRITICAL' WHEN v31 >= 7 THEN 'HIGH' WHEN v31 >= 4 THEN 'MEDIUM' "
+    "WHEN v31 IS NOT NULL THEN 'LOW' END AS v31_severity",
+    "CASE WHEN v2 >= 7 THEN 'HIGH' WHEN v2 >= 4 THEN 'MEDIUM' WHEN v2 IS NOT NULL THEN 'LOW' END AS v2_severity",
+    "CASE WHEN v31 IS NOT NULL THEN 'CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:' || "
+    f"{pick('k % 3', ('N', 'L', 'H'))} END AS v31_vector",
+]
 
 IN_NVD = "k % 97 <> 0"
 IN_KEV = "(k % 29 = 0 OR k % 97 = 0)"
@@ -126,7 +142,7 @@ IN_SECOND_PUBLICATION = "(k % 21 <> 0 AND k % 5 <> 0)"
 
 
 def product_name(i: int) -> str:
-    return f"('cpe:2.3:a:vendor-' || (k % 40) || ':item-{i}:' || (k % 9))"
+    return f"('cpe:2.3:a:' || vendor || ':item-{i}:' || (k % 9))"
 
 
 def reference_url(i: int) -> str:
@@ -134,26 +150,25 @@ def reference_url(i: int) -> str:
 
 
 def nvd_columns(dialect: Dialect) -> list[str]:
-    a, b = CWE_A, CWE_B
     products = dialect.array(*[product_name(i) for i in (1, 2, 3)])
     urls = dialect.array(*[reference_url(i) for i in range(1, 11)])
     return [
         "cve_id",
-        f"{DESCRIPTION} AS description",
-        f"{V31} AS cvss_v31_score",
-        f"{SEVERITY} AS cvss_v31_severity",
-        f"{VECTOR} AS cvss_v31_vector",
-        f"{V2} AS cvss_v2_score",
-        f"{V2_SEVERITY} AS cvss_v2_severity",
-        f"CASE WHEN k % 11 = 0 THEN {dialect.no_strings()} WHEN k % 3 = 0 THEN {dialect.array(a, b)} "
-        f"ELSE {dialect.array(a)} END AS cwes",
+        "prose AS description",
+        "v31 AS cvss_v31_score",
+        "v31_severity AS cvss_v31_severity",
+        "v31_vector AS cvss_v31_vector",
+        "v2 AS cvss_v2_score",
+        "v2_severity AS cvss_v2_severity",
+        f"CASE WHEN k % 11 = 0 THEN {dialect.no_strings()} WHEN k % 3 = 0 THEN {dialect.array('cwe_a', 'cwe_b')} "
+        f"ELSE {dialect.array('cwe_a')} END AS cwes",
         f"{dialect.first_n(products, 'k % 4')} AS affected_products",
         f"{dialect.first_n(urls, 'least(k % 13, 10)')} AS reference_urls",
         "d AS published",
-        f"{MODIFIED} AS last_modified",
-        f"{EXPLOITATION} AS ssvc_exploitation",
-        f"{AUTOMATABLE} AS ssvc_automatable",
-        f"{IMPACT} AS ssvc_technical_impact",
+        "modified AS last_modified",
+        "exploitation AS ssvc_exploitation",
+        "automatable AS ssvc_automatable",
+        "impact AS ssvc_technical_impact",
     ]
 
 
@@ -202,11 +217,6 @@ def epss_columns() -> list[str]:
 
 # -- raw JSON in the shape of the upstream API ------------------------------------------
 
-def _timestamp(day: str) -> str:
-    clock = pick("k % 4", ("T23:30:00.000-08:00", "T00:15:00Z", "T12:00:00.000", "T06:45:10.123"))
-    return f"({day} || {clock})"
-
-
 def raw_json() -> str:
     """One record as JSON text, built by concatenation so both engines write the same bytes.
 
@@ -215,36 +225,36 @@ def raw_json() -> str:
     automatable words, non-vulnerable matches, blank and repeated vendor names.
     """
     v31_entry = (
-        f"'{{\"source\":\"primary\",\"cvssData\":{{\"version\":\"3.1\",\"baseScore\":' || {V31} || "
-        f"',\"baseSeverity\":\"' || {SEVERITY} || '\",\"vectorString\":\"' || {VECTOR} || '\"}}}}'"
+        f"'{{\"source\":\"primary\",\"cvssData\":{{\"version\":\"3.1\",\"baseScore\":' || v31 || "
+        f"',\"baseSeverity\":\"' || v31_severity || '\",\"vectorString\":\"' || v31_vector || '\"}}}}'"
     )
     v31_decoy = "',{\"source\":\"secondary\",\"cvssData\":{\"baseScore\":1.1,\"baseSeverity\":\"LOW\",\"vectorString\":\"x\"}}'"
     v31_block = (
-        f"(CASE WHEN {V31} IS NULL THEN '' ELSE '\"cvssMetricV31\":[' || {v31_entry} || "
+        f"(CASE WHEN v31 IS NULL THEN '' ELSE '\"cvssMetricV31\":[' || {v31_entry} || "
         f"(CASE WHEN k % 5 = 0 THEN {v31_decoy} ELSE '' END) || '],' END)"
     )
     v2_block = (
-        f"(CASE WHEN {V2} IS NULL THEN '' ELSE '\"cvssMetricV2\":[{{\"baseSeverity\":\"' || {V2_SEVERITY} || "
-        f"'\",\"cvssData\":{{\"baseScore\":' || {V2} || '}}}}],' END)"
+        f"(CASE WHEN v2 IS NULL THEN '' ELSE '\"cvssMetricV2\":[{{\"baseSeverity\":\"' || v2_severity || "
+        f"'\",\"cvssData\":{{\"baseScore\":' || v2 || '}}}}],' END)"
     )
     automatable = (
-        f"(CASE WHEN k % 12 = 0 AND {AUTOMATABLE} = 'yes' THEN 'rapid' "
-        f"WHEN k % 12 = 0 AND {AUTOMATABLE} = 'no' THEN 'slow' ELSE {AUTOMATABLE} END)"
+        f"(CASE WHEN k % 12 = 0 AND automatable = 'yes' THEN 'rapid' "
+        f"WHEN k % 12 = 0 AND automatable = 'no' THEN 'slow' ELSE automatable END)"
     )
     ssvc_block = (
-        f"(CASE WHEN {EXPLOITATION} IS NULL THEN '' ELSE '\"ssvcV203\":[{{\"source\":\"adp\",\"ssvcData\":"
+        f"(CASE WHEN exploitation IS NULL THEN '' ELSE '\"ssvcV203\":[{{\"source\":\"adp\",\"ssvcData\":"
         f"{{\"version\":\"2.0.3\",\"options\":[' || "
         f"(CASE WHEN k % 14 = 0 THEN '\"stray\",' ELSE '' END) || "
         f"(CASE WHEN k % 10 = 0 THEN '{{\"exploitation\":\"none\"}},' ELSE '' END) || "
-        f"'{{\"exploitation\":\"' || {EXPLOITATION} || '\"}},{{\"automatable\":\"' || {automatable} || "
-        f"'\"}},{{\"technicalImpact\":\"' || {IMPACT} || '\"}}]}}}}],' END)"
+        f"'{{\"exploitation\":\"' || exploitation || '\"}},{{\"automatable\":\"' || {automatable} || "
+        f"'\"}},{{\"technicalImpact\":\"' || impact || '\"}}]}}}}],' END)"
     )
     english = "'{{\"lang\":\"en\",\"value\":\"' || {0} || '\"}}'"
     weaknesses = (
         "(CASE WHEN k % 11 = 0 THEN '' ELSE '{\"type\":\"Primary\",\"description\":[' || "
-        + english.format(CWE_A)
+        + english.format("cwe_a")
         + " || ',{\"lang\":\"fr\",\"value\":\"CWE-0\"}]}' || (CASE WHEN k % 3 = 0 THEN ',{\"type\":\"Secondary\",\"description\":[' || "
-        + english.format(CWE_B)
+        + english.format("cwe_b")
         + " || ']}' ELSE '' END) END)"
     )
     matches = repeated(
@@ -259,16 +269,16 @@ def raw_json() -> str:
         "k % 7",
         6,
         lambda i: (
-            f"('{{\"vendor\":\" vendor-' || (k % 40) || '\",\"product\":\"' || "
+            f"('{{\"vendor\":\" ' || vendor || '\",\"product\":\"' || "
             f"{pick(f'(k + {i}) % 4', ('alpha', ' ', 'beta ', 'alpha'))} || '\"}}')"
         ),
     )
     status = pick("k % 4", ("Analyzed", "Modified", "Rejected", "Awaiting Analysis"))
     return (
-        f"'{{\"id\":\"' || cve_id || '\",\"published\":\"' || {_timestamp('d')} || '\",\"lastModified\":\"' || "
-        f"{_timestamp(MODIFIED)} || '\",\"vulnStatus\":\"' || {status} || "
+        f"'{{\"id\":\"' || cve_id || '\",\"published\":\"' || d || clock || '\",\"lastModified\":\"' || "
+        f"modified || clock || '\",\"vulnStatus\":\"' || {status} || "
         f"'\",\"descriptions\":[{{\"lang\":\"es\",\"value\":\"texto ' || k || '\"}},{{\"lang\":\"en\",\"value\":\"' || "
-        f"{DESCRIPTION} || '\"}}],\"metrics\":{{' || {v31_block} || {v2_block} || {ssvc_block} || "
+        f"prose || '\"}}],\"metrics\":{{' || {v31_block} || {v2_block} || {ssvc_block} || "
         f"'\"other\":[]}},\"weaknesses\":[' || {weaknesses} || '],\"configurations\":[' || {configurations} || "
         f"'],\"references\":[' || {references} || '],\"affected\":[{{\"source\":\"cna\",\"affectedData\":[' || "
         f"{affected} || ']}}]}}'"
@@ -304,8 +314,12 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*BASE)
 
 
+def detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir).where(IN_NVD).selectExpr(*DETAIL).selectExpr(*MORE_DETAIL)
+
+
 def nvd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base(spark, sf_dir).where(IN_NVD).selectExpr(*nvd_columns(SPARK))
+    return detailed(spark, sf_dir).selectExpr(*nvd_columns(SPARK))
 
 
 def kev(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,8 +343,31 @@ def cwe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unionByName(written).withColumn("url", F.expr(WEAKNESS_URL))
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when the files are too few to occupy them."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base(spark, sf_dir).where(IN_NVD).selectExpr(*raw_columns())
+    """Records as JSON text; writing and parsing them is most of the work of their queries."""
+    rows = spread(base(spark, sf_dir).where(IN_NVD))
+    return rows.selectExpr(*DETAIL).selectExpr(*MORE_DETAIL).selectExpr(*raw_columns())
+
+
+# The moments a record carries, on the clock it is written with.
+FEED_MOMENTS = [
+    "CAST((d || substring(clock, 1, 9)) AS {0}) AS published_at",
+    "CAST((modified || substring(clock, 1, 9)) AS {0}) AS modified_at",
+]
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shaped rows with their moments, as a landed feed holds them."""
+    moments = [m.format("TIMESTAMP_NTZ") for m in FEED_MOMENTS]
+    return detailed(spark, sf_dir).selectExpr(
+        *nvd_columns(SPARK), *moments, "CAST(NULL AS ARRAY<FLOAT>) AS embedding"
+    )
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:

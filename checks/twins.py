@@ -54,7 +54,9 @@ def _factor(key: str) -> str:
 
 RELATIONS = {
     "base": f"SELECT {', '.join(corpus.BASE)} FROM orders",
-    "nvd_vulnerabilities": _select(corpus.nvd_columns(DUCKDB), corpus.IN_NVD),
+    "detailed": f"""SELECT {', '.join(corpus.MORE_DETAIL)} FROM (
+        SELECT {', '.join(corpus.DETAIL)} FROM base WHERE {corpus.IN_NVD})""",
+    "nvd_vulnerabilities": f"SELECT {', '.join(corpus.nvd_columns(DUCKDB))} FROM detailed",
     "kev_vulnerabilities": _select(corpus.kev_columns(DUCKDB), corpus.IN_KEV),
     "publication_one": _select(corpus.publication_columns(1), corpus.IN_FIRST_PUBLICATION),
     "publication_two": _select(corpus.publication_columns(2), corpus.IN_SECOND_PUBLICATION),
@@ -63,7 +65,7 @@ RELATIONS = {
         SELECT cwe_id, name, abstraction, CAST(NULL AS VARCHAR) AS description
         FROM (VALUES {corpus.weakness_values()}) t(cwe_id, name, abstraction)
         UNION ALL SELECT {', '.join(corpus.DOCUMENT_WEAKNESS)} FROM documents)""",
-    "raw_records": _select(corpus.raw_columns(), corpus.IN_NVD),
+    "raw_records": f"SELECT {', '.join(corpus.raw_columns())} FROM detailed",
     "universe": """SELECT cve_id FROM nvd_vulnerabilities UNION SELECT cve_id FROM kev_vulnerabilities""",
     "cwe_class": f"SELECT * FROM (VALUES {CLASS_VALUES}) t(cwe_id, severity)",
     "top_member": """SELECT cve_id, cwe_id, severity FROM (

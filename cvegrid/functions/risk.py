@@ -82,14 +82,18 @@ def merged_weaknesses(*arrays: Column) -> Column:
     return F.concat(*[F.coalesce(a, empty) for a in arrays])
 
 
+# Rated ids, most severe first and by id within a tier.
+RANKED_MEMBERS = sorted(SEVERITY_OF, key=lambda member: (-SEVERITY_OF[member], member))
+
+
 def top_weakness(members: Column) -> Column:
     """Highest-severity rated member, smallest id on a tie, NULL when none is rated.
 
-    The rated ids are a short fixed list, so the search is a ``coalesce`` over membership
-    tests in rank order: it stays inside generated code and needs no explode, join or sort.
+    An intersection lists its matches in the order of its first array, so intersecting the
+    ranked ids with a row's members puts the winner first: no explode, join or sort.
     """
-    ranked = sorted(SEVERITY_OF, key=lambda member: (-SEVERITY_OF[member], member))
-    return F.coalesce(*[F.when(F.array_contains(members, m), F.lit(m)) for m in ranked])
+    ranked = F.array(*[F.lit(member) for member in RANKED_MEMBERS])
+    return F.get(F.array_intersect(ranked, members), F.lit(0))
 
 
 def _by_weakness(cwe: Column, values: dict) -> Column:

@@ -58,11 +58,17 @@ def normalize_automatable(value: Column) -> Column:
     return expression
 
 
-def ssvc_factors(record: Column) -> dict[str, Column]:
-    """Factors of the first SSVC block; a repeated key keeps its last value."""
-    data = F.get(record["metrics"]["ssvcV203"], F.lit(0))["ssvcData"]
-    options = F.transform(data["options"], lambda text: F.from_json(text, "map<string,string>"))
+def _ssvc_data(record: Column) -> Column:
+    return F.get(record["metrics"]["ssvcV203"], F.lit(0))["ssvcData"]
+
 
+def ssvc_options(record: Column) -> Column:
+    """Options of the first SSVC block as maps, parsed together; non-objects are left out."""
+    objects = F.filter(_ssvc_data(record)["options"], lambda text: F.ltrim(text).startswith("{"))
+    return F.from_json(F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")), "array<map<string,string>>")
+
+
+def _factors(options: Column, version: Column) -> dict[str, Column]:
     def factor(key: str) -> Column:
         holders = F.filter(options, lambda option: F.map_contains_key(option, key))
         return F.try_element_at(F.try_element_at(holders, F.lit(-1)), F.lit(key))
@@ -72,10 +78,15 @@ def ssvc_factors(record: Column) -> dict[str, Column]:
         "ssvc_automatable": normalize_automatable(factor("automatable")),
         "ssvc_technical_impact": factor("technicalImpact"),
         "ssvc_decision": factor("decision"),
-        "ssvc_version": data["version"],
+        "ssvc_version": version,
     }
 
 
+def ssvc_factors(record: Column) -> dict[str, Column]:
+    """Factors of the first SSVC block; a repeated key keeps its last value."""
+    return _factors(ssvc_options(record), _ssvc_data(record)["version"])
+
+
 def extract_cwes(record: Column) -> Column:
     """English weakness ids in order, repeats kept."""
     english = F.filter(_nested(record["weaknesses"], "description"), lambda d: d["lang"] == "en")
@@ -116,11 +127,36 @@ def iso_date(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", F.coalesce(day, failure))
 
 
-def vuln_content(record: Column) -> Column:
-    """The searchable document of a vulnerability record; absent facts leave no line."""
+def _extracted(records: DataFrame, keep: list[str]) -> DataFrame:
+    """Every fact of the ``parsed`` record as a column of its own.
+
+    Facts used more than once are columns before they are used, so each JSON text and list
+    is walked once per record.
+    """
+    record = F.col("parsed")
     score = F.get(record["metrics"]["cvssMetricV31"], F.lit(0))["cvssData"]
-    cwes, products, names = extract_cwes(record), affected_products(record), affected_names(record)
-    factors = ssvc_factors(record)
+    facts = {
+        "cve_id": record["id"],
+        "description": english_description(record),
+        "_score_text": score["baseScore"],
+        **cvss_v31(record),
+        **cvss_v2(record),
+        "cwes": extract_cwes(record),
+        "affected_products": affected_products(record),
+        "_names": affected_names(record),
+        "reference_urls": reference_urls(record),
+        "published": iso_date(record["published"]),
+        "last_modified": iso_date(record["lastModified"]),
+        "_options": ssvc_options(record),
+        "_version": _ssvc_data(record)["version"],
+    }
+    staged = records.select(*keep, *[column.alias(name) for name, column in facts.items()])
+    factors = _factors(F.col("_options"), F.col("_version"))
+    return staged.select("*", *[column.alias(name) for name, column in factors.items()])
+
+
+def _content() -> Column:
+    """The document text from the extracted columns."""
     labels = (
         ("exploitation", "ssvc_exploitation"),
         ("automatable", "ssvc_automatable"),
@@ -128,63 +164,69 @@ def vuln_content(record: Column) -> Column:
         ("decision", "ssvc_decision"),
     )
     urgency = F.concat_ws(
-        ", ", *[F.when(factors[name] != "", F.concat(F.lit(f"{label}="), factors[name])) for label, name in labels]
+        ", ", *[F.when(F.col(name) != "", F.concat(F.lit(f"{label}="), F.col(name))) for label, name in labels]
     )
 
-    def listed(prefix: str, values: Column, most: int | None = None) -> Column:
-        shown = F.slice(values, 1, most) if most else values
-        return F.when(F.size(values) > 0, F.concat(F.lit(prefix), F.array_join(shown, ", ")))
+    def listed(prefix: str, name: str, most: int | None = None) -> Column:
+        shown = F.slice(name, 1, most) if most else F.col(name)
+        return F.when(F.size(name) > 0, F.concat(F.lit(prefix), F.array_join(shown, ", ")))
 
-    severity = F.coalesce(score["baseSeverity"], F.lit("None"))
+    severity = F.coalesce("cvss_v31_severity", F.lit("None"))
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("CVE ID: "), F.coalesce(record["id"], F.lit(""))),
-        F.concat(F.lit("Description: "), english_description(record)),
+        F.concat(F.lit("CVE ID: "), F.coalesce("cve_id", F.lit(""))),
+        F.concat(F.lit("Description: "), F.col("description")),
         F.when(
-            score["baseScore"].isNotNull(),
-            F.concat(F.lit("CVSS v3.1 Score: "), score["baseScore"], F.lit(" ("), severity, F.lit(")")),
+            F.col("_score_text").isNotNull(),
+            F.concat(F.lit("CVSS v3.1 Score: "), F.col("_score_text"), F.lit(" ("), severity, F.lit(")")),
         ),
-        F.when(score["vectorString"] != "", F.concat(F.lit("CVSS Vector: "), score["vectorString"])),
-        listed("CWEs: ", cwes),
-        listed("Affected Products: ", products, CONTENT_ITEMS),
+        F.when(F.col("cvss_v31_vector") != "", F.concat(F.lit("CVSS Vector: "), F.col("cvss_v31_vector"))),
+        listed("CWEs: ", "cwes"),
+        listed("Affected Products: ", "affected_products", CONTENT_ITEMS),
         F.when(urgency != "", F.concat(F.lit("SSVC: "), urgency)),
-        listed("Affected: ", names, CONTENT_ITEMS),
+        listed("Affected: ", "_names", CONTENT_ITEMS),
     )
 
 
+def vuln_content(records: DataFrame) -> DataFrame:
+    """The searchable document of each parsed record; absent facts leave no line."""
+    return _extracted(records, []).select("cve_id", _content().alias("content"))
+
+
 def vuln_row(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Stored vulnerability row from ``raw_json`` and its ``parsed`` struct; no vector yet.
 
     ``keep`` names further input columns to carry along.
     """
-    record = F.col("parsed")
-    columns = {
-        "cve_id": record["id"],
-        "description": english_description(record),
-        **cvss_v31(record),
-        **cvss_v2(record),
-        "cwes": extract_cwes(record),
-        "affected_products": affected_products(record),
-        "reference_urls": reference_urls(record),
-        "published": iso_date(record["published"]),
-        "last_modified": iso_date(record["lastModified"]),
-        **ssvc_factors(record),
-        "raw_json": F.col("raw_json"),
-        "content": vuln_content(record),
-        "embedding": F.lit(None).cast("array<float>"),
-    }
-    return records.select(*[column.alias(name) for name, column in columns.items()], *(keep or []))
+    kept = keep or []
+    return _extracted(records, ["raw_json", *kept]).select(
+        "cve_id", "description", "cvss_v31_score", "cvss_v31_severity", "cvss_v31_vector",
+        "cvss_v2_score", "cvss_v2_severity", "cwes", "affected_products", "reference_urls",
+        "published", "last_modified", "ssvc_exploitation", "ssvc_automatable",
+        "ssvc_technical_impact", "ssvc_decision", "ssvc_version", "raw_json",
+        _content().alias("content"), F.lit(None).cast("array<float>").alias("embedding"), *kept,
+    )
+
+
+# All that the backfill reads of a record.
+_SSVC_ONLY = "metrics struct<ssvcV203:array<struct<ssvcData:struct<version:string,options:array<string>>>>>"
 
 
 def ssvc_backfill(vulns: DataFrame) -> DataFrame:
     """Recompute the five SSVC columns from the stored JSON of rows that hold the block."""
-    factors = ssvc_factors(F.col("_record"))
-    held = F.get_json_object("raw_json", "$.metrics.ssvcV203").isNotNull()
+    record = F.col("_record")
+    staged = vulns.withColumn("_record", F.from_json("raw_json", _SSVC_ONLY)).withColumns(
+        {
+            "_held": record["metrics"]["ssvcV203"].isNotNull(),
+            "_options": ssvc_options(record),
+            "_version": _ssvc_data(record)["version"],
+        }
+    )
     kept = {
-        name: F.when(held, column).otherwise(F.col(name) if name in vulns.columns else F.lit(None))
-        for name, column in factors.items()
+        name: F.when(F.col("_held"), column).otherwise(F.col(name) if name in vulns.columns else F.lit(None))
+        for name, column in _factors(F.col("_options"), F.col("_version")).items()
     }
-    return vulns.withColumn("_record", parse_record(F.col("raw_json"))).withColumns(kept).drop("_record")
+    return staged.withColumns(kept).drop("_record", "_held", "_options", "_version")
 
 
 def exploited_content(entry: Column | None = None) -> Column:
