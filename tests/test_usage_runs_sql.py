@@ -1,0 +1,128 @@
+"""Metering, run history and guarded SQL."""
+
+import datetime
+import random
+from collections import defaultdict
+from decimal import Decimal as D
+
+import pytest
+from pyspark.sql import functions as F
+
+from cvegrid.functions.text import format_duration
+from cvegrid.operators import guarded, merge, metering, runs
+
+TODAY = datetime.date(2026, 8, 1)
+USAGE = "user_identifier string, query_date date, query_count bigint, input_tokens bigint, output_tokens bigint"
+
+
+def back(days):
+    return TODAY - datetime.timedelta(days=days)
+
+
+def test_usage_stats_windows_and_cost(spark):
+    usage = spark.createDataFrame(
+        [("a", TODAY, 2, 1_000_000, 500_000), ("a", back(6), 3, 0, 0), ("a", back(7), 5, 0, 0), ("a", back(29), 7, 0, 0),
+         ("a", back(30), 11, 0, 0), ("b", back(30), 1, 10, None), ("c", TODAY, 17, 0, 0)],
+        USAGE,
+    )
+    rows = metering.usage_stats(usage, TODAY, input_price=0.80, output_price=4.00).collect()
+    assert [r.user_identifier for r in rows] == ["a", "c", "b"]
+    assert (rows[0].queries_today, rows[0].queries_7d, rows[0].queries_30d) == (2, 5, 17)
+    assert rows[0].est_cost == pytest.approx(2.80)
+    assert (rows[2].queries_30d, rows[2].output_tokens) == (0, 0)
+
+
+def test_daily_counters_add_up(spark):
+    stored = spark.createDataFrame([("a", TODAY, 1, 10, 20)], USAGE)
+    batch = spark.createDataFrame([("a", TODAY, 2, 1, 2), ("b", TODAY, 1, 5, 5)], USAGE)
+    found = {r.user_identifier: (r.query_count, r.input_tokens, r.output_tokens) for r in merge.add_usage(stored, batch).collect()}
+    assert found == {"a": (3, 11, 22), "b": (1, 5, 5)}
+
+
+def test_over_limit_matches_counting_one_by_one(spark):
+    """One user has most of the events, some of them at the very same moment."""
+    rng = random.Random(5)
+    start = datetime.datetime(2026, 8, 1, 22, 0)
+    events = []
+    for number in range(600):
+        user = "busy" if rng.random() < 0.6 else f"user-{rng.randrange(5)}"
+        moment = start + datetime.timedelta(seconds=rng.randrange(4 * 3600), microseconds=rng.choice([0, 0, 5]))
+        events.append((user, moment.replace(second=rng.choice([0, 30])), number))
+    expected, counts = {}, defaultdict(int)
+    for user, moment, number in sorted(events, key=lambda e: (e[1], e[2])):
+        counts[user, moment.date()] += 1
+        n = counts[user, moment.date()]
+        expected[number] = (n, n <= (40 if user == "busy" else 9))
+    frame = spark.createDataFrame(events, "user_identifier string, ts timestamp_ntz, event_id long")
+    admins = spark.createDataFrame([("busy",), ("busy",), ("nobody",)], "user_identifier string")
+    found = metering.over_limit(frame, limit=9, admins=admins, admin_limit=40).collect()
+    assert {r.event_id: (r.query_no, r.allowed) for r in found} == expected
+    plain = metering.over_limit(frame, limit=9).collect()
+    assert {r.event_id: r.allowed for r in plain} == {i: n <= 9 for i, (n, _) in expected.items()}
+
+
+@pytest.mark.parametrize(("seconds", "text"), [(0.0, "0m00s"), (59.99, "0m59s"), (60.0, "1m00s"), (4249.2, "70m49s")])
+def test_format_duration(spark, seconds, text):
+    assert spark.range(1).select(format_duration(F.lit(seconds))).first()[0] == text
+
+
+def step(label, ok=True, error=None):
+    return (label, ok, 61.5, f"Loaded {label}" if ok else "", {"loaded": 3}, error)
+
+
+def test_run_history(spark, tmp_path):
+    schema = f"run_at timestamp, elapsed double, results array<{__import__('cvegrid.schemas', fromlist=['STEP']).STEP}>"
+    moments = [datetime.datetime(2026, 8, n, 12) for n in (1, 2, 3)]
+    first = spark.createDataFrame([(moments[0], 12.345, [step("a"), step("b")])], schema)
+    later = spark.createDataFrame(
+        [(moments[1], 1.0, [step("a", False, "RuntimeError: secret"), step("b")]), (moments[2], 2.0, [])], schema
+    )
+    path = str(tmp_path / "runs")
+    runs.append_run_log(first, path)
+    runs.append_run_log(later, path)
+    history = spark.read.parquet(path)
+    newest = runs.recent_runs(history, 2).collect()
+    assert [(r.run_at, r.status) for r in newest] == [(moments[2], "SUCCESS"), (moments[1], "FAILED")]
+    assert history.orderBy("run_at").first().total_elapsed == D("12.35")
+    steps = [tuple(r)[2:] for r in runs.run_steps(history).orderBy("run_at", "step_no").collect()]
+    assert steps == [
+        (0, "a", True, "1m01s", "Loaded a"), (1, "b", True, "1m01s", "Loaded b"),
+        (0, "a", False, "1m01s", "failed"), (1, "b", True, "1m01s", "Loaded b"),
+    ]
+    stored = history.withColumn("results", F.to_json("results"))
+    again = runs.run_steps(stored.withColumn("results", runs.parse_results(F.col("results"))))
+    assert [tuple(r)[2:] for r in again.orderBy("run_at", "step_no").collect()] == steps
+
+
+@pytest.mark.parametrize(
+    "sql", ["DROP TABLE x", "WITH a AS (SELECT 1) SELECT * FROM a", "", "SELECTX 1", "INSERT INTO t SELECT 1", "-- c\nSELECT 1"]
+)
+def test_only_select_is_run(spark, sql):
+    with pytest.raises(guarded.RejectedSql):
+        guarded.guarded_select(spark, sql)
+
+
+def test_result_is_capped(spark):
+    spark.range(1000).createOrReplaceTempView("numbers")
+    assert guarded.guarded_select(spark, " select id from numbers ; ").count() == 100
+    assert guarded.guarded_select(spark, "SELECT id FROM numbers LIMIT 7").count() == 7
+    inner = "SELECT a.id FROM (SELECT id FROM numbers LIMIT 3) a CROSS JOIN numbers b"
+    assert guarded.guarded_select(spark, inner).count() == 100
+    top = guarded.guarded_select(spark, "SELECT id FROM numbers ORDER BY id DESC LIMIT 500", max_rows=2)
+    assert [r.id for r in top.collect()] == [999, 998]
+
+
+def test_cells_are_cut(spark):
+    frame = spark.createDataFrame([(1, "é" * 200, "x" * 201, ["a", "y" * 300])], "n int, s string, t string, l array<string>")
+    row = guarded.cell_truncate(frame).first()
+    assert (row.n, row.s, row.t) == (1, "é" * 200, "x" * 200 + "…")
+    assert row.l == "a\n" + "y" * 200 + "…"
+
+
+def test_views_carry_the_known_names(spark):
+    from cvegrid.catalog import Catalog
+
+    empty = spark.createDataFrame([], "cve_id string")
+    Catalog(kev=empty, nvd=empty, epss=empty, cwe=empty, snapshot=empty).register_views()
+    names = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    assert {"kev_vulnerabilities", "nvd_vulnerabilities", "epss_scores", "cwe_definitions", "v_cve_risk"} <= names
