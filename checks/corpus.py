@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -306,7 +307,9 @@ DOCUMENT_WEAKNESS = [
 
 # -- Spark side -------------------------------------------------------------------------
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Handle on a source table; footers are read for the schema once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -302,9 +302,9 @@ def risk_rationale() -> Column:
                 F.when(shown, sentence).alias("sentence"),
             )
         )
-    ranked = F.array_sort(F.array(*clauses))
+    ranked = F.sort_array(F.array(*clauses))
     score = F.coalesce(F.col("risk_score"), F.lit(Decimal("0")))
     header = F.concat(
         F.initcap(risk_band(score)), F.lit(" ("), score_points(score).cast("string"), F.lit(").")
     )
-    return F.concat_ws(" ", header, F.transform(ranked, lambda clause: clause["sentence"]))
+    return F.concat_ws(" ", header, ranked["sentence"])

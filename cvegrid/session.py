@@ -8,6 +8,11 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+# HotSpot does not compile methods above 8,000 bytes of bytecode.  Stages whose fused code
+# would be larger run faster as separately compiled expressions; set this on a cluster too.
+CODE_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and benchmarks on one machine.
 
@@ -27,6 +32,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config(*CODE_LIMIT)
+        # Test tables are a few megabytes; keep their shuffles on all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
