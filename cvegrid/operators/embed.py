@@ -128,6 +128,8 @@ def embed_texts(
 
 
 def backfill_vectors(rows: DataFrame, embed: Embedder, key: str = "cve_id") -> DataFrame:
-    """The table with vectors computed for the rows that lack one."""
-    lacking = rows.where(F.col("embedding").isNull()).select(key, "content")
-    return update_from_batch(rows, embed_texts(lacking, embed, key), [key], "embedding")
+    """The table with vectors computed for the rows that lack one; only those rows move."""
+    lacking = rows.where(F.col("embedding").isNull())
+    fresh = embed_texts(lacking, embed, key)
+    filled = update_from_batch(lacking, fresh, [key], "embedding")
+    return rows.where(F.col("embedding").isNotNull()).unionByName(filled)

@@ -11,8 +11,10 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjec
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cvegrid.functions.vectors import DISTANCE_PLACES, as_matrix, distance_to, unit, unit_rows
+from cvegrid.sources.tables import scratch_path
 
 TOP_K = 5
 QUERIES_PER_PASS = 512
@@ -64,37 +66,38 @@ def knn_batch(
     Queries are split by hash into slices of about ``per_pass``; each slice is one pass in
     which a task multiplies its rows with the slice's matrix and keeps the k best per query.
     A task sends k rows per query instead of every pair, and the final ranking again keeps k
-    per query before its shuffle.  The number of queries only adds passes.
+    per query before its shuffle.  One slice stays lazy.  Further slices are written one
+    after the other to the shared folder, so neither the driver nor a plan ever holds more
+    than one slice, however many queries there are.
     """
+    spark = corpus.sparkSession
     slices = max(1, math.ceil(queries.count() / per_pass))
-    passes = []
+    kind = corpus.schema[key].dataType.simpleString()
+    query_kind = "bigint" if isinstance(queries.schema[query_key].dataType, T.IntegralType) else "string"
+    schema = f"{query_key} {query_kind}, {key} {kind}, distance double"
+    path = scratch_path(spark, "knn") if slices > 1 else ""
     for number in range(slices):
         part = queries.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == number)
-        held = part.select(query_key, F.col("embedding").cast("array<double>").alias("v")).collect()
+        held = part.select(F.col(query_key).cast(query_kind), F.col("embedding").cast("array<double>")).collect()
         if held:
-            passes.append(_nearest_per_task(corpus, [r[0] for r in held], [r.v for r in held], k, key, query_key))
-    if not passes:
-        kind = corpus.schema[key].dataType.simpleString()
-        query_kind = queries.schema[query_key].dataType.simpleString()
-        return corpus.sparkSession.createDataFrame(
-            [], f"{query_key} {query_kind}, {key} {kind}, distance double, rank int"
-        )
-    candidates = passes[0]
-    for more in passes[1:]:
-        candidates = candidates.unionByName(more)
-    order = Window.partitionBy(query_key).orderBy("distance", key)
-    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            near = _nearest_per_task(corpus, [r[0] for r in held], [r[1] for r in held], k, key, schema)
+        else:
+            near = spark.createDataFrame([], schema)
+        order = Window.partitionBy(query_key).orderBy("distance", key)
+        ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if slices == 1:
+            return ranked
+        ranked.write.parquet(f"{path}/slice={number}")
+    return spark.read.schema(f"{schema}, rank int").parquet(path).drop("slice")
 
 
 def _nearest_per_task(
-    corpus: DataFrame, ids: list, vectors: list, k: int, key: str, query_key: str
+    corpus: DataFrame, ids: list, vectors: list, k: int, key: str, schema: str
 ) -> DataFrame:
+    query_key = schema.split(" ", 1)[0]
     width = len(vectors[0])
     if any(len(v) != width for v in vectors):
         raise ValueError("every query vector must have the same width")
-    kind = corpus.schema[key].dataType.simpleString()
-    query_kind = "bigint" if isinstance(ids[0], int) else "string"
-    schema = f"{query_key} {query_kind}, {key} {kind}, distance double"
     shared = corpus.sparkSession.sparkContext.broadcast(unit_rows(np.asarray(vectors, dtype="float64")).T)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,11 @@
 """Keyed merges of an incoming batch into a stored table.
 
-Every merge is one full outer join on the key: one shuffle of each side, and of the
-incoming side alone when the stored table is bucketed by the key.  Both sides must hold a
-key at most once; ``dedupe_last_wins`` makes a batch so.
+Both sides must hold a key at most once; ``dedupe_last_wins`` makes a batch so.
+
+A batch the planner can broadcast is joined to the stored rows where they lie, and only the
+stored keys move to find the new ones: a wide table is not shuffled for a small load.  Any
+other batch takes one full outer join, which moves each side once, or the batch alone when
+the stored table is bucketed by the key.
 """
 
 from __future__ import annotations
@@ -15,6 +18,13 @@ from pyspark.sql import functions as F
 Rule = Callable[[Column, Column], Column]
 
 
+def fits_broadcast(frame: DataFrame) -> bool:
+    """Whether the planner's size estimate is within its own broadcast limit."""
+    limit = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def _paired(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Both sides side by side as ``old`` and ``new`` structs, NULL where a side is absent."""
 
@@ -22,7 +32,11 @@ def _paired(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
         values = [c for c in frame.columns if c not in keys]
         return frame.select(*keys, F.struct(*values).alias(name))
 
-    return packed(current, "old").join(packed(incoming, "new"), keys, "full_outer")
+    old, new = packed(current, "old"), packed(incoming, "new")
+    if not fits_broadcast(incoming):
+        return old.join(new, keys, "full_outer")
+    added = new.join(current.select(*keys), keys, "left_anti")
+    return old.join(new, keys, "left").unionByName(added, allowMissingColumns=True)
 
 
 def _merge(current: DataFrame, incoming: DataFrame, keys: list[str], rules: dict[str, Rule]) -> DataFrame:

@@ -35,8 +35,14 @@ UNKNOWN_NOTE = "Not found in KEV or NVD — unscored, not low risk."
 
 
 def universe(nvd: DataFrame, kev: DataFrame) -> DataFrame:
-    """Every id either catalog knows, once."""
-    return nvd.select("cve_id").union(kev.select("cve_id")).distinct()
+    """Every id either catalog knows, once.
+
+    The key is never NULL, yet the filter matters: Spark 4.1 takes a union of two bare
+    bucketed scans for one that keeps their buckets and skips the distinct's shuffle, which
+    leaves repeated ids.  Behind a filter the ids, and only they, are shuffled.
+    """
+    known = F.col("cve_id").isNotNull()
+    return nvd.where(known).select("cve_id").union(kev.where(known).select("cve_id")).distinct()
 
 
 def four_way_left(nvd: DataFrame, kev: DataFrame, epss: DataFrame) -> DataFrame:

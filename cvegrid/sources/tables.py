@@ -75,6 +75,19 @@ class VersionedTable:
         return rows.get["rows"]
 
 
+    def expire(self, keep: int = 2) -> list[int]:
+        """Delete all but the newest complete versions; readers of the kept ones are safe."""
+        if keep < 1:
+            raise ValueError("at least the current version must be kept")
+        done = [number for number, complete in self._listing() if complete]
+        old = done[:-keep]
+        jvm = self.spark.sparkContext._jvm
+        for number in old:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{number:010d}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return old
+
+
 def save_bucketed(frame: DataFrame, table: str, buckets: int, key: str = "cve_id") -> None:
     """Store a table hashed and sorted by its key so later joins on it need no shuffle."""
     frame.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

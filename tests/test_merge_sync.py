@@ -24,7 +24,7 @@ def publication(spark, n, **scores):
 
 
 @pytest.fixture
-def first(spark):
+def first(spark, broadcast_limit):
     return merge.merge_score_publication(
         spark.createDataFrame([], SCORES), publication(spark, 1, A=".94000", B=".03351"), ["cve_id"]
     )
@@ -69,7 +69,16 @@ def test_threshold_keeps_the_boundary(spark):
     assert sorted(r.cve_id for r in found) == ["A", "C"]
 
 
-def test_overwrite_and_kept_vector(spark):
+@pytest.fixture(params=["-1", "10MB"])
+def broadcast_limit(spark, request):
+    """Both shapes of a merge: batch too large to broadcast, and small."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_overwrite_and_kept_vector(spark, broadcast_limit):
     schema = "cve_id string, note string, embedding array<float>"
     store = spark.createDataFrame([("A", "old", [1.0]), ("B", "old", [2.0])], schema)
     batch = spark.createDataFrame([("B", None, None), ("C", "new", None), ("A", "new", [3.0])], schema)
@@ -174,6 +183,10 @@ def test_versions_swap_only_when_complete(spark, tmp_path):
     assert table.version() == 2
     table.write(spark.range(1))
     assert table.version() == 4
+    assert table.expire(keep=2) == [1]
+    assert table.read().count() == 1 and not (tmp_path / "t" / "v0000000001").exists()
+    with pytest.raises(ValueError, match="must be kept"):
+        table.expire(keep=0)
 
 
 def test_bucketed_tables_join_without_exchange(spark, tmp_path):

@@ -9,7 +9,9 @@ import __spark_entry__ as driver
 from checks.registry import Tables
 from cvegrid.catalog import Catalog
 from cvegrid.operators import knn, merge, metering
+from cvegrid.operators.risk import universe
 from cvegrid.plans import library
+from cvegrid.sources.tables import save_bucketed
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -18,6 +20,10 @@ def plan(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def read_schemas(text: str) -> list[str]:
+    return re.findall(r"ReadSchema: (.*)", text)
+
+
 @pytest.fixture(scope="module", autouse=True)
 def whole_plans(spark):
     old = spark.conf.get("spark.sql.maxMetadataStringLength")
@@ -60,7 +66,7 @@ def test_filters_reach_the_scan(stored):
 
 
 def test_blend_never_reads_documents_or_vectors(stored):
-    schemas = re.findall(r"ReadSchema: struct<([^>]*)", plan(stored.risk))
+    schemas = read_schemas(plan(stored.risk))
     assert schemas and not any(w in s for s in schemas for w in ("raw_json", "content", "embedding", "description"))
 
 
@@ -79,11 +85,35 @@ def test_popular_keys_are_salted(stored, no_broadcast):
     assert re.search(r"Exchange hashpartitioning\(cwe_id#\d+, _salt#\d+", text)
 
 
+def test_blend_over_bucketed_tables_moves_only_ids(spark, stored, no_broadcast, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS blend LOCATION '{tmp_path / 'db'}'")
+    try:
+        for name in ("nvd", "kev", "epss"):
+            save_bucketed(getattr(stored, name), f"blend.{name}", 8)
+        catalog = Catalog(**{name: spark.table(f"blend.{name}") for name in ("nvd", "kev", "epss")})
+        text = plan(catalog.risk)
+        assert text.count("Exchange ") == 1
+        assert catalog.risk.count() == universe(catalog.nvd, catalog.kev).count() == stored.risk.count()
+        assert catalog.risk.exceptAll(stored.risk).count() == 0
+    finally:
+        spark.sql("DROP DATABASE blend CASCADE")
+
+
 def test_merge_moves_each_side_once(stored, no_broadcast):
     text = plan(merge.merge_overwrite(stored.epss, stored.epss.select("*"), ["cve_id"]))
     assert text.count("Exchange hashpartitioning(cve_id") == text.count("Exchange ") == 2
 
 
+def test_small_batches_leave_the_stored_rows_in_place(spark, stored, tmp_path):
+    path = str(tmp_path / "batch")
+    stored.nvd.where("published >= '2001-07-25'").coalesce(1).write.parquet(path)
+    text = plan(merge.merge_keep_vector(stored.nvd, spark.read.parquet(path), ["cve_id"]))
+    assert re.search(r"BroadcastHashJoin \[cve_id#\d+\], \[cve_id#\d+\], LeftOuter", text)
+    schemas = read_schemas(text)
+    assert sum("raw_json" in s for s in schemas) == 3  # stored rows once, the batch twice
+    assert sum(s == "struct<cve_id:string>" for s in schemas) == 1  # stored keys once
+
+
 def test_batch_search_limits_before_its_shuffle(spark):
     tables = Tables(spark, SF_DIR)
     queries = tables.table("embeddings").where("vec_id < 3").withColumnRenamed("vec_id", "query_id")
