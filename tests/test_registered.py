@@ -13,7 +13,7 @@ def connection():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.registry.QUERIES))
 def test_query(spark, connection, name):
     frame = driver.queries()[name](spark, SF_DIR)
     sql = driver.oracle_sql().get(name)
@@ -28,4 +28,4 @@ def test_entry(spark):
 
 
 def test_only_the_approximate_index_lacks_a_twin():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"ann_index"}
+    assert set(driver.registry.QUERIES) - set(driver.registry.ORACLES) == {"ann_index"}
