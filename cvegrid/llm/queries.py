@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprint
+from . import bpe, fingerprint
 
 QUERIES = {
     "op1_quartile_digest": fingerprint.op1_quartile_digest,
+    "op3_segment_tree_bpe": bpe.op3_segment_tree_bpe,
 }
 
 ORACLES: dict[str, str] = {}
