@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint
+from . import bpe, fingerprint, mixing, ring
 
 QUERIES = {
     "op1_quartile_digest": fingerprint.op1_quartile_digest,
     "op3_segment_tree_bpe": bpe.op3_segment_tree_bpe,
+    "op8_bounded_ring": ring.op8_bounded_ring,
+    "op10_subset_sum_mix": mixing.op10_subset_sum_mix,
 }
 
 ORACLES: dict[str, str] = {}
