@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, language, mixing, ring
+from . import bpe, fingerprint, language, mixing, quality, ring
 
 QUERIES = {
     "op1_quartile_digest": fingerprint.op1_quartile_digest,
     "op2_hyperdimensional": language.op2_hyperdimensional,
     "op3_segment_tree_bpe": bpe.op3_segment_tree_bpe,
+    "op5_weak_supervision": quality.op5_weak_supervision,
     "op8_bounded_ring": ring.op8_bounded_ring,
     "op10_subset_sum_mix": mixing.op10_subset_sum_mix,
 }
