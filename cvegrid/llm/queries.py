@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, language, mixing, quality, ring
+from . import bpe, fingerprint, language, mixing, phrases, quality, ring, substrings
 
 QUERIES = {
     "op1_quartile_digest": fingerprint.op1_quartile_digest,
     "op2_hyperdimensional": language.op2_hyperdimensional,
     "op3_segment_tree_bpe": bpe.op3_segment_tree_bpe,
     "op5_weak_supervision": quality.op5_weak_supervision,
+    "op6_interval_expansion": substrings.op6_interval_expansion,
     "op8_bounded_ring": ring.op8_bounded_ring,
+    "op9_phrase_automata": phrases.op9_phrase_automata,
     "op10_subset_sum_mix": mixing.op10_subset_sum_mix,
 }
 
