@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, language, mixing, phrases, quality, ring, substrings
+from . import bpe, fingerprint, jaccard, language, mixing, phrases, quality, ring, substrings
 
 QUERIES = {
     "op1_quartile_digest": fingerprint.op1_quartile_digest,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_segment_tree_bpe": bpe.op3_segment_tree_bpe,
     "op5_weak_supervision": quality.op5_weak_supervision,
     "op6_interval_expansion": substrings.op6_interval_expansion,
+    "op7_count_tree_join": jaccard.op7_count_tree_join,
     "op8_bounded_ring": ring.op8_bounded_ring,
     "op9_phrase_automata": phrases.op9_phrase_automata,
     "op10_subset_sum_mix": mixing.op10_subset_sum_mix,
