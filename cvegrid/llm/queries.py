@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jaccard, language, mixing, phrases, quality, ring, substrings
+from . import bpe, fingerprint, hostpaths, jaccard, language, mixing, phrases, quality, ring, substrings
 
 QUERIES = {
     "op1_quartile_digest": fingerprint.op1_quartile_digest,
     "op2_hyperdimensional": language.op2_hyperdimensional,
     "op3_segment_tree_bpe": bpe.op3_segment_tree_bpe,
+    "op4_host_paths": hostpaths.op4_host_paths,
     "op5_weak_supervision": quality.op5_weak_supervision,
     "op6_interval_expansion": substrings.op6_interval_expansion,
     "op7_count_tree_join": jaccard.op7_count_tree_join,
