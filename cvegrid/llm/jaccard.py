@@ -34,7 +34,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors
@@ -298,7 +298,10 @@ def op7_count_tree_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that are the first of their component, as they came."""
+    """One row of each component, the first, as it came; of rows that share its id, one."""
     firsts = component_of(documents, text).where("_at = _label").select("_at").distinct()
     at = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long")
-    return documents.join(firsts, at == F.col("_at"), "left_semi")
+    rows = documents.select(at.alias("_at"), F.struct(*documents.columns).alias("_row"))
+    kept = rows.join(firsts, "_at", "left_semi")
+    order = Window.partitionBy("_at").orderBy(F.xxhash64("_row"))
+    return kept.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select("_row.*")

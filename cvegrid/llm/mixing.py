@@ -165,6 +165,13 @@ def mix(documents: DataFrame, seed: int = SEED, text: str = "text", weights: Seq
     )
 
 
+def mixed(documents: DataFrame, seed: int = SEED, text: str = "text") -> DataFrame:
+    """The mix itself: rows as often as it takes them, as they came."""
+    taken = mix(documents, seed, text).where("_mix_times > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("_mix_times"))).alias("_mix_copy")
+    return taken.select(*documents.columns, copies).drop("_mix_copy")
+
+
 def op10_subset_sum_mix(spark, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")

@@ -89,6 +89,27 @@ def without_repeated_phrases(documents: DataFrame, text: str = "text") -> DataFr
     )
 
 
+def _cut_out(text: str, ranges: list[tuple[int, int]], copy: bool, length: int = LENGTH):
+    """The text itself without the words of the ranges and the white space behind them."""
+    data = text.encode()
+    starts, ends = anchors.word_ranges(data)
+    if copy and len(starts) >= length:
+        ranges = [(0, len(starts))]
+    kept, at = [], 0
+    for first, end in ranges:
+        kept.append(data[at : starts[first]])
+        at = int(starts[end]) if end < len(starts) else int(ends[-1])
+    kept.append(data[at:])
+    return (b"".join(kept).decode(),)
+
+
+def cut_phrases(documents: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with repeated phrases cut from their text, which otherwise stays as it is."""
+    unit = passages.Unit(words=True, length=LENGTH, span=SPAN)
+    cut = passages.cut_repeats(documents, text, unit, repeated_phrases, _cut_out, f"`{text}` string")
+    return cut.select(*documents.columns)
+
+
 def op9_phrase_automata(spark, sf_dir: str) -> DataFrame:
     """What is left of every whole document's words."""
     found = without_repeated_phrases(table(spark, sf_dir, "documents").select("doc_id", "text"))

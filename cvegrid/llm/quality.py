@@ -78,7 +78,7 @@ def _repeated_words(hashes: Column) -> Column:
 
 
 def measured(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with the base figures and those that the rules need, as _quality_ columns."""
+    """The rows with the base figures and those that the rules need, in a struct _quality."""
     q = lambda name: F.col(f"_quality_{name}")
     content = whole_text(text)
     with_words = documents.withColumn("_quality_hashes", F.transform(words_of(content), lambda w: F.xxhash64(w)))
@@ -94,14 +94,15 @@ def measured(documents: DataFrame, text: str = "text") -> DataFrame:
         "n_exclaims": F.length(content) - _without(content, "!"),
         "n_prose": F.regexp_count(content, F.lit(PROSE_WORD)),
     }
-    return with_words.withColumns({f"_quality_{n}": c.cast("long") for n, c in counts.items()}).drop(
-        "_quality_hashes", "_quality_lines"
-    )
+    # A row exploded from an array of one: filters on the figures stay above it, so that Spark
+    # doesn't work out a figure again for each of the many places that use it.
+    figures = F.array(F.struct(*[c.cast("long").alias(n) for n, c in counts.items()]))
+    return with_words.select(*documents.columns, F.explode(figures).alias("_quality"))
 
 
 def votes() -> dict[str, Column]:
     """Each rule's vote from the figures of `measured`: 1 for good, -1 for bad, 0 for neither."""
-    q = lambda name: F.col(f"_quality_{name}")
+    q = lambda name: F.col(f"_quality.{name}")
     words = F.greatest(q("n_words"), F.lit(1))
     lines = F.greatest(q("n_lines"), F.lit(1))
     cast = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
@@ -122,7 +123,7 @@ def votes() -> dict[str, Column]:
 
 
 def base_failed() -> Column:
-    words, repeats = F.col("_quality_n_words"), F.col("_quality_n_repeat_words")
+    words, repeats = F.col("_quality.n_words"), F.col("_quality.n_repeat_words")
     return (words < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * words)
 
 
@@ -219,5 +220,8 @@ def op5_weak_supervision(spark, sf_dir: str) -> DataFrame:
         measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality-figures"
     )
     found = judged(measures, fit(measures))
-    named = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"]
-    return found.select("doc_id", *[F.col(f"_quality_{n}").alias(n) for n in named])
+    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    verdicts = ["base_failed", "kept", "probability"]
+    return found.select(
+        "doc_id", *[F.col(f"_quality.{n}") for n in figures], *[F.col(f"_quality_{n}").alias(n) for n in verdicts]
+    )
