@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, hostpaths, jaccard, language, mixing, phrases, quality, ring, substrings
+from . import bpe, fingerprint, hostpaths, jaccard, language, mixing, phrases, quality, ring, substrings, twins
 
 QUERIES = {
     "op1_quartile_digest": fingerprint.op1_quartile_digest,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_subset_sum_mix": mixing.op10_subset_sum_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(twins.ORACLES)

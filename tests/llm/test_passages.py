@@ -1,0 +1,131 @@
+"""Repeated strings and phrases against a look at every window."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from cvegrid.llm import anchors, passages, phrases, substrings
+
+SCHEMA = "doc_id bigint, text string"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def strings(rows, length=100):
+    seen, found = set(), {}
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            window = data[i : i + length]
+            if window in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(window)
+        kept = bytes(c for c, g in zip(data, gone) if not g)
+        found[doc_id] = (len(data), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), kept)
+    return found
+
+
+def sequences(rows, length=20):
+    seen, found = set(), {}
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        words = WORD.findall((text or "").encode())
+        gone = [False] * len(words)
+        for i in range(len(words) - length + 1):
+            window = tuple(words[i : i + length])
+            if window in seen:
+                gone[i : i + length] = [True] * length
+            seen.add(window)
+        kept = b" ".join(w for w, g in zip(words, gone) if not g).decode()
+        found[doc_id] = (len(words), sum(gone), kept)
+    return found
+
+
+def rows():
+    pick = random.Random(3)
+    words = ["a", "aa", "b", "bb"]
+    made = [(i, " ".join(pick.choice(words) for _ in range(pick.randrange(400)))) for i in range(25)]
+    made += [(30 + i, "a " * pick.randrange(100) + "a" * 20 * pick.randrange(20)) for i in range(6)]
+    line = " ".join(f"line{i}" for i in range(25))
+    made += [(40 + i, f"x{i} y{i} {line}\n\tz{i} ü{i} w{i}") for i in range(30)]
+    made += [(80, made[3][1] + "  " + made[4][1]), (81, None), (82, made[3][1]), (83, made[3][1][:150] * 2)]
+    made += [(None, made[5][1]), (-7, line), (90, "ü" * 300), (91, "x" + "ü" * 200), (92, "\x00" * 250)]
+    return made
+
+
+@pytest.mark.parametrize(("hot", "examined", "remembered"), [(100_000, 1 << 20, 1 << 25), (2, 500, 1000)])
+def test_brute_force(spark, monkeypatch, hot, examined, remembered):
+    monkeypatch.setattr(passages, "HOT", hot)
+    monkeypatch.setattr(passages, "EXAMINED", examined)
+    monkeypatch.setattr(passages, "REMEMBERED", remembered)
+    given = rows()
+    frame = spark.createDataFrame(given, SCHEMA).selectExpr("*", "1 AS _at", "2 AS _row", "'t' AS _text")
+    found = substrings.without_repeated_strings(frame).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in found} == strings(given)
+    found = phrases.without_repeated_phrases(frame).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in found} == sequences(given)
+    cut = phrases.cut_phrases(frame)
+    assert cut.columns == frame.columns
+    whole = dict(given)
+    for r in cut.collect():
+        words, removed, kept = sequences(given)[r["doc_id"]]
+        assert " ".join(w.decode() for w in WORD.findall(r["text"].encode())) == kept
+        assert removed or r["text"] == (whole[r["doc_id"]] or "")
+
+
+def test_repeated_rows_are_one_document(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    given = [(1, text), (1, text), (1, text + " end"), (2, text)]
+    found = phrases.without_repeated_phrases(spark.createDataFrame(given, SCHEMA)).collect()
+    assert len(found) == 4 and {r["n_removed"] for r in found if r["doc_id"] == 2} == {60}
+    both = sorted((r["n_words"], r["n_removed"]) for r in found if r["doc_id"] == 1)
+    assert both[0] == both[1] and both in ([(60, 0), (60, 0), (61, 60)], [(60, 60), (60, 60), (61, 0)])
+
+
+def test_empty(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert phrases.without_repeated_phrases(empty).count() == 0
+    assert substrings.without_repeated_strings(empty).count() == 0
+
+
+def test_common_prefixes():
+    pick = random.Random(1)
+    for least in (1, 3, 8):
+        symbols = np.array([pick.randrange(3) for _ in range(300)] + [9], np.uint16)
+        order = substrings.suffix_order(symbols, least)
+        prefixes = substrings.common_prefixes(symbols, order, least)
+        text = symbols.tolist()
+        for at in range(1, len(order)):
+            one, other = text[order[at - 1] :], text[order[at] :]
+            shared = next((k for k, (a, b) in enumerate(zip(one, other)) if a != b), min(len(one), len(other)))
+            assert prefixes[at] == (shared if shared < least else -1)
+
+
+def test_every_window_has_its_anchor(monkeypatch):
+    pick = random.Random(2)
+    units = np.array([pick.randrange(4) for _ in range(900)], np.uint64)
+    for piece in (anchors.PIECE, 64):
+        monkeypatch.setattr(anchors, "PIECE", piece)
+        hashes, first, last = anchors.anchors(units, 30, 6)
+        covered = [w for a, b in zip(first.tolist(), last.tolist()) for w in range(a, b + 1)]
+        assert covered == list(range(len(units) - 29))
+    words = anchors.word_hashes("ä b ä  b".encode())
+    assert words[0] == words[2] and words[1] == words[3] and words[0] != words[1]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_registered(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    given = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    wanted = strings(given)
+    for r in substrings.op6_interval_expansion(spark, folder).collect():
+        n, removed, spans, kept = wanted[r["doc_id"]]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (n, removed, spans)
+        assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+    wanted = sequences(given)
+    for r in phrases.op9_phrase_automata(spark, folder).collect():
+        n, removed, kept = wanted[r["doc_id"]]
+        assert (r["n_words"], r["n_removed"]) == (n, removed)
+        assert r["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
