@@ -103,6 +103,16 @@ def fingerprints(documents: DataFrame, text: str = "text", fingerprint: str = "f
     return documents.withColumn(fingerprint, of(whole_text(text)))
 
 
+def _block(starts: list[int]) -> F.Column:
+    """How many of the ascending starts a doc_id has reached, found in two steps of about their root."""
+    stride = max(1, math.isqrt(len(starts)))
+    upto = lambda ids: F.size(F.filter(ids, lambda s: s <= F.col("doc_id")))
+    coarse, fine = (F.lit(s).cast("array<bigint>") for s in (starts[::stride], starts))
+    passed = upto(coarse)
+    within = (passed - 1) * stride
+    return F.when(passed <= 0, 0).otherwise(within + upto(F.slice(fine, within + 1, stride)))
+
+
 def in_blocks(documents: DataFrame, blocks_per_partition: int = 16) -> DataFrame:
     """Documents in blocks of consecutive ids, each also holding the row that follows its last.
 
@@ -115,19 +125,14 @@ def in_blocks(documents: DataFrame, blocks_per_partition: int = 16) -> DataFrame
     wanted = partitions(spark) * blocks_per_partition
     shares = [k / wanted for k in range(wanted)]
     found = documents.agg(
-        F.percentile_approx("doc_id", shares, max(10_000, 50 * wanted)).alias("starts"),
+        F.percentile_approx("doc_id", shares, max(10_000, 50 * wanted)).alias("cuts"),
         F.min("doc_id").alias("least"),
         F.count(F.when(F.col("doc_id").isNull(), 1)).alias("without"),
     ).first()
-    starts = sorted({s for s in found["starts"] or [] if s != found["least"]})
-    last = len(starts)
-    # Two steps of about the square root each find the block of an id.
-    stride = max(1, math.isqrt(last))
-    kind = "array<bigint>"
-    coarse, fine = F.lit(starts[::stride]).cast(kind), F.lit(starts).cast(kind)
-    upto = lambda ids: F.size(F.filter(ids, lambda s: s <= F.col("doc_id")))
-    passed = upto(coarse)
-    block = F.when(passed <= 0, 0).otherwise((passed - 1) * stride + upto(F.slice(fine, (passed - 1) * stride + 1, stride)))
+    # Quantiles are rounded to doubles; blocks begin with the ids that really come first in them.
+    rough = documents.where("doc_id is not null").groupBy(_block(sorted(set(found["cuts"] or []))).alias("block"))
+    starts = sorted(r["start"] for r in rough.agg(F.min("doc_id").alias("start")).collect())[1:]
+    last, fine, block = len(starts), F.lit(starts).cast("array<bigint>"), _block(starts)
     first = F.col("doc_id").isNull() if found["without"] else F.col("doc_id").eqNullSafe(F.lit(found["least"]))
     place = lambda at, turn: F.struct(at.cast("int").alias("block"), F.lit(turn).alias("turn"))
     none = F.lit(None).cast("struct<block:int,turn:int>")
