@@ -24,35 +24,54 @@ MOVEMENT_THRESHOLD = Decimal("0.05")
 BAND_CUTS = (("critical", 65), ("high", 45), ("moderate", 25))
 LOWEST_BAND = "low"
 
-# Weakness classes with their severity tier and member ids.
-WEAKNESS_CLASSES = {
-    "Memory corruption": (
-        "1.0",
-        "CWE-787 CWE-119 CWE-125 CWE-416 CWE-120 CWE-121 CWE-122 CWE-190",
-    ),
-    "Injection / code execution": (
-        "1.0",
-        "CWE-89 CWE-78 CWE-94 CWE-74 CWE-434 CWE-77 CWE-502",
-    ),
-    "Access control / traversal": (
-        "0.8",
-        "CWE-22 CWE-862 CWE-284 CWE-863 CWE-269 CWE-59",
-    ),
-    "Authentication bypass": ("0.8", "CWE-287 CWE-306 CWE-288"),
-    "Request forgery / XSS": ("0.6", "CWE-352 CWE-918 CWE-79"),
-    "Information disclosure": ("0.4", "CWE-200 CWE-203"),
-    "DoS / resource exhaustion": ("0.3", "CWE-400 CWE-476"),
+# Severity of each weakness class, and the class of each rated weakness.
+CLASS_SEVERITY = {
+    "Memory corruption": Decimal("1.0"),
+    "Injection / code execution": Decimal("1.0"),
+    "Access control / traversal": Decimal("0.8"),
+    "Authentication bypass": Decimal("0.8"),
+    "Request forgery / XSS": Decimal("0.6"),
+    "Information disclosure": Decimal("0.4"),
+    "DoS / resource exhaustion": Decimal("0.3"),
+}
+CLASS_OF = {
+    "CWE-22": "Access control / traversal",
+    "CWE-59": "Access control / traversal",
+    "CWE-74": "Injection / code execution",
+    "CWE-77": "Injection / code execution",
+    "CWE-78": "Injection / code execution",
+    "CWE-79": "Request forgery / XSS",
+    "CWE-89": "Injection / code execution",
+    "CWE-94": "Injection / code execution",
+    "CWE-119": "Memory corruption",
+    "CWE-120": "Memory corruption",
+    "CWE-121": "Memory corruption",
+    "CWE-122": "Memory corruption",
+    "CWE-125": "Memory corruption",
+    "CWE-190": "Memory corruption",
+    "CWE-200": "Information disclosure",
+    "CWE-203": "Information disclosure",
+    "CWE-269": "Access control / traversal",
+    "CWE-284": "Access control / traversal",
+    "CWE-287": "Authentication bypass",
+    "CWE-288": "Authentication bypass",
+    "CWE-306": "Authentication bypass",
+    "CWE-352": "Request forgery / XSS",
+    "CWE-400": "DoS / resource exhaustion",
+    "CWE-416": "Memory corruption",
+    "CWE-434": "Injection / code execution",
+    "CWE-476": "DoS / resource exhaustion",
+    "CWE-502": "Injection / code execution",
+    "CWE-787": "Memory corruption",
+    "CWE-862": "Access control / traversal",
+    "CWE-863": "Access control / traversal",
+    "CWE-918": "Request forgery / XSS",
 }
 UNRATED_CLASS = "Weakness"
 
 CVE_ID_PATTERN = r"^CVE-[0-9]{4}-[0-9]{4,}\z"
 
-SEVERITY_OF = {
-    member: Decimal(tier) for tier, members in WEAKNESS_CLASSES.values() for member in members.split()
-}
-CLASS_OF = {
-    member: label for label, (_, members) in WEAKNESS_CLASSES.items() for member in members.split()
-}
+SEVERITY_OF = {member: CLASS_SEVERITY[label] for member, label in CLASS_OF.items()}
 
 COMPONENTS = ("c_cvss", "c_epss", "c_kev", "c_ransomware", "c_ssvc", "c_cwe")
 
@@ -214,97 +233,84 @@ def _five_places(value: Column) -> Column:
     return value.cast("decimal(6,5)").cast("string")
 
 
-def _listing_clause() -> Column:
-    since = F.when(
-        F.col("kev_date_added").isNotNull(), F.concat(F.lit(" since "), F.col("kev_date_added").cast("string"))
-    )
-    ransomware = F.when(
-        F.col("known_ransomware_campaign_use") == "Known", F.lit(" with known ransomware campaign use")
-    )
-    text = F.concat(F.lit("Listed in KEV"), F.coalesce(since, F.lit("")), F.coalesce(ransomware, F.lit("")))
-    return F.when(F.col("kev_listed"), text)
+# The wording of the clauses.
+LISTED = "Listed in KEV"
+LISTED_SINCE = " since "
+LISTED_RANSOMWARE = " with known ransomware campaign use"
+UNSCORED = "No EPSS score — this signal contributed nothing, it is not a low likelihood"
+UNASSESSED = f"CVSS unassessed — scored at the neutral {CVSS_PRIOR} prior"
+UNAVAILABLE = "CVSS unavailable"
+UNRATED = "No rated weakness class — scored at the neutral default"
+URGENCY = {
+    "ssvc_exploitation": "exploitation=",
+    "ssvc_automatable": "automatable=",
+    "ssvc_technical_impact": "technical impact=",
+}
 
 
-def _likelihood_clause() -> Column:
-    percentile = F.bround(F.col("epss_percentile").cast("double") * F.lit(100.0)).cast("int").cast("string")
-    details = F.concat_ws(
-        ", ",
-        F.when(F.col("epss_percentile").isNotNull(), F.concat(percentile, F.lit("th percentile"))),
-        F.when(F.col("epss_scored_at").isNotNull(), F.concat(F.lit("as of "), F.col("epss_scored_at").cast("string"))),
-    )
-    text = F.concat(
-        F.lit("EPSS "),
-        _five_places(F.col("epss_probability")),
-        F.when(details != "", F.concat(F.lit(" ("), details, F.lit(")"))).otherwise(""),
-        likelihood_movement(
-            F.col("epss_probability"), F.col("epss_previous_probability"), F.col("epss_previous_scored_at")
-        ),
-    )
-    return F.coalesce(
-        F.when(F.col("epss_probability").isNotNull(), text),
-        F.lit("No EPSS score — this signal contributed nothing, it is not a low likelihood"),
-    )
+def _said(*parts: Column | str, unless_empty: Column | None = None) -> Column:
+    """Texts and columns in a row; empty where a column, or the one named, is NULL or empty."""
+    text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    if unless_empty is not None:
+        text = F.when(unless_empty != "", text)
+    return F.coalesce(text, F.lit(""))
 
 
-def _severity_clause() -> Column:
-    return (
-        F.when(F.col("cvss_imputed"), f"CVSS unassessed — scored at the neutral {CVSS_PRIOR} prior")
-        .when(F.col("cvss_score").isNotNull(), F.concat(F.lit("CVSS "), F.col("cvss_score").cast("string")))
-        .otherwise("CVSS unavailable")
+def clause_texts() -> dict[str, Column]:
+    """What a risk row's prose says of each signal; empty where it says nothing."""
+    of = F.col
+    hundredths = F.bround(of("epss_percentile").cast("double") * F.lit(100.0)).cast("int")
+    # Parts in brackets, those that are there, with commas between.
+    known = [_said(hundredths, "th percentile"), _said("as of ", of("epss_scored_at"))]
+    brackets = F.array_join(F.filter(F.array(*known), lambda part: part != ""), ", ")
+    moved = likelihood_movement(
+        of("epss_probability"), of("epss_previous_probability"), of("epss_previous_scored_at")
     )
-
-
-def _urgency_clause() -> Column:
-    factors = (
-        ("exploitation", "ssvc_exploitation"),
-        ("automatable", "ssvc_automatable"),
-        ("technical impact", "ssvc_technical_impact"),
-    )
-    present = F.concat_ws(
-        ", ",
-        *[F.when(F.col(name) != "", F.concat(F.lit(f"{label}="), F.col(name))) for label, name in factors],
-    )
-    return F.when(present != "", F.concat(F.lit("SSVC "), present))
-
-
-def _weakness_clause() -> Column:
-    rated = F.concat(weakness_class(F.col("cwe_top")), F.lit(" class, "), F.col("cwe_top"))
-    return F.coalesce(rated, F.lit("No rated weakness class — scored at the neutral default"))
+    factors = [_said(label, of(name), unless_empty=of(name)) for name, label in URGENCY.items()]
+    urgency = F.array_join(F.filter(F.array(*factors), lambda part: part != ""), ", ")
+    ransomware = F.when(of("known_ransomware_campaign_use") == "Known", LISTED_RANSOMWARE).otherwise("")
+    return {
+        "listing": F.when(of("kev_listed"), _said(LISTED, _said(LISTED_SINCE, of("kev_date_added")), ransomware)).otherwise(""),
+        "likelihood": F.when(of("epss_probability").isNull(), UNSCORED).otherwise(
+            _said("EPSS ", _five_places(of("epss_probability")), _said(" (", brackets, ")", unless_empty=brackets), moved)
+        ),
+        "severity": F.when(of("cvss_imputed"), UNASSESSED)
+        .when(of("cvss_score").isNull(), UNAVAILABLE)
+        .otherwise(_said("CVSS ", of("cvss_score"))),
+        "urgency": _said("SSVC ", urgency, unless_empty=urgency),
+        "weakness": F.when(of("cwe_top").isNull(), UNRATED).otherwise(
+            _said(weakness_class(of("cwe_top")), " class, ", of("cwe_top"))
+        ),
+    }
 
 
 def risk_rationale() -> Column:
-    """Prose for a risk row: band header, then clauses by falling contribution.
+    """Prose for a risk row: the band, then a sentence per signal, the largest share first.
 
-    Each candidate clause is a struct led by its negated contribution and its place in the
-    list, so sorting the array of structs gives the ranking with a stable order on ties.
+    A signal that adds nothing is left out, but for the severity and for a missing likelihood,
+    which a reader must know of.  Signals with equal shares keep the order of SIGNALS.
     """
-    none = F.lit(Decimal("0")).cast(PART)
+    zero = F.lit(Decimal("0")).cast(PART)
+    texts = clause_texts()
+    unscored = F.col("epss_probability").isNull()
+    always = {"severity": F.lit(True), "likelihood": unscored}
+    sentences = []
+    for place, (signal, columns) in enumerate(SIGNALS.items()):
+        share = sum((F.coalesce(F.col(c).cast(PART), zero) for c in columns), start=zero).cast("decimal(9,4)")
+        told = (texts[signal] != "") & ((share > 0) | always.get(signal, F.lit(False)))
+        sentence = _said(texts[signal], " (+", whole_points(share), ").")
+        sentences.append(F.struct((-share).alias("less"), F.lit(place).alias("place"), told.alias("told"), sentence.alias("text")))
+    ordered = F.array_sort(F.filter(F.array(*sentences), lambda s: s["told"]))
+    score = F.coalesce(F.col("risk_score"), F.lit(Decimal("0")))
+    opening = _said(F.initcap(risk_band(score)), " (", score_points(score), ").")
+    return F.concat_ws(" ", opening, F.transform(ordered, lambda s: s["text"]))
 
-    def part(name: str) -> Column:
-        return F.coalesce(F.col(name).cast(PART), none)
 
-    candidates = (
-        (part("c_kev") + part("c_ransomware"), _listing_clause(), F.lit(False)),
-        (part("c_epss"), _likelihood_clause(), F.col("epss_probability").isNull()),
-        (part("c_cvss"), _severity_clause(), F.lit(True)),
-        (part("c_ssvc"), _urgency_clause(), F.lit(False)),
-        (part("c_cwe"), _weakness_clause(), F.lit(False)),
-    )
-    clauses = []
-    for place, (contribution, text, keep_at_zero) in enumerate(candidates):
-        contribution = contribution.cast("decimal(7,4)")
-        shown = text.isNotNull() & ((contribution > 0) | keep_at_zero)
-        sentence = F.concat(text, F.lit(" (+"), whole_points(contribution).cast("string"), F.lit(")."))
-        clauses.append(
-            F.struct(
-                (-contribution).alias("rank"),
-                F.lit(place).alias("place"),
-                F.when(shown, sentence).alias("sentence"),
-            )
-        )
-    ranked = F.sort_array(F.array(*clauses))
-    score = F.coalesce(F.col("risk_score"), F.lit(Decimal("0")))
-    header = F.concat(
-        F.initcap(risk_band(score)), F.lit(" ("), score_points(score).cast("string"), F.lit(").")
-    )
-    return F.concat_ws(" ", header, ranked["sentence"])
+# The weighted parts that each signal's sentence stands for.
+SIGNALS = {
+    "listing": ("c_kev", "c_ransomware"),
+    "likelihood": ("c_epss",),
+    "severity": ("c_cvss",),
+    "urgency": ("c_ssvc",),
+    "weakness": ("c_cwe",),
+}

@@ -14,7 +14,6 @@ from cvegrid.functions.vectors import (
     MAX_TOKENS_PER_INPUT,
     MAX_TOKENS_PER_REQUEST,
     estimate_tokens,
-    truncate_text,
 )
 from cvegrid.operators.merge import update_from_batch
 
@@ -30,6 +29,17 @@ def missing_embedding(rows: DataFrame, key: str = "cve_id") -> DataFrame:
     return rows.where(F.col("embedding").isNull()).select(key, "content").orderBy(key)
 
 
+# One token fewer than an input may hold: the estimate counts one more than the length gives.
+PIECE = (MAX_TOKENS_PER_INPUT - 1) * CHARS_PER_TOKEN
+
+
+def text_pieces(text: Column) -> Column:
+    """The whole text as an array of consecutive pieces that fit one input each."""
+    whole = F.coalesce(text, F.lit(""))
+    last = F.floor((F.greatest(F.length(whole), F.lit(1)) - 1) / PIECE).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda n: F.substring(whole, n * PIECE + 1, F.lit(PIECE)))
+
+
 def token_batches(
     rows: DataFrame,
     order: str,
@@ -37,17 +47,19 @@ def token_batches(
     max_tokens: int = MAX_TOKENS_PER_REQUEST,
     max_items: int = MAX_INPUTS_PER_REQUEST,
 ) -> DataFrame:
-    """Request number of every text under greedy packing in row order.
+    """Request number of every piece of every text under greedy packing in row order.
 
-    Loads hand texts over in runs of ``max_items`` consecutive rows and pack each run by
-    itself, so a run is the unit here: ``order`` is a unique integer and a run is one block
-    of it.  A run never exceeds ``max_items`` sizes, whatever the corpus, and only sizes are
-    gathered, not texts.  A text over the budget gets a request of its own.
+    A text longer than one input is cut into pieces, and every piece is packed.  Loads hand
+    texts over in runs of ``max_items`` consecutive rows and pack each run by itself, so a run
+    is the unit here: ``order`` is a unique integer and a run is one block of it.  A run holds
+    the sizes of at most ``max_items`` texts, whatever the corpus, and only sizes are gathered,
+    not texts.  A piece over the budget gets a request of its own.
     """
-    tokens = estimate_tokens(truncate_text(F.col(text))).cast("bigint")
-    sized = rows.select(
+    sized = rows.select(F.col(order), F.posexplode(text_pieces(F.col(text))).alias("piece", "part")).select(
         F.floor(F.col(order) / max_items).cast("bigint").alias("run"),
-        F.struct(F.col(order).alias("position"), tokens.alias("tokens")).alias("item"),
+        F.struct(
+            F.col(order).alias("position"), "piece", estimate_tokens(F.col("part")).cast("bigint").alias("tokens")
+        ).alias("item"),
     )
     runs = sized.groupBy("run").agg(F.array_sort(F.collect_list("item")).alias("items"))
     start = F.struct(
@@ -71,36 +83,46 @@ def token_batches(
 
     packed = runs.select("run", "items", F.aggregate("items", start, place, lambda s: s["placed"]).alias("placed"))
     return packed.select("run", F.explode(F.arrays_zip("items", "placed")).alias("p")).select(
-        F.col("p.items.position").alias(order), "run", F.col("p.placed").alias("request"), F.col("p.items.tokens").alias("tokens")
+        F.col("p.items.position").alias(order),
+        F.col("p.items.piece").alias("piece"),
+        "run",
+        F.col("p.placed").alias("request"),
+        F.col("p.items.tokens").alias("tokens"),
     )
 
 
-def _requests(texts: Iterator[tuple[object, str]], max_tokens: int, max_items: int):
-    """Greedy requests over a stream of (key, text), each text cut to the input limit."""
-    keys, held, used = [], [], 0
-    for key, text in texts:
-        text = (text or "")[: MAX_TOKENS_PER_INPUT * CHARS_PER_TOKEN]
-        tokens = len(text) // CHARS_PER_TOKEN + 1
-        if held and (used + tokens > max_tokens or len(held) >= max_items):
-            yield keys, held
-            keys, held, used = [], [], 0
-        keys.append(key)
-        held.append(text)
-        used += tokens
-    if held:
-        yield keys, held
-
-
-def _embed_or_halve(embed: Embedder, texts: list[str]) -> list[list[float]]:
-    try:
-        vectors = embed(texts)
-    except RequestTooLarge:
-        if len(texts) == 1:
-            raise
-        middle = len(texts) // 2
-        return _embed_or_halve(embed, texts[:middle]) + _embed_or_halve(embed, texts[middle:])
-    if len(vectors) != len(texts):
-        raise ValueError(f"embedding function returned {len(vectors)} vectors for {len(texts)} texts")
+def _grouped(parts: Iterator[tuple], max_tokens: int, max_items: int) -> Iterator[list[tuple]]:
+    """Parts in requests, each closed by the first part that doesn't fit any more."""
+    request: list[tuple] = []
+    room = max_tokens
+    for part in parts:
+        need = len(part[1]) // CHARS_PER_TOKEN + 1
+        if request and (need > room or len(request) == max_items):
+            yield request
+            request, room = [], max_tokens
+        request.append(part)
+        room -= need
+    if request:
+        yield request
+
+
+def _answered(embed: Embedder, texts: list[str]) -> list[list[float]]:
+    """Vectors of all texts in order; what the function refuses is asked again in halves."""
+    vectors: list[list[float]] = []
+    waiting = [texts]
+    while waiting:
+        part = waiting.pop()
+        try:
+            found = embed(part)
+        except RequestTooLarge:
+            if len(part) < 2:
+                raise
+            half = len(part) // 2
+            waiting += [part[half:], part[:half]]
+            continue
+        if len(found) != len(part):
+            raise ValueError(f"embedding function returned {len(found)} vectors for {len(part)} texts")
+        vectors += found
     return vectors
 
 
@@ -114,17 +136,33 @@ def embed_texts(
 ) -> DataFrame:
     """One vector per row from a caller's function, which sees request-sized lists of texts.
 
-    Each task packs its own stream of rows; a request the function refuses is halved until it
-    passes.  Only key and text go through Python.
+    Every character is embedded: a long text goes in as pieces, and its vector is the sum of
+    theirs, which for a cosine is their mean.  Each task packs its own stream of pieces; a
+    request the function refuses is halved until it passes.  Only key and text go through Python.
     """
     kind = rows.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = (pair for frame in frames for pair in zip(frame[key], frame[text], strict=True))
-        for keys, texts in _requests(pairs, max_tokens, max_items):
-            yield pd.DataFrame({key: keys, "embedding": _embed_or_halve(embed, texts)})
-
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
+        # Pieces of a row follow each other; the last one closes it.
+        parts = (
+            ((row_key, n + 1 == len(pieces)), piece)
+            for frame in frames
+            for row_key, pieces in zip(frame[key], frame["pieces"], strict=True)
+            for n, piece in enumerate(pieces)
+        )
+        total = None
+        for request in _grouped(parts, max_tokens, max_items):
+            done = []
+            vectors = _answered(embed, [piece for _, piece in request])
+            for ((row_key, closes), _), vector in zip(request, vectors, strict=True):
+                total = vector if total is None else [a + b for a, b in zip(total, vector, strict=True)]
+                if closes:
+                    done.append((row_key, total))
+                    total = None
+            yield pd.DataFrame(done, columns=[key, "embedding"])
+
+    pieces = rows.select(key, text_pieces(F.col(text)).alias("pieces"))
+    return pieces.mapInPandas(run, f"{key} {kind}, embedding array<float>")
 
 
 def backfill_vectors(rows: DataFrame, embed: Embedder, key: str = "cve_id") -> DataFrame:

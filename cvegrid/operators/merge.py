@@ -1,11 +1,9 @@
 """Keyed merges of an incoming batch into a stored table.
 
-Both sides must hold a key at most once; ``dedupe_last_wins`` makes a batch so.
-
-A batch the planner can broadcast is joined to the stored rows where they lie, and only the
-stored keys move to find the new ones: a wide table is not shuffled for a small load.  Any
-other batch takes one full outer join, which moves each side once, or the batch alone when
-the stored table is bucketed by the key.
+The stored side holds a key once.  A batch may repeat keys: it is reduced to one row per key
+inside the merge, the last by the column named as its position.  Every merge is one full outer
+join on the key, whatever the sizes: each side moves once, the batch reduced before it moves,
+and a stored table that is bucketed by the key doesn't move at all.
 """
 
 from __future__ import annotations
@@ -18,57 +16,83 @@ from pyspark.sql import functions as F
 Rule = Callable[[Column, Column], Column]
 
 
-def fits_broadcast(frame: DataFrame) -> bool:
-    """Whether the planner's size estimate is within its own broadcast limit."""
-    limit = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
-
+def last_per_key(batch: DataFrame, keys: list[str], position: str | None = None) -> DataFrame:
+    """One row per key: the one with the largest position, without that column.
 
-def _paired(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Both sides side by side as ``old`` and ``new`` structs, NULL where a side is absent."""
+    Rows that tie, and all rows of a key if no position is named, go by a hash of their
+    values, so that the choice is the same on every evaluation.
+    """
+    values = [c for c in batch.columns if c not in keys and c != position]
+    if not values:
+        return batch.select(*keys).distinct()
+    order = [F.xxhash64(*values)] if position is None else [F.col(position), F.xxhash64(*values)]
+    last = F.max_by(F.struct(*values), F.struct(*[c.alias(f"_{n}") for n, c in enumerate(order)]))
+    return batch.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
+
+
+def _merge(
+    current: DataFrame,
+    incoming: DataFrame,
+    keys: list[str],
+    rules: dict[str, Rule],
+    position: str | None,
+    not_before: str | None = None,
+) -> DataFrame:
+    unknown = [c for c in incoming.columns if c not in current.columns and c != position]
+    if unknown:
+        raise ValueError(f"the stored table has no columns {unknown}")
+    batch = last_per_key(incoming, keys, position)
 
     def packed(frame: DataFrame, name: str) -> DataFrame:
         values = [c for c in frame.columns if c not in keys]
-        return frame.select(*keys, F.struct(*values).alias(name))
+        return frame.select(*keys, F.struct(*values, F.lit(True).alias("_present")).alias(name))
 
-    old, new = packed(current, "old"), packed(incoming, "new")
-    if not fits_broadcast(incoming):
-        return old.join(new, keys, "full_outer")
-    added = new.join(current.select(*keys), keys, "left_anti")
-    return old.join(new, keys, "left").unionByName(added, allowMissingColumns=True)
-
-
-def _merge(current: DataFrame, incoming: DataFrame, keys: list[str], rules: dict[str, Rule]) -> DataFrame:
-    old, new = F.col("old"), F.col("new")
+    old, new = F.col("_old"), F.col("_new")
     columns = []
     for field in current.schema.fields:
         name = field.name
         if name in keys:
-            columns.append(F.col(name))
+            value = F.col(name)
         elif name in rules:
-            columns.append(rules[name](old, new).cast(field.dataType.simpleString()).alias(name))
-        elif name in incoming.columns:
-            value = F.when(new.isNotNull(), new[name].cast(field.dataType.simpleString())).otherwise(old[name])
-            columns.append(value.alias(name))
+            value = rules[name](old, new)
+        elif name in batch.columns:
+            value = F.when(new["_present"], new[name].cast(field.dataType)).otherwise(old[name])
         else:
-            columns.append(old[name].alias(name))
-    return _paired(current, incoming, keys).select(*columns)
-
-
-def merge_overwrite(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+            value = old[name]
+        columns.append(value.cast(field.dataType).alias(name))
+    both = packed(current, "_old").join(packed(batch, "_new"), keys, "full_outer")
+    if not_before is not None:
+        # A batch row that is older than the stored one counts as absent.
+        older = F.coalesce(new[not_before] < old[not_before], F.lit(False))
+        both = both.withColumn("_new", F.when(~older, new))
+    return both.select(*columns)
+
+
+def merge_overwrite(
+    current: DataFrame, incoming: DataFrame, keys: list[str], position: str | None = None
+) -> DataFrame:
     """Insert new keys; an existing key takes every incoming column, NULLs included."""
-    return _merge(current, incoming, keys, {})
+    return _merge(current, incoming, keys, {}, position)
 
 
 def merge_keep_vector(
-    current: DataFrame, incoming: DataFrame, keys: list[str], vector: str = "embedding"
+    current: DataFrame,
+    incoming: DataFrame,
+    keys: list[str],
+    vector: str = "embedding",
+    position: str | None = None,
+    not_before: str | None = None,
 ) -> DataFrame:
-    """As ``merge_overwrite``, but a missing incoming vector leaves the stored one."""
-    return _merge(current, incoming, keys, {vector: lambda old, new: F.coalesce(new[vector], old[vector])})
+    """As ``merge_overwrite``, but a missing incoming vector leaves the stored one.
+
+    With ``not_before``, a batch row whose value there is smaller than the stored row's is left out.
+    """
+    return _merge(current, incoming, keys, {vector: lambda old, new: F.coalesce(new[vector], old[vector])}, position, not_before)
 
 
-def merge_score_publication(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+def merge_score_publication(
+    current: DataFrame, incoming: DataFrame, keys: list[str], position: str | None = None
+) -> DataFrame:
     """Merge one score publication.
 
     Current values always come from the publication, even an older one.  The stored score
@@ -90,25 +114,29 @@ def merge_score_publication(current: DataFrame, incoming: DataFrame, keys: list[
             "previous_probability": previous("probability", "previous_probability"),
             "previous_scored_at": previous("scored_at", "previous_scored_at"),
         },
+        position,
     )
 
 
 def merge_counts(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """How many incoming keys are new and how many exist already; only keys are moved."""
+    """How many distinct incoming keys are new and how many exist already; only keys are moved."""
     known = current.select(*keys, F.lit(True).alias("known"))
-    joined = incoming.select(*keys).join(known, keys, "left")
+    joined = incoming.select(*keys).distinct().join(known, keys, "left")
     return joined.agg(
         F.count_if(F.col("known").isNull()).alias("new"), F.count_if(F.col("known")).alias("modified")
     )
 
 
-def update_from_batch(current: DataFrame, batch: DataFrame, keys: list[str], column: str) -> DataFrame:
+def update_from_batch(
+    current: DataFrame, batch: DataFrame, keys: list[str], column: str, position: str | None = None
+) -> DataFrame:
     """Set one column of existing rows from a batch; unknown keys in it are ignored."""
-    fresh = batch.select(*keys, F.col(column).alias("_fresh"), F.lit(True).alias("_hit"))
-    value = F.when(F.col("_hit"), F.col("_fresh")).otherwise(F.col(column))
-    return (
-        current.join(fresh, keys, "left").withColumn(column, value).select(*current.columns)
+    wanted = [*keys, column] + ([position] if position else [])
+    fresh = last_per_key(batch.select(*wanted), keys, position).select(
+        *keys, F.struct(column).alias("_fresh")
     )
+    value = F.when(F.col("_fresh").isNotNull(), F.col("_fresh")[column]).otherwise(F.col(column))
+    return current.join(fresh, keys, "left").withColumn(column, value).select(*current.columns)
 
 
 def new_ids_only(candidates: DataFrame, stored: DataFrame, key: str = "cve_id") -> DataFrame:

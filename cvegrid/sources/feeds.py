@@ -59,17 +59,26 @@ class ScoreFeedMeta:
     skipped: int
 
 
-def parse_metadata_line(line: str) -> dict:
-    """``#key:value,key:value`` to model version and score date; a bad date gives None."""
-    if not line.startswith("#"):
-        return {}
-    pairs = (part.partition(":") for part in line.lstrip("#").strip().split(","))
-    fields = {key.strip(): value.strip() for key, _, value in pairs if key.strip()}
-    try:
-        scored_at = datetime.datetime.fromisoformat(fields.get("score_date", "")).date()
-    except ValueError:
-        scored_at = None
-    return {"model_version": fields.get("model_version"), "scored_at": scored_at}
+def _opening(lines: DataFrame) -> DataFrame:
+    """Per file: where its header stands, the header, model version and score date."""
+    text = strip(F.col("value"))
+    comment = text.startswith("#")
+    named = comment & (text.contains("model_version:") | text.contains("score_date:"))
+    found = lines.groupBy("file").agg(
+        F.min_by(F.struct("place", "value"), F.when((text != "") & ~comment, F.col("place"))).alias("header"),
+        F.min_by(F.struct("place", "value"), F.when(named, F.col("place"))).alias("named"),
+    )
+    # Only a line before the header is metadata; a later one is an ordinary malformed row.
+    line = F.when(F.col("named.place") < F.col("header.place"), F.regexp_replace(strip(F.col("named.value")), "^#+", ""))
+    fields = F.transform_keys(F.str_to_map(line, F.lit(","), F.lit(":")), lambda k, _: F.trim(k))
+    day = F.regexp_extract(F.trim(fields["score_date"]), r"^\d{4}-\d{2}-\d{2}(?=$|[T ])", 0)
+    return found.select(
+        "file",
+        F.col("header.place").alias("start"),
+        F.col("header.value").alias("header"),
+        F.trim(fields["model_version"]).alias("model_version"),
+        day.try_cast("date").alias("scored_at"),
+    )
 
 
 def read_score_feed(
@@ -77,43 +86,41 @@ def read_score_feed(
 ) -> tuple[DataFrame, ScoreFeedMeta]:
     """Likelihood scores of one publication, in one or several (gzip) CSV files.
 
-    Each file opens with ``#`` metadata and blank lines, then a header.  Only those opening
-    lines reach the driver; a ``#`` line further down is an ordinary malformed row.
+    Each file opens with ``#`` metadata and blank lines, then a header.  Files are taken by
+    name and lines as they stand in them, so the last of a repeated id is the same however
+    Spark splits the files.  Only the opening of each file reaches the driver, one row a file.
+    Files that disagree on header, model version or score date are refused.
     """
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position")
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        ).alias("place"),
     )
-    text = strip(F.col("value"))
-    headers = (
-        lines.where((text != "") & ~text.startswith("#"))
-        .groupBy("file")
-        .agg(F.min("position").alias("start"), F.min_by("value", "position").alias("header"))
-    )
-    names = [row.header for row in headers.select("header").distinct().limit(2).collect()]
-    if not names:
+    opening = _opening(lines)
+    kinds = opening.where("header IS NOT NULL").select("header", "model_version", "scored_at").distinct().limit(2).collect()
+    if not kinds:
         raise FeedError("score feed has no CSV header")
-    if len(names) > 1:
-        raise FeedError(f"score feed files disagree on their header: {names}")
-    columns = [name.strip().strip('"') for name in names[0].split(",")]
+    if len(kinds) > 1:
+        raise FeedError(f"score feed files disagree: {[tuple(kind) for kind in kinds]}")
+    header, model_version, scored_at = kinds[0]
+    columns = [name.strip().strip('"') for name in header.split(",")]
     missing = [name for name in SCORE_COLUMNS if name not in columns]
     if missing:
         raise FeedError(f"score feed misses columns {missing} (found {columns})")
 
-    # One short row per file, and the driver holds the list of files anyway.
-    placed = lines.join(F.broadcast(headers.select("file", "start")), "file")
-    opening = placed.where((F.col("position") < F.col("start")) & text.startswith("#"))
-    named = F.when(F.col("value").contains("model_version:"), F.col("position"))
-    line = opening.agg(F.coalesce(F.min_by("value", named), F.max_by("value", "position")).alias("value")).first().value
-    found = parse_metadata_line(line.strip()) if line else {}
-
     schema = ", ".join(f"`{name}` string" for name in columns)
     rows = (
-        placed.where((F.col("position") > F.col("start")) & (F.col("value") != ""))
-        .select(F.from_csv("value", schema).alias("row"), "position")
-        .select(*[F.col("row")[name].alias(name) for name in SCORE_COLUMNS], "position")
+        lines.join(opening.select("file", "start"), "file")
+        .where((F.col("place") > F.col("start")) & (F.col("value") != ""))
+        .select(F.from_csv("value", schema).alias("row"), "place")
+        .select(*[F.col("row")[name].alias(name) for name in SCORE_COLUMNS], F.col("place").alias("position"))
     )
     skipped = count_malformed_scores(rows).first().skipped
-    meta = ScoreFeedMeta(found.get("model_version"), found.get("scored_at") or load_date, skipped)
+    meta = ScoreFeedMeta(model_version, scored_at or load_date, skipped)
     typed = skip_malformed_scores(rows).select("cve_id", "probability", "percentile", "position")
     scores = dedupe_last_wins(typed, ["cve_id"], "position").select(
         "cve_id",

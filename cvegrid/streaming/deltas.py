@@ -30,8 +30,23 @@ class DeltaFolder:
         rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
         return rows.withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
-    def _exists(self) -> bool:
+    def folded(self) -> int:
+        """The highest batch that has been folded into the stored table, -1 before the first."""
+        if not self._exists(f"{self.path}-folded"):
+            return -1
+        return self.spark.read.schema("batch bigint").parquet(f"{self.path}-folded").agg(F.max("batch")).first()[0]
+
+    def unfolded(self) -> DataFrame:
+        """Deltas of the batches behind the last fold."""
+        return self.read().where(F.col("batch_id") > self.folded())
+
+    def mark_folded(self, batch: int) -> None:
+        self.spark.range(1).select(F.lit(batch).cast("bigint").alias("batch")).write.mode("append").parquet(
+            f"{self.path}-folded"
+        )
+
+    def _exists(self, path: str | None = None) -> bool:
         jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        folder = jvm.org.apache.hadoop.fs.Path(path or self.path)
         fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return fs.exists(folder) and len(fs.listStatus(folder)) > 0

@@ -27,15 +27,20 @@ def stream_pages(spark: SparkSession, landing: str, per_line: bool = False, file
 
 
 def vuln_deltas(spark: SparkSession, path: str) -> DeltaFolder:
-    return DeltaFolder(spark, path, f"{schemas.NVD}, arrival bigint")
+    return DeltaFolder(spark, path, f"{schemas.NVD}, arrival bigint, revised string")
 
 
 def stream_vuln_ingest(records: DataFrame, deltas: DeltaFolder, checkpoint: str) -> StreamingQuery:
     """Shape arriving records and keep them as deltas; handled files are never read twice."""
 
     def load(batch: DataFrame, number: int) -> None:
-        placed = batch.withColumn("arrival", F.monotonically_increasing_id())
-        deltas.put(vuln_row(placed, keep=["arrival"]), number)
+        placed = batch.withColumns(
+            {
+                "arrival": F.monotonically_increasing_id(),
+                "revised": F.get_json_object("raw_json", "$.lastModified"),
+            }
+        )
+        deltas.put(vuln_row(placed, keep=["arrival", "revised"]), number)
 
     return (
         records.writeStream.foreachBatch(load)
@@ -45,14 +50,27 @@ def stream_vuln_ingest(records: DataFrame, deltas: DeltaFolder, checkpoint: str)
     )
 
 
-def fold_vulns(spark: SparkSession, table: VersionedTable, deltas: DeltaFolder) -> int:
-    """Merge all deltas into the stored table; the last arrival of an id counts."""
-    order = F.struct("batch_id", "arrival").alias("place")
-    rows = deltas.read().select("*", order).drop("batch_id", "arrival")
-    incoming = dedupe_last_wins(rows, ["cve_id"], "place")
+def fold_vulns(spark: SparkSession, table: VersionedTable, deltas: DeltaFolder) -> int | None:
+    """Merge the deltas behind the last fold into the stored table; None if there are none.
+
+    Of an id the revision modified last counts, of equal ones the last arrival; a stored row
+    that was modified later stays.  So a fold that is repeated after a failure between the
+    table and the ledger changes nothing.
+    """
+    rows = deltas.unfolded()
+    last = rows.agg(F.max("batch_id")).first()[0]
+    if last is None:
+        return None
+    order = F.struct("revised", "batch_id", "arrival").alias("place")
+    incoming = dedupe_last_wins(
+        rows.select("*", order).drop("batch_id", "arrival", "revised"), ["cve_id"], "place"
+    )
     if table.version() is None:
-        return table.write(incoming)
-    return table.write(merge_keep_vector(table.read(), incoming, ["cve_id"]))
+        number = table.write(incoming)
+    else:
+        number = table.write(merge_keep_vector(table.read(), incoming, ["cve_id"], not_before="last_modified"))
+    deltas.mark_folded(last)
+    return number
 
 
 def listing_deltas(spark: SparkSession, path: str) -> DeltaFolder:

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cvegrid import schemas
 from cvegrid.operators.merge import add_usage
 from cvegrid.operators.metering import usage_daily
+from cvegrid.sources.tables import VersionedTable
 from cvegrid.streaming.deltas import DeltaFolder
 
 
@@ -35,7 +36,19 @@ def stream_usage_daily(events: DataFrame, deltas: DeltaFolder, checkpoint: str)
 
 
 def current_usage(stored: DataFrame | None, deltas: DeltaFolder) -> DataFrame:
-    """Stored counters plus all deltas."""
-    fresh = deltas.read().drop("batch_id")
-    base = fresh.where(F.lit(False)) if stored is None else stored
+    """Stored counters plus the deltas that aren't folded into them yet."""
+    through = -1 if stored is None else (stored.agg(F.max("folded_batch")).first()[0] or -1)
+    fresh = deltas.read().where(F.col("batch_id") > through).drop("batch_id")
+    base = fresh.where(F.lit(False)) if stored is None else stored.drop("folded_batch")
     return add_usage(base, fresh)
+
+
+def fold_usage(table: VersionedTable, deltas: DeltaFolder) -> int:
+    """Write the counters with all deltas added as the table's next version.
+
+    The batch folded last stands in the same version as the sums, so no delta counts twice
+    whenever a fold is broken off or repeated.
+    """
+    stored = table.read() if table.version() is not None else None
+    last = deltas.read().agg(F.max("batch_id")).first()[0]
+    return table.write(current_usage(stored, deltas).withColumn("folded_batch", F.lit(last).cast("bigint")))

@@ -136,12 +136,26 @@ def test_packing_matches_one_by_one(spark):
 
 def test_requests_respect_both_limits():
     texts = [(i, "z" * (i * 7 % 90)) for i in range(300)]
-    requests = list(embed._requests(iter(texts), 200, 12))
-    assert [k for keys, _ in requests for k in keys] == list(range(300))
-    numbers = [n for n, (keys, _) in enumerate(requests) for _ in keys]
+    requests = list(embed._grouped(iter(texts), 200, 12))
+    assert [k for request in requests for k, _ in request] == list(range(300))
+    numbers = [n for n, request in enumerate(requests) for _ in request]
     assert numbers == greedy([len(t) // 2 + 1 for _, t in texts], 200, 12)
 
 
+def test_every_character_is_embedded(spark):
+    long = "ab" * embed.PIECE + "c"
+    rows = spark.createDataFrame([(1, long), (2, "abc"), (3, None), (4, "")], "n long, content string")
+
+    def count(texts):
+        assert all(len(t) <= embed.PIECE for t in texts)
+        return [[float(t.count(x)) for x in "abc"] for t in texts]
+
+    found = {r.n: r.embedding for r in embed.embed_texts(rows, count, "n", max_items=2).collect()}
+    assert found == {1: [embed.PIECE, embed.PIECE, 1], 2: [1, 1, 1], 3: [0, 0, 0], 4: [0, 0, 0]}
+    packed = embed.token_batches(rows.where("n < 3"), "n").orderBy("n", "piece").collect()
+    assert [(r.n, r.piece, r.tokens) for r in packed] == [(1, 0, 8191), (1, 1, 8191), (1, 2, 1), (2, 0, 2)]
+
+
 def test_refused_requests_are_halved(spark):
     def fussy(texts):
         if len(texts) > 3:
@@ -156,7 +170,7 @@ def test_refused_requests_are_halved(spark):
         raise embed.RequestTooLarge(len(texts))
 
     with pytest.raises(embed.RequestTooLarge):
-        embed._embed_or_halve(never, ["a", "b"])
+        embed._answered(never, ["a", "b"])
 
 
 def test_backfill_fills_only_gaps(spark):
