@@ -34,7 +34,9 @@ from .shared import table, whole_text
 VOCABULARY = "word_bpe_49k.json"
 KEPT_WORDS = 1 << 18
 # Characters cut into words at once.
-PIECE = 1 << 20
+PIECE = 1 << 21
+# Rows passed on at once.
+ROWS_AT_ONCE = 1000
 # Pieces whose tree has more leaves than this get one of their own.
 FOREST_LEAVES = 256
 FOREST_CELLS = 1 << 20
@@ -50,6 +52,13 @@ UNSPACED = regex.compile(r"\S+")
 SPACE = regex.compile(r"\s")
 
 
+def spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of all given ranges, one range after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -115,13 +124,15 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, self.order[at], NO_RANK)
 
-    def _forest(self, pieces: list[np.ndarray], leaves: int) -> list[np.ndarray]:
-        """Merge pieces of at most leaves + 1 tokens side by side."""
-        many, wide = len(pieces), leaves + 2
-        tokens = np.full((many, wide), self.nothing, np.int32)
-        for row, piece in enumerate(pieces):
-            tokens[row, : len(piece)] = piece
-        # The last column stands behind every piece; links lead from a token to its neighbours.
+    def _forest(self, tokens: np.ndarray) -> None:
+        """Merge pieces side by side, in place.
+
+        A row holds a piece, filled up with NOTHING to one more than a power of two and one
+        further place that stands behind every piece.  Links lead from a token to its neighbours.
+        """
+        many, wide = tokens.shape
+        leaves = wide - 2
+        levels = leaves.bit_length() - 1
         after = np.tile(np.arange(1, wide + 1, dtype=np.int32), (many, 1))
         after[:, -1] = wide - 1
         before = np.tile(np.arange(-1, wide - 1, dtype=np.int32), (many, 1))
@@ -129,37 +140,41 @@ class Vocabulary:
         tree[:, leaves:] = self.ranks(tokens[:, :leaves], tokens[:, 1 : leaves + 1])
         for node in range(leaves - 1, 0, -1):
             tree[:, node] = np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1])
-        rows = np.flatnonzero(tree[:, 1] != NO_RANK)
+        # All rows in one line, each with the place where its part begins.
+        tokens, after, before, tree = tokens.reshape(-1), after.reshape(-1), before.reshape(-1), tree.reshape(-1)
+        rows = np.flatnonzero(tree[1 :: 2 * leaves] != NO_RANK)
         while len(rows):
-            best = tree[rows, 1]
+            cells, nodes = rows * wide, rows * (2 * leaves)
+            best = tree[nodes + 1]
             node = np.ones(len(rows), np.int64)
-            for _ in range(leaves.bit_length() - 1):
-                node = 2 * node + (tree[rows, 2 * node] != best)
-            left = node - leaves
-            right = after[rows, left]
-            beyond = after[rows, right]
+            for _ in range(levels):
+                node *= 2
+                node += tree[nodes + node] != best
+            left = cells + (node - leaves)
+            right = cells + after[left]
+            beyond = cells + after[right]
             token = self.merged[best]
-            tokens[rows, left] = token
-            tokens[rows, right] = self.nothing
-            after[rows, left] = beyond
-            before[rows, beyond] = left
-            ahead = before[rows, left]
-            has = ahead >= 0
-            inside = right < leaves
-            tree[rows, node] = self.ranks(token, tokens[rows, beyond])
-            tree[rows[inside], leaves + right[inside]] = NO_RANK
-            tree[rows[has], leaves + ahead[has]] = self.ranks(tokens[rows[has], ahead[has]], token[has])
-            changed = [
-                (rows, node),
-                (rows[inside], leaves + right[inside].astype(np.int64)),
-                (rows[has], leaves + ahead[has].astype(np.int64)),
-            ]
-            for _ in range(leaves.bit_length() - 1):
-                changed = [(of, at >> 1) for of, at in changed]
-                for of, at in changed:
-                    tree[of, at] = np.minimum(tree[of, 2 * at], tree[of, 2 * at + 1])
-            rows = rows[tree[rows, 1] != NO_RANK]
-        return [row[row != self.nothing] for row in tokens]
+            tokens[left] = token
+            tokens[right] = self.nothing
+            after[left] = after[right]
+            before[beyond] = node - leaves
+            ahead = before[left]
+            has = np.flatnonzero(ahead >= 0)
+            gone = right - cells
+            inside = np.flatnonzero(gone < leaves)
+            at_left = nodes + node
+            at_right = (nodes + leaves + gone)[inside]
+            at_ahead = (nodes + leaves + ahead)[has]
+            tree[at_left] = self.ranks(token, tokens[beyond])
+            tree[at_right] = NO_RANK
+            tree[at_ahead] = self.ranks(tokens[(cells + ahead)[has]], token[has])
+            start = np.concatenate([nodes, nodes[inside], nodes[has]])
+            changed = np.concatenate([at_left, at_right, at_ahead]) - start
+            for _ in range(levels):
+                changed >>= 1
+                child = start + 2 * changed
+                tree[start + changed] = np.minimum(tree[child], tree[child + 1])
+            rows = rows[tree[nodes + 1] != NO_RANK]
 
     def _alone(self, piece: np.ndarray) -> np.ndarray:
         """Merge one long piece."""
@@ -208,55 +223,84 @@ class Vocabulary:
         Characters that this Python's Unicode tables don't have are left to the vocabulary's
         library, so that both see the same letters.
         """
+        normal = lowered(word)
+        if normal.isalpha():
+            return [normal.encode()]
         if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
             normal = self.library.normalizer.normalize_str(word)
             found = self.library.pre_tokenizer.pre_tokenize_str(normal)
             return [bytes(map(self.byte_of.__getitem__, letters)) for letters, _ in found]
-        return [piece.encode() for piece in WORD_PIECE.findall(lowered(word))]
-
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Token ids of word pieces."""
-        found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
-        classes: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for at, piece in enumerate(pieces):
-            data = np.frombuffer(piece, np.uint8)
-            start = self.inner[data]
-            start[-1] = self.final[data[-1]]
-            if len(start) == 1:
-                found[at] = start
-            elif len(start) - 1 > FOREST_LEAVES:
-                found[at] = self._alone(start)
+        return [piece.encode() for piece in WORD_PIECE.findall(normal)]
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of all pieces in one array, and where each piece's start and how many they are."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        first = self.inner[data]
+        first[ends - 1] = self.final[data[ends - 1]]
+        starts, many = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        found: list[np.ndarray] = []
+        total = 0
+        # The power of two that holds a piece's pairs.
+        leaves_of = 1 << np.ceil(np.log2(np.maximum(sizes - 1, 1))).astype(np.int64)
+        for leaves in np.unique(leaves_of).tolist():
+            members = np.flatnonzero(leaves_of == leaves)
+            if leaves > FOREST_LEAVES:
+                groups = [(members[k : k + 1], None) for k in range(len(members))]
             else:
-                classes.setdefault(1 << (len(start) - 2).bit_length(), []).append((at, start))
-        for leaves, members in classes.items():
-            step = max(1, FOREST_CELLS // leaves)
-            for first in range(0, len(members), step):
-                part = members[first : first + step]
-                for (at, _), ids in zip(part, self._forest([p for _, p in part], leaves), strict=True):
-                    found[at] = ids
-        return found
+                step = max(1, FOREST_CELLS // leaves)
+                groups = [(members[k : k + step], leaves) for k in range(0, len(members), step)]
+            for group, wide in groups:
+                if wide is None:
+                    at = group[0]
+                    ids = self._alone(first[ends[at] - sizes[at] : ends[at]])
+                    counts = np.array([len(ids)])
+                else:
+                    places = np.arange(wide + 2)
+                    within = places < sizes[group, None]
+                    tokens = np.full(within.shape, self.nothing, np.int32)
+                    tokens[within] = first[((ends - sizes)[group, None] + places)[within]]
+                    self._forest(tokens)
+                    left = tokens != self.nothing
+                    counts, ids = left.sum(axis=1), tokens[left]
+                many[group] = counts
+                starts[group] = total + np.cumsum(counts) - counts
+                total += len(ids)
+                found.append(ids)
+        return np.concatenate(found) if found else first, starts, many
 
     def learn(self, words: Iterable[str]) -> None:
         """Find the ids of words that aren't kept yet."""
         new = [w for w in dict.fromkeys(words) if w not in self.place]
         if not new:
             return
-        # A marked word, which begins with a space, is an added token.
-        split = [[] if w[0] == " " else self.split(w) for w in new]
-        pieces = list(dict.fromkeys(p for ps in split for p in ps))
-        of = dict(zip(pieces, self.merge(pieces), strict=True))
-        rows = []
-        for word, parts in zip(new, split, strict=True):
+        numbers: dict[bytes, int] = {}
+        of_word: list[int] = []
+        in_word: list[int] = []
+        added: list[tuple[int, int]] = []
+        for at, word in enumerate(new):
+            # A marked word, which begins with a space, is an added token.
+            pieces = () if word[0] == " " else self.split(word)
             if word[0] == " ":
-                rows.append(np.array([self.added[word[1:]]], np.int32))
-            else:
-                rows.append(of[parts[0]] if len(parts) == 1 else np.concatenate([of[p] for p in parts]))
-        sizes = np.array([len(r) for r in rows], np.int64)
-        first = len(self.place)
-        self.place.update((w, first + n) for n, w in enumerate(new))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+                added.append((at, self.added[word[1:]]))
+            for piece in pieces:
+                of_word.append(numbers.setdefault(piece, len(numbers)))
+            in_word.append(len(pieces))
+        flat, starts, many = self.merge(list(numbers))
+        pieces_of, counts = np.array(of_word, np.int64), np.array(in_word, np.int64)
+        ids = spread(flat, starts[pieces_of], many[pieces_of])
+        upto = np.concatenate([[0], np.cumsum(many[pieces_of])])
+        ends = np.cumsum(counts)
+        sizes = upto[ends] - upto[ends - counts]
+        starts = len(self.flat) + upto[ends - counts]
+        first, base = len(self.place), len(self.flat) + len(ids)
+        for number, (at, _) in enumerate(added):
+            starts[at], sizes[at] = base + number, 1
+        self.place.update(zip(new, range(first, first + len(new)), strict=True))
+        self.starts = np.concatenate([self.starts, starts])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *rows])
+        self.flat = np.concatenate([self.flat, ids, np.array([t for _, t in added], np.int32)])
 
     def words(self, text: str) -> list[str]:
         """Words of a piece of text, added tokens among them marked by a space."""
@@ -275,15 +319,13 @@ class Vocabulary:
             text = text.lower()
         return UNSPACED.findall(text) if SEPARATORS.search(text) else text.split()
 
-    def ids_of(self, words: list[str]) -> np.ndarray:
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each word has."""
         if len(self.place) > KEPT_WORDS:
             self.forget()
         self.learn(words)
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
+        return spread(self.flat, self.starts[at], self.sizes[at]), self.sizes[at]
 
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's end."""
@@ -296,9 +338,8 @@ class Vocabulary:
         def flush() -> None:
             nonlocal total
             if sizes:
-                found = self.ids_of(held)
-                at = np.fromiter(map(self.place.__getitem__, held), np.int64, len(held))
-                upto = np.concatenate([[0], np.cumsum(self.sizes[at])])
+                found, many = self.ids_of(held)
+                upto = np.concatenate([[0], np.cumsum(many)])
                 ends.extend((total + upto[np.cumsum(sizes)]).tolist())
                 ids.append(found)
                 total += len(found)
@@ -311,7 +352,7 @@ class Vocabulary:
                 flush()
                 waiting = 0
                 for piece in cut(text):
-                    ids.append(self.ids_of(self.words(piece)))
+                    ids.append(self.ids_of(self.words(piece))[0])
                     total += len(ids[-1])
                 ends.append(total)
                 continue
@@ -342,9 +383,11 @@ def _more(frame: DataFrame, field: T.StructField, fill: Callable[[pa.RecordBatch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list = []
-        for batch in batches:
-            column = fill(batch, state)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, field.name])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                column = fill(batch, state)
+                yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, field.name])
 
     return frame.mapInArrow(run, schema)
 
