@@ -122,7 +122,8 @@ def reference_urls(record: Column) -> Column:
 
 def iso_date(text: Column) -> Column:
     """The calendar day as written, whatever offset follows; blank is NULL, junk fails."""
-    day = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
+    written = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})($|[T ]\d{2}:\d{2}.*$)", 1)
+    day = F.try_to_date(written, "yyyy-MM-dd")
     failure = F.raise_error(F.concat(F.lit("not an ISO-8601 date: "), text)).cast("date")
     return F.when(F.coalesce(text, F.lit("")) != "", F.coalesce(day, failure))
 

@@ -84,7 +84,7 @@ def token_batches(
     packed = runs.select("run", "items", F.aggregate("items", start, place, lambda s: s["placed"]).alias("placed"))
     return packed.select("run", F.explode(F.arrays_zip("items", "placed")).alias("p")).select(
         F.col("p.items.position").alias(order),
-        F.col("p.items.piece").alias("piece"),
+        F.col("p.items.piece").cast("bigint").alias("piece"),
         "run",
         F.col("p.placed").alias("request"),
         F.col("p.items.tokens").alias("tokens"),

@@ -71,13 +71,15 @@ def knn_batch(
     than one slice, however many queries there are.
     """
     spark = corpus.sparkSession
-    slices = max(1, math.ceil(queries.count() / per_pass))
+    # A query without a vector has no neighbours, nor has one without a direction (all zeros).
+    given = queries.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
+    slices = max(1, math.ceil(given.count() / per_pass))
     kind = corpus.schema[key].dataType.simpleString()
     query_kind = "bigint" if isinstance(queries.schema[query_key].dataType, T.IntegralType) else "string"
     schema = f"{query_key} {query_kind}, {key} {kind}, distance double"
     path = scratch_path(spark, "knn") if slices > 1 else ""
     for number in range(slices):
-        part = queries.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == number)
+        part = given.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == number)
         held = part.select(F.col(query_key).cast(query_kind), F.col("embedding").cast("array<double>")).collect()
         if held:
             near = _nearest_per_task(corpus, [r[0] for r in held], [r[1] for r in held], k, key, schema)

@@ -50,16 +50,17 @@ def _merge(
     old, new = F.col("_old"), F.col("_new")
     columns = []
     for field in current.schema.fields:
-        name = field.name
+        # As text, the type says nothing of nulls, which a cast must not forbid.
+        name, kind = field.name, field.dataType.simpleString()
         if name in keys:
             value = F.col(name)
         elif name in rules:
             value = rules[name](old, new)
         elif name in batch.columns:
-            value = F.when(new["_present"], new[name].cast(field.dataType)).otherwise(old[name])
+            value = F.when(new["_present"], new[name].cast(kind)).otherwise(old[name])
         else:
             value = old[name]
-        columns.append(value.cast(field.dataType).alias(name))
+        columns.append(value.cast(kind).alias(name))
     both = packed(current, "_old").join(packed(batch, "_new"), keys, "full_outer")
     if not_before is not None:
         # A batch row that is older than the stored one counts as absent.

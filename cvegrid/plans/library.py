@@ -22,7 +22,6 @@ from cvegrid.functions.risk import (
 )
 
 CRITICAL = "CRITICAL"
-SALTS = 16
 
 
 def severity(prefix: str = "") -> Column:
@@ -41,15 +40,12 @@ def members(frame: DataFrame, *columns: str) -> DataFrame:
 
 
 def look_up(facts: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """Inner join of many facts with unique lookup rows, safe for a very common key.
+    """Inner join of many facts with unique lookup rows.
 
-    Facts get a salt and every lookup row one copy per salt, so a key held by a third of the
-    facts spreads over that many tasks.  If the lookup side is small at run time the planner
-    broadcasts it and the salt costs nothing.
+    A plain equi-join, so that adaptive execution can broadcast a side that turns out small
+    and else splits the partition of a very common key into as many tasks as its size needs.
     """
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
+    return facts.join(lookup, key)
 
 
 # -- filters -----------------------------------------------------------------------------
@@ -284,8 +280,10 @@ def weakness_detail_with_cves(c: Catalog, cwe_id: str) -> DataFrame:
     listed = c.kev.select("cve_id", "cwes")
     by_catalog = listed.where(holds).select("cve_id")
     by_record = c.nvd.where(holds).select("cve_id").join(listed.select("cve_id"), "cve_id", "left_semi")
-    found = by_catalog.unionByName(by_record).distinct().withColumn("cwe_id", F.lit(cwe_id))
-    return look_up(found, c.cwe.where(F.col("cwe_id") == cwe_id).select("cwe_id", "name", "description"), "cwe_id")
+    found = by_catalog.unionByName(by_record).distinct()
+    # The one definition is a value, not a side of a join on a constant.
+    definition = c.cwe.where(F.col("cwe_id") == cwe_id).agg(F.first(F.struct("cwe_id", "name", "description"))).scalar()
+    return found.withColumn("_detail", definition).where("_detail IS NOT NULL").select("cve_id", "_detail.*")
 
 
 def listed_in_weakness_class(c: Catalog, text: str = "injection") -> DataFrame:

@@ -37,7 +37,8 @@ def stream_usage_daily(events: DataFrame, deltas: DeltaFolder, checkpoint: str)
 
 def current_usage(stored: DataFrame | None, deltas: DeltaFolder) -> DataFrame:
     """Stored counters plus the deltas that aren't folded into them yet."""
-    through = -1 if stored is None else (stored.agg(F.max("folded_batch")).first()[0] or -1)
+    held = None if stored is None else stored.agg(F.max("folded_batch")).first()[0]
+    through = -1 if held is None else held
     fresh = deltas.read().where(F.col("batch_id") > through).drop("batch_id")
     base = fresh.where(F.lit(False)) if stored is None else stored.drop("folded_batch")
     return add_usage(base, fresh)

@@ -231,3 +231,38 @@ def test_shared_folder_is_the_sessions():
         shared_folder(Session(Context("yarn")))
     local = Session(Context("local[2]"))
     assert shared_folder(local) == shared_folder(local) == local.sparkContext.folder
+
+
+def test_a_batch_may_repeat_keys(spark):
+    store = spark.createDataFrame([("A", 1, [1.0])], "cve_id string, n int, embedding array<float>")
+    batch = spark.createDataFrame(
+        [("A", 2, None, 1), ("A", 3, None, 2), ("B", 9, None, 2), ("B", 8, [2.0], 1)],
+        "cve_id string, n int, embedding array<float>, seen int",
+    )
+    merged = merge.merge_keep_vector(store, batch, ["cve_id"], position="seen")
+    assert sorted(map(tuple, merged.collect())) == [("A", 3, [1.0]), ("B", 9, None)]
+    assert merge.merge_overwrite(store, batch.drop("seen"), ["cve_id"]).count() == 2
+    assert tuple(merge.merge_counts(store, batch, ["cve_id"]).first()) == (1, 1)
+    updated = merge.update_from_batch(store, batch, ["cve_id"], "n", position="seen")
+    assert [tuple(r) for r in updated.collect()] == [("A", 3, [1.0])]
+
+
+def test_unknown_columns_are_refused(spark):
+    store = spark.createDataFrame([("A", 1)], "cve_id string, n int")
+    with pytest.raises(ValueError, match="extra"):
+        merge.merge_overwrite(store, store.selectExpr("*", "1 AS extra"), ["cve_id"])
+
+
+def test_older_rows_can_be_left_out(spark):
+    store = spark.createDataFrame([("A", 5, None), ("B", 5, None)], "cve_id string, day int, embedding array<float>")
+    batch = spark.createDataFrame([("A", 4, [1.0]), ("B", 6, [1.0]), ("C", 1, None)], store.schema)
+    merged = merge.merge_keep_vector(store, batch, ["cve_id"], not_before="day")
+    assert sorted((r.cve_id, r.day) for r in merged.collect()) == [("A", 5), ("B", 6), ("C", 1)]
+
+
+def test_a_merge_has_one_shape_whatever_the_sizes(spark):
+    small = spark.range(3).selectExpr("CAST(id AS STRING) AS cve_id", "id AS n")
+    large = spark.range(300_000).selectExpr("CAST(id AS STRING) AS cve_id", "id AS n")
+    for batch in (small, large):
+        plan = merge.merge_overwrite(large, batch, ["cve_id"])._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and "Join FullOuter" in plan

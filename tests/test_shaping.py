@@ -107,9 +107,10 @@ def test_iso_date_keeps_the_written_day(spark, text, day):
 
 
 def test_iso_date_fails_on_junk(spark):
-    frame = spark.createDataFrame([("soon",)], "t string")
-    with pytest.raises(Exception, match="not an ISO-8601 date"):
-        frame.select(shaping.iso_date(F.col("t"))).collect()
+    for junk in ("soon", "2024-01-01junk", "2024-02-30"):
+        frame = spark.createDataFrame([(junk,)], "t string")
+        with pytest.raises(Exception, match="not an ISO-8601 date"):
+            frame.select(shaping.iso_date(F.col("t"))).collect()
 
 
 def test_content_lines(spark):

@@ -82,3 +82,35 @@ def test_new_listings_are_reported_once(spark, tmp_path):
 
     assert run("CVE-1", "CVE-2", "CVE-2") == ["CVE-2"]
     assert run("CVE-2", "CVE-3") == ["CVE-2", "CVE-3"]
+
+
+def test_the_latest_revision_counts_whatever_arrives_last(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "vulns"))
+    revised = lambda year, text: record("CVE-1", text) | {"lastModified": f"{year}-03-01T10:00:00"}
+    page(tmp_path, "1.json", revised(2024, "new"))
+    page(tmp_path, "2.json", revised(2023, "old"))
+    deltas = load(spark, tmp_path)
+    ingest.fold_vulns(spark, table, deltas)
+    assert [r.description for r in table.read().collect()] == ["new"]
+
+    # A fold without new deltas does nothing, and one that is repeated can't undo a newer row.
+    assert ingest.fold_vulns(spark, table, deltas) is None
+    newer = table.read().selectExpr("* EXCEPT (last_modified, description)", "DATE '2025-01-01' AS last_modified", "'newest' AS description")
+    table.write(newer.select(*table.read().columns))
+    again = ingest.DeltaFolder(spark, deltas.path, deltas.schema)
+    again.folded = lambda: -1
+    ingest.fold_vulns(spark, table, again)
+    assert [r.description for r in table.read().collect()] == ["newest"]
+
+
+def test_usage_is_folded_once(spark, tmp_path):
+    deltas = usage.usage_deltas(spark, str(tmp_path / "d"))
+    table = VersionedTable(spark, str(tmp_path / "usage"))
+    rows = spark.createDataFrame([("a", datetime.date(2024, 1, 1), 1, 2, 3)], deltas.schema)
+    for batch, total in ((0, 1), (1, 2)):
+        deltas.put(rows, batch)
+        for _ in range(2):
+            usage.fold_usage(table, deltas)
+            assert [r.query_count for r in table.read().collect()] == [total]
+    deltas.put(rows, 2)
+    assert [r.query_count for r in usage.current_usage(table.read(), deltas).collect()] == [3]

@@ -103,12 +103,12 @@ def test_only_select_is_run(spark, sql):
 
 
 def test_result_is_capped(spark):
-    spark.range(1000).createOrReplaceTempView("numbers")
-    assert guarded.guarded_select(spark, " select id from numbers ; ").count() == 100
-    assert guarded.guarded_select(spark, "SELECT id FROM numbers LIMIT 7").count() == 7
-    inner = "SELECT a.id FROM (SELECT id FROM numbers LIMIT 3) a CROSS JOIN numbers b"
+    spark.range(1000).createOrReplaceTempView("epss_scores")
+    assert guarded.guarded_select(spark, " select id from epss_scores ; ").count() == 100
+    assert guarded.guarded_select(spark, "SELECT id FROM epss_scores LIMIT 7").count() == 7
+    inner = "SELECT a.id FROM (SELECT id FROM epss_scores LIMIT 3) a CROSS JOIN epss_scores b"
     assert guarded.guarded_select(spark, inner).count() == 100
-    top = guarded.guarded_select(spark, "SELECT id FROM numbers ORDER BY id DESC LIMIT 500", max_rows=2)
+    top = guarded.guarded_select(spark, "SELECT id FROM epss_scores ORDER BY id DESC LIMIT 500", max_rows=2)
     assert [r.id for r in top.collect()] == [999, 998]
 
 
@@ -126,3 +126,39 @@ def test_views_carry_the_known_names(spark):
     Catalog(kev=empty, nvd=empty, epss=empty, cwe=empty, snapshot=empty).register_views()
     names = {t.name for t in spark.catalog.listTables() if t.isTemporary}
     assert {"kev_vulnerabilities", "nvd_vulnerabilities", "epss_scores", "cwe_definitions", "v_cve_risk"} <= names
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT TRANSFORM(1) USING 'cat' AS (x STRING)",
+        "SELECT * FROM (SELECT TRANSFORM(cve_id) USING 'cat' AS x FROM v_cve_risk)",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.name')",
+        "SELECT (SELECT reflect('java.lang.System', 'getProperty', 'user.name'))",
+        "SELECT * FROM text.`/etc/hostname`",
+        "SELECT cve_id FROM v_cve_risk WHERE cve_id IN (SELECT value FROM text.`/etc/hostname`)",
+        "SELECT * FROM somewhere_else",
+        "SELECT * FROM default.v_cve_risk",
+        "SELECT * FROM range(10)",
+        "SELECT unheard_of(cve_id) FROM v_cve_risk",
+        "SELECT (",
+    ],
+)
+def test_sql_that_reaches_beyond_the_views_is_refused(spark, sql):
+    spark.range(3).selectExpr("CAST(id AS STRING) AS cve_id").createOrReplaceTempView("v_cve_risk")
+    with pytest.raises(guarded.RejectedSql):
+        guarded.guarded_select(spark, sql)
+
+
+@pytest.mark.parametrize(
+    ("sql", "rows"),
+    [
+        ("SELECT upper(cve_id) FROM V_CVE_RISK WHERE cve_id IN (SELECT cve_id FROM v_cve_risk) ORDER BY 1 LIMIT 2", 2),
+        ("SELECT * FROM (WITH x AS (SELECT * FROM v_cve_risk) SELECT count(*) AS n FROM x HAVING count(*) > 1) y", 1),
+        ("SELECT c, row_number() OVER (ORDER BY c) FROM v_cve_risk LATERAL VIEW explode(array(1, 2)) q AS c", 6),
+        ("SELECT 1 UNION ALL SELECT max(CAST(cve_id AS INT)) FROM v_cve_risk;", 2),
+    ],
+)
+def test_sql_over_the_views_runs(spark, sql, rows):
+    spark.range(3).selectExpr("CAST(id AS STRING) AS cve_id").createOrReplaceTempView("v_cve_risk")
+    assert guarded.guarded_select(spark, sql).count() == rows
