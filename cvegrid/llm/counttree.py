@@ -88,6 +88,27 @@ class Components:
         self.up[max(one, other)] = min(one, other)
 
 
+def _pairs(tree: CountTree, points: np.ndarray, hundredths: int, side: np.ndarray | None):
+    """Pairs that the tree leaves, each once, for some queries at a time."""
+    for start in range(0, len(points), 256):
+        asked, other = tree.near(points[start : start + 256], hundredths)
+        asked = asked + start
+        keep = asked < other if side is None else side[asked] < side[other]
+        yield asked[keep], other[keep]
+
+
+def possible(points: np.ndarray, labels: list[int], hundredths: int, sides: list[int] | None = None) -> Components:
+    """Join the labels of all points whose sets may be similar enough."""
+    found = Components(labels)
+    side = None if sides is None else np.array(sides)
+    number = np.array(labels)
+    for asked, other in _pairs(CountTree(points), points, hundredths, side):
+        one, two = number[asked], number[other]
+        for a, b in set(zip(one[one != two].tolist(), two[one != two].tolist())):
+            found.join(a, b)
+    return found
+
+
 def linked(
     sets: list[np.ndarray], labels: list[int], hundredths: int, sides: list[int] | None = None
 ) -> Components:
@@ -105,13 +126,8 @@ def linked(
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
     marked = np.zeros(len(tokens), np.int32)
-    side = np.zeros(len(sets), np.int64) if sides is None else np.array(sides)
-    for start in range(0, len(sets), 256):
-        asked, other = tree.near(points[start : start + 256], hundredths)
-        asked = asked + start
-        # Each pair once.
-        keep = (side[asked] < side[other]) if sides is not None else (asked < other)
-        asked, other = asked[keep], other[keep]
+    side = None if sides is None else np.array(sides)
+    for asked, other in _pairs(tree, points, hundredths, side):
         turn = np.argsort(asked, kind="stable")
         asked, other = asked[turn], other[turn]
         for query in np.unique(asked).tolist():

@@ -14,8 +14,9 @@ group is expanded into pairs:
 1. each document goes to one of the groups it is in, large groups are dealt out in blocks;
    similar documents become components;
 2. as long as groups hold several components, one document of each is compared in one group;
-3. what still shares a group without having met is compared wholly, in blocks by size, each
-   block only with those whose sizes allow the similarity.
+3. what still shares a group without having met is compared wholly: first the count vectors of
+   each group, then the sets of what that leaves, large groups in blocks by size, each block only
+   with those whose sizes allow the similarity.
 
 Equal sets are one from the start.  Tokens are told apart by 64-bit hashes when counted and by
 their first 40 bits when a pair is compared.
@@ -38,16 +39,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors
-from .counttree import linked
+from .counttree import linked, points_of, possible
 from .passages import NO_ID
 from .shared import batch_of, rows_of, stored, table, whole_text
 
 SHINGLE = 4
 HUNDREDTHS = 85
 # Sets of classes below this size have a cell for every token.
-CELLS_FROM = 256
+CELLS_FROM = 128
 BLOCK = 1024
 TOKEN_BYTES = 5
+SETS = "_at bigint, _size bigint, _set binary, _point binary"
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -119,33 +121,48 @@ def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(at, len(s := shingles(text)), packed(s)) for at, text in rows_of(batch)]
-        yield batch_of(rows, "_at bigint, _size bigint, _set binary")
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labels and what they become, from rows of group, label, side and set sorted by group."""
-    rows = (row for batch in batches for row in rows_of(batch))
-    made: list[tuple[int, int]] = []
-    for _, members in groupby(rows, key=lambda row: row[0]):
-        _, labels, sides, sets = zip(*members, strict=True)
-        if len(set(labels)) > 1:
-            compared = list(sides) if len(set(sides)) > 1 else None
-            found = linked([unpacked(s) for s in sets], list(labels), HUNDREDTHS, compared)
-            made += [(label, root) for label in found.up if (root := found.root(label)) != label]
-        if len(made) >= 10_000:
-            yield batch_of(made, "_label bigint, _root bigint")
-            made = []
-    yield batch_of(made, "_label bigint, _root bigint")
-
-
-def _compared(groups: DataFrame) -> DataFrame:
+        rows = []
+        for at, text in rows_of(batch):
+            tokens = shingles(text)
+            point = points_of([unpacked(packed(tokens))])[0].astype("<i4")
+            rows.append((at, len(tokens), packed(tokens), point.tobytes()))
+        yield batch_of(rows, SETS)
+
+
+def _joining(exact: bool):
+    """Labels and what they become, from rows of group, label, side and set sorted by group.
+
+    Without exact, rows hold points instead of sets, and all that the tree leaves is joined.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in rows_of(batch))
+        made: list[tuple[int, int]] = []
+        for _, members in groupby(rows, key=lambda row: row[0]):
+            _, labels, sides, held = zip(*members, strict=True)
+            if len(set(labels)) > 1:
+                compared = list(sides) if len(set(sides)) > 1 else None
+                if exact:
+                    found = linked([unpacked(h) for h in held], list(labels), HUNDREDTHS, compared)
+                else:
+                    points = np.frombuffer(b"".join(held), "<i4").reshape(len(held), -1)
+                    found = possible(points, list(labels), HUNDREDTHS, compared)
+                made += [(label, root) for label in found.up if (root := found.root(label)) != label]
+            if len(made) >= 10_000:
+                yield batch_of(made, "_label bigint, _root bigint")
+                made = []
+        yield batch_of(made, "_label bigint, _root bigint")
+
+    return run
+
+
+def _compared(groups: DataFrame, exact: bool = True) -> DataFrame:
     """(_label, _root) for labels that join others of their group; groups: _group, _label, _side, _set."""
     return (
-        groups.select("_group", "_label", "_side", "_set")
+        groups.select("_group", "_label", "_side", "_set" if exact else "_point")
         .repartition("_group")
         .sortWithinPartitions("_group", "_label")
-        .mapInArrow(_joined, "_label bigint, _root bigint")
+        .mapInArrow(_joining(exact), "_label bigint, _root bigint")
     )
 
 
@@ -204,7 +221,7 @@ def component_of(documents: DataFrame, text: str = "text") -> DataFrame:
     homes = members.groupBy("_at").agg(F.min(F.struct("_cell", "_rows")).alias("_home"))
     homes = homes.select("_at", "_home.*").withColumn("_block", F.pmod(F.xxhash64("_at"), F.ceil(F.col("_rows") / BLOCK)))
     sets = stored(
-        texts.join(homes.select("_at"), "_at", "left_semi").mapInArrow(_packed_sets, "_at bigint, _size bigint, _set binary"),
+        texts.join(homes.select("_at"), "_at", "left_semi").mapInArrow(_packed_sets, SETS),
         "join-sets",
     )
     first = sets.join(homes, "_at").select(
@@ -255,37 +272,59 @@ def component_of(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _whole(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """(_label, _root) of all that shares an open cell, compared in blocks by size."""
-    together = components(
-        left.select("_label", F.col("_least").alias("_root")).where("_label != _root").distinct()
-    ).select("_label", F.col("_root").alias("_bunch"))
-    open_ = left.select("_at", "_label").distinct().join(together, "_label")
-    sized = open_.join(sets.select("_at", "_size"), "_at")
-    # Blocks are a twelfth of a doubling wide and split further by hash where they are large.
-    sized = sized.withColumn("_band", F.floor(F.log2("_size") * 12))
-    bands = sized.groupBy("_bunch", "_band").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
-        "_parts", F.ceil(F.col("_rows") / BLOCK)
+    """(_label, _root) of all that shares an open cell.
+
+    Points are compared within each cell; what the tree leaves, and what that is joined to, is
+    compared token by token.
+    """
+    sized = left.select("_cell", "_at", "_label").join(sets.select("_at", "_size"), "_at")
+    dealt = _blocks(sized.withColumnRenamed("_cell", "_bunch"))
+    maybe = stored(_compared(dealt.join(sets.select("_at", "_point"), "_at"), exact=False).distinct(), "join-maybe")
+    if maybe.isEmpty():
+        return maybe
+    bunches = components(maybe).withColumnRenamed("_root", "_bunch")
+    open_ = sized.select("_at", "_label", "_size").distinct().join(bunches, "_label")
+    return _compared(_blocks(open_).join(sets.select("_at", "_set"), "_at"))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(_group, _label, _side, _at): all that is to be compared of each _bunch, by _size.
+
+    A bunch of up to BLOCK rows is one group.  A larger one is cut into bands, twelve to a
+    doubling of the size, and these into parts; any two whose sizes allow the similarity make a
+    group, the two being its sides.
+    """
+    many = members.groupBy("_bunch").agg(F.count(F.lit(1)).alias("_rows"))
+    placed = members.join(many, "_bunch")
+    small = placed.where(F.col("_rows") <= BLOCK).select(
+        F.xxhash64("_bunch").alias("_group"), "_label", F.lit(0).alias("_side"), "_at"
+    )
+    large = placed.where(F.col("_rows") > BLOCK).withColumn("_band", F.floor(F.log2("_size") * 12))
+    bands = (
+        large.groupBy("_bunch", "_band")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_bunch", "_band", F.ceil(F.col("_rows") / BLOCK).alias("_parts"))
     )
     parts = bands.select("_bunch", "_band", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     # Sizes that differ by more than 1 / 0.85, under three bands and some, can't be similar.
-    near = parts.alias("a").join(
-        parts.alias("b"),
+    one, other = parts.alias("a"), parts.alias("b")
+    near = one.join(
+        other,
         (F.col("a._bunch") == F.col("b._bunch"))
         & (F.col("b._band") - F.col("a._band")).between(0, 3)
-        & F.struct("a._band", "a._part").__le__(F.struct("b._band", "b._part")),
+        & ((F.col("a._band") < F.col("b._band")) | (F.col("a._part") <= F.col("b._part"))),
+    )
+    block = lambda of, side: F.struct(
+        F.col(f"{of}._band").alias("_band"), F.col(f"{of}._part").alias("_part"), F.lit(side).alias("_side")
     )
-    name = lambda s: F.struct(F.col(f"{s}._band").alias("_band"), F.col(f"{s}._part").alias("_part"))
+    alone = (F.col("a._band") == F.col("b._band")) & (F.col("a._part") == F.col("b._part"))
     cells_ = near.select(
         F.col("a._bunch").alias("_bunch"),
         F.xxhash64("a._bunch", "a._band", "a._part", "b._band", "b._part").alias("_group"),
-        F.explode(F.array_distinct(F.array(name("a"), name("b")))).alias("_block"),
-        name("a").alias("_first"),
-    ).select("_bunch", "_group", "_block._band", "_block._part", (F.col("_block") != F.col("_first")).cast("int").alias("_side"))
-    dealt = sized.join(bands.select("_bunch", "_band", "_parts"), ["_bunch", "_band"]).withColumn(
-        "_part", F.pmod(F.xxhash64("_at"), F.col("_parts"))
-    )
-    groups = dealt.join(cells_, ["_bunch", "_band", "_part"]).select("_group", "_label", "_side", "_at")
-    return _compared(groups.join(sets.select("_at", "_set"), "_at"))
+        F.explode(F.when(alone, F.array(block("a", 0))).otherwise(F.array(block("a", 0), block("b", 1)))).alias("_block"),
+    ).select("_bunch", "_group", "_block.*")
+    dealt = large.join(bands, ["_bunch", "_band"]).withColumn("_part", F.pmod(F.xxhash64("_at"), F.col("_parts")))
+    return small.union(dealt.join(cells_, ["_bunch", "_band", "_part"]).select("_group", "_label", "_side", "_at"))
 
 
 def op7_count_tree_join(spark, sf_dir: str) -> DataFrame:
