@@ -46,16 +46,22 @@ POWERS = Powers()
 
 def mixed(values: np.ndarray) -> np.ndarray:
     """The values scattered over 64 bits."""
-    values = (values ^ (values >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    values = (values ^ (values >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return values ^ (values >> np.uint64(33))
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+    values ^= values >> np.uint64(29)
+    return values
 
 
-def range_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of unit ranges, independent of where they stand."""
+def _sums(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of units times powers, and the inverse powers."""
     up, down = POWERS.upto(len(units) + 1)
     sums = np.zeros(len(units) + 1, np.uint64)
     np.cumsum((units.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return sums, down
+
+
+def range_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of unit ranges, independent of where they stand."""
+    sums, down = _sums(units)
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
@@ -63,8 +69,8 @@ def run_hashes(units: np.ndarray, span: int) -> np.ndarray:
     """Hashes of all runs of `span` units."""
     if len(units) < span:
         return np.zeros(0, np.uint64)
-    starts = np.arange(len(units) - span + 1)
-    return range_hashes(units, starts, starts + span)
+    sums, down = _sums(units)
+    return mixed((sums[span:] - sums[:-span]) * down[: len(units) - span + 1])
 
 
 def word_ranges(data: bytes) -> tuple[np.ndarray, np.ndarray]:

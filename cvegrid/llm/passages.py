@@ -32,6 +32,8 @@ from .shared import batch_of, rows_of, stored, whole_text
 HOT = 100_000
 # Bytes of distinct stretches that are examined together.
 EXAMINED = 1 << 20
+# Bytes of stretches that a task keeps in mind while it sends them.
+REMEMBERED = 32 << 20
 NO_ID = -(1 << 63)
 
 Stretch = tuple[int, int, int, int, bytes]
@@ -107,10 +109,17 @@ def _counted(unit: Unit):
 
 
 def _sent(unit: Unit):
-    """Stretches around the repeated anchors of texts that no earlier document has."""
-    shape = "_group bigint, _at bigint, _which int, _start bigint, _content binary"
+    """Stretches around the repeated anchors of texts that no earlier document has.
+
+    A stretch that the task has already sent for an earlier place need not be sent again: all of
+    it is to be cut, and only that is passed on, as a row without content.  So a passage that
+    very many texts hold is sent once a task, not once a text.
+    """
+    shape = "_group bigint, _at bigint, _which int, _start bigint, _end bigint, _content binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earliest: dict[bytes, tuple[int, int, int]] = {}
+        remembered = 0
         for batch in batches:
             names = batch.schema.names
             at_, text_, digest_, texts_, repeated_, hot_ = (
@@ -131,14 +140,27 @@ def _sent(unit: Unit):
                 hashes = hashes.view(np.int64)
                 hot = set(hot_[n].as_py() or ())
                 stretch = unit.stretches(data)
+                wanted: list[tuple[int, int, int]] = []
                 for k in np.flatnonzero(np.isin(hashes, np.array(repeated, np.int64))).tolist():
-                    group, start, end = int(hashes[k]), int(first[k]), int(last[k])
+                    group, start, end = int(hashes[k]), int(first[k]), int(last[k]) + unit.length
                     if group in hot:
-                        windows = anchors.run_hashes(values[start : end + unit.length], unit.length)
-                        for place, own in enumerate(windows.view(np.int64).tolist(), start):
-                            rows.append((own, at, which, place, stretch(place, place + unit.length)))
+                        windows = anchors.run_hashes(values[start:end], unit.length).view(np.int64).tolist()
+                        wanted += [(own, place, place + unit.length) for place, own in enumerate(windows, start)]
                     else:
-                        rows.append((group, at, which, start, stretch(start, end + unit.length)))
+                        wanted.append((group, start, end))
+                known = []
+                for group, start, end in wanted:
+                    content, here = stretch(start, end), (at, which, start)
+                    if earliest.setdefault(content, here) < here:
+                        known.append((start, end))
+                        continue
+                    earliest[content] = here
+                    remembered += len(content)
+                    rows.append((group, *here, end, content))
+                rows += [(at, at, which, start, end, None) for start, end in merged(known)]
+                if remembered >= REMEMBERED:
+                    earliest.clear()
+                    remembered = 0
                 if len(rows) >= 20_000:
                     yield batch_of(rows, shape)
                     rows = []
@@ -147,7 +169,7 @@ def _sent(unit: Unit):
     return run, shape
 
 
-def _examined(finder: Finder, length_of: Callable[[bytes], int]):
+def _examined(finder: Finder):
     """Ranges to cut, from stretches sorted by group and document order."""
     shape = "_at bigint, _which int, _first bigint, _end bigint"
 
@@ -173,13 +195,13 @@ def _examined(finder: Finder, length_of: Callable[[bytes], int]):
             seen: set[bytes] = set()
             waiting: list[tuple] = []
             before = None
-            for _, at, which, start, content in members:
-                if (at, which, start) == before:
+            for _, at, which, start, end, content in members:
+                if content is not None and (at, which, start) == before:
                     continue
                 before = (at, which, start)
-                if content in seen:
+                if content is None or content in seen:
                     # All its windows start earlier, where the first such stretch stands.
-                    waiting.append((at, which, start, start + length_of(content)))
+                    waiting.append((at, which, start, end))
                     if len(waiting) >= 10_000:
                         yield batch_of(waiting, shape)
                         waiting = []
@@ -236,7 +258,7 @@ def cut_repeats(documents: DataFrame, text: str, unit: Unit, finder: Finder, cut
     dealt = prepared.repartition("_at")
     emit, shape = _sent(unit)
     sent = dealt.join(known, "_at").mapInArrow(emit, shape)
-    emit, shape = _examined(finder, lambda content: content.count(b" ") + 1 if unit.words else len(content))
+    emit, shape = _examined(finder)
     ranges = (
         sent.repartition("_group")
         .sortWithinPartitions("_group", "_at", "_which", "_start")

@@ -27,44 +27,66 @@ SPAN = 20
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, sorted by at least their first `depth` symbols."""
-    rank = symbols.astype(np.int64)
-    many, known = len(symbols), 1
+    """Starts of all suffixes, sorted by at least their first `depth` symbols.
+
+    The first symbols are compared as one number; from then on the order of what follows
+    doubles the length that is told apart, among those suffixes only that are still alike.
+    Behind the end stand zeros.
+    """
+    many = len(symbols)
+    bits = max(1, int(symbols.max(initial=0)).bit_length())
+    known = 63 // bits
+    numbers = np.zeros(many, np.int64)
+    padded = np.concatenate([symbols.astype(np.int64), np.zeros(known, np.int64)])
+    for at in range(known):
+        numbers = numbers << bits | padded[at : at + many]
+    order = np.argsort(numbers)
+    # A suffix's rank is the place of the first one that is like it so far.
+    slots, keys = np.arange(many), numbers[order]
+    rank = np.zeros(many, np.int64)
     while True:
-        after = np.zeros(many, np.int64)
-        if known < many:
-            after[: many - known] = rank[known:] + 1
-        pairs = rank * (int(after.max(initial=0)) + 1) + after
-        order = np.argsort(pairs, kind="stable")
-        known *= 2
-        if known >= depth or many < 2:
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        rank[order[slots]] = slots[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        alone = new & np.concatenate([new[1:], [True]])
+        slots = slots[~alone]
+        if known >= depth or not len(slots):
             return order
-        sorted_ = pairs[order]
-        rank = np.empty(many, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+        members = order[slots]
+        behind = members + known
+        after = np.where(behind < many, rank[np.minimum(behind, many - 1)] + 1, 0)
+        keys = rank[members] * (many + 1) + after
+        turn = np.argsort(keys)
+        order[slots], keys = members[turn], keys[turn]
+        known *= 2
 
 
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """Common prefix of each sorted suffix with the one before it, -1 where it is `least` or more."""
     many = len(order)
-    transform = symbols[order - 1]
-    # Where each suffix's one-longer neighbour stands in the sorted order.
+    # Where each sorted suffix stands once its own first symbol is gone, and the way back: where
+    # the one that is longer by the preceding symbol stands.
+    forward = np.argsort(symbols[order - 1], kind="stable")
     backward = np.empty(many, np.int64)
-    backward[np.argsort(transform, kind="stable")] = np.arange(many)
+    backward[forward] = np.arange(many)
+    leading = symbols[order]
     prefixes = np.full(many + 1, -1, np.int32)
     prefixes[0] = prefixes[many] = 0
     starts, ends = np.array([0]), np.array([many])
+    of = np.zeros(many, np.int32)
     for length in range(least):
         sizes = ends - starts
         total = int(sizes.sum())
         if not total:
             break
-        upto = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        members = np.arange(total) - np.repeat(upto - sizes - starts, sizes)
-        reached = backward[members]
-        turn = np.argsort(reached)
-        reached, owner, symbol = reached[turn], owner[turn], transform[members[turn]]
+        members = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+        of[members] = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        if 8 * total > many:
+            longer = np.zeros(many, bool)
+            longer[backward[members]] = True
+            reached = np.flatnonzero(longer)
+        else:
+            reached = np.sort(backward[members])
+        owner, symbol = of[forward[reached]], leading[reached]
         # One interval for each preceding symbol of each interval.
         edge = np.flatnonzero((owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1]))
         firsts = reached[np.concatenate([[0], edge + 1])]
