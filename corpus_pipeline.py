@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from cvegrid.llm import bpe, jaccard, mixing, phrases, quality
 from cvegrid.llm.shared import stored, table, whole_text
 
+# Of the near-duplicate stage; the query op7 has its own.
+SHINGLE = 5
+HUNDREDTHS = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules, weighed against each other, hold for good."""
@@ -19,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
-    return jaccard.one_of_each(docs)
+    """The first document of each group of near duplicates: five words a shingle, similarity 0.8."""
+    return jaccard.one_of_each(docs, shingle=SHINGLE, hundredths=HUNDREDTHS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
-"""Similarity join on word shingles: components of documents with Jaccard similarity 0.85 or more.
+"""Similarity join on word shingles: components of documents with enough Jaccard similarity.
 
-Routing.  Tokens are hashed four-word shingles.  By the size of its set a document belongs to a
+The registered query takes four words a shingle and a similarity of 0.85; callers may take others.
+
+Routing.  Tokens are hashed shingles.  By the size of its set a document belongs to a
 class, and its tokens to as many cells as suit the class; sets that are similar enough differ in
 few cells, so of their cells, in the order of the hashes of what they hold, the first few must
 have one in common.  Documents emit those cells' hashes; no similar pair is lost, and a passage
@@ -22,7 +24,7 @@ Equal sets are one from the start.  Tokens are told apart by 64-bit hashes when
 their first 40 bits when a pair is compared.
 
 Defined cases: a document without words or text has an empty set and is linked with nothing; one
-of fewer than four words has the whole sequence as its only shingle; rows that share a doc_id are
+of fewer words than a shingle has the whole sequence as its only shingle; rows that share a doc_id are
 linked with each other; a null doc_id is smaller than all others and gives a null component; an
 empty table gives an empty result; other columns are not read.
 """
@@ -30,6 +32,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -43,6 +46,7 @@ from .counttree import linked, points_of, possible
 from .passages import NO_ID
 from .shared import batch_of, rows_of, stored, table, whole_text
 
+# Fixed by the contract of the query.
 SHINGLE = 4
 HUNDREDTHS = 85
 # Sets of classes below this size have a cell for every token.
@@ -60,13 +64,22 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(anchors.run_hashes(words, shingle))
 
 
-def _cells(tokens: np.ndarray, size_class: int, differ: int) -> np.ndarray:
+def _cell_bits(size_class: int, hundredths: int) -> int:
+    """Bits of the number of cells: so many cells that those which may differ are not all that are filled."""
+    # Differing tokens to 2 ** size_class, at most; a fifth of the cells may be empty.
+    bits = size_class - 1
+    while 10 * (100 - hundredths) * 2 ** (size_class - bits) > 4 * hundredths:
+        bits += 1
+    return bits
+
+
+def _cells(tokens: np.ndarray, size_class: int, differ: int, hundredths: int) -> np.ndarray:
     """Hashes of the first cells, one more than may differ."""
     salt = np.uint64(0x9E3779B97F4A7C15 * (size_class + 1) & (1 << 64) - 1)
     if 1 << size_class < CELLS_FROM:
         held = anchors.mixed(tokens ^ salt)
     else:
-        cell = tokens >> np.uint64(64 - (size_class - 1))
+        cell = tokens >> np.uint64(64 - _cell_bits(size_class, hundredths))
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         held = anchors.mixed(np.add.reduceat(anchors.mixed(tokens ^ salt), first) + cell[first])
     if differ + 1 < len(held):
@@ -82,9 +95,9 @@ def cells(tokens: np.ndarray, hundredths: int = HUNDREDTHS) -> np.ndarray:
     size_class = size.bit_length() - 1
     # Tokens in which two sets may differ, by their sizes together.
     apart = lambda sizes: (100 - hundredths) * sizes // (100 + hundredths)
-    found = [_cells(tokens, size_class, apart(size + 100 * size // hundredths))]
+    found = [_cells(tokens, size_class, apart(size + 100 * size // hundredths), hundredths)]
     if size_class and -(-hundredths * size // 100) < 1 << size_class:
-        found.append(_cells(tokens, size_class - 1, apart(2 * size)))
+        found.append(_cells(tokens, size_class - 1, apart(2 * size), hundredths))
     return np.concatenate(found)
 
 
@@ -98,38 +111,47 @@ def unpacked(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view(">u8").astype(np.uint64)
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for at, text in rows_of(batch):
-            tokens = shingles(text)
-            rows.append((at, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest() if len(tokens) else None))
-        yield batch_of(rows, "_at bigint, _size bigint, _digest string")
-
-
-def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at, text in rows_of(batch):
-            own = cells(shingles(text)).view(np.int64)
-            found.append(own)
-            owners.append(np.full(len(own), at, np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(found)), pa.array(np.concatenate(owners))], names=["_cell", "_at"]
-        )
+def _measured(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for at, text in rows_of(batch):
+                tokens = shingles(text, shingle)
+                rows.append((at, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest() if len(tokens) else None))
+            yield batch_of(rows, "_at bigint, _size bigint, _digest string")
+
+    return run
 
 
-def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for at, text in rows_of(batch):
-            tokens = shingles(text)
-            point = points_of([unpacked(packed(tokens))])[0].astype("<i4")
-            rows.append((at, len(tokens), packed(tokens), point.tobytes()))
-        yield batch_of(rows, SETS)
+def _emitted(shingle: int, hundredths: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, text in rows_of(batch):
+                own = cells(shingles(text, shingle), hundredths).view(np.int64)
+                found.append(own)
+                owners.append(np.full(len(own), at, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found)), pa.array(np.concatenate(owners))], names=["_cell", "_at"]
+            )
 
+    return run
 
-def _joining(exact: bool):
+
+def _packed_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for at, text in rows_of(batch):
+                tokens = shingles(text, shingle)
+                point = points_of([unpacked(packed(tokens))])[0].astype("<i4")
+                rows.append((at, len(tokens), packed(tokens), point.tobytes()))
+            yield batch_of(rows, SETS)
+
+    return run
+
+
+def _joining(hundredths: int, exact: bool):
     """Labels and what they become, from rows of group, label, side and set sorted by group.
 
     Without exact, rows hold points instead of sets, and all that the tree leaves is joined.
@@ -143,10 +165,10 @@ def _joining(exact: bool):
             if len(set(labels)) > 1:
                 compared = list(sides) if len(set(sides)) > 1 else None
                 if exact:
-                    found = linked([unpacked(h) for h in held], list(labels), HUNDREDTHS, compared)
+                    found = linked([unpacked(h) for h in held], list(labels), hundredths, compared)
                 else:
                     points = np.frombuffer(b"".join(held), "<i4").reshape(len(held), -1)
-                    found = possible(points, list(labels), HUNDREDTHS, compared)
+                    found = possible(points, list(labels), hundredths, compared)
                 made += [(label, root) for label in found.up if (root := found.root(label)) != label]
             if len(made) >= 10_000:
                 yield batch_of(made, "_label bigint, _root bigint")
@@ -156,13 +178,13 @@ def _joining(exact: bool):
     return run
 
 
-def _compared(groups: DataFrame, exact: bool = True) -> DataFrame:
+def _compared(groups: DataFrame, hundredths: int, exact: bool = True) -> DataFrame:
     """(_label, _root) for labels that join others of their group; groups: _group, _label, _side, _set."""
     return (
         groups.select("_group", "_label", "_side", "_set" if exact else "_point")
         .repartition("_group")
         .sortWithinPartitions("_group", "_label")
-        .mapInArrow(_joining(exact), "_label bigint, _root bigint")
+        .mapInArrow(_joining(hundredths, exact), "_label bigint, _root bigint")
     )
 
 
@@ -198,12 +220,17 @@ def _relabelled(documents: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def component_of(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(_at, _size, _label): each row's set size and the smallest _at its links reach."""
+def component_of(
+    documents: DataFrame, text: str = "text", shingle: int = SHINGLE, hundredths: int = HUNDREDTHS
+) -> DataFrame:
+    """(_at, _size, _label): each row's set size and the smallest _at its links reach.
+
+    Sets of so many words a shingle are linked from so many hundredths of Jaccard similarity.
+    """
     texts = documents.select(
         F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("_at"), whole_text(text).alias("_text")
     )
-    sizes = stored(texts.mapInArrow(_measured, "_at bigint, _size bigint, _digest string"), "join-sizes")
+    sizes = stored(texts.mapInArrow(_measured(shingle), "_at bigint, _size bigint, _digest string"), "join-sizes")
     # Equal sets have one representative; rows that share an id meet through it.
     some = sizes.where("_digest is not null")
     classes = some.groupBy("_digest").agg(F.min("_at").alias("_label"))
@@ -212,7 +239,7 @@ def component_of(documents: DataFrame, text: str = "text") -> DataFrame:
     same = stored(equal, "join-classes")
     leaders = same.where("_at = _label").select("_at").distinct()
 
-    emitted = texts.mapInArrow(_emitted, "_cell bigint, _at bigint")
+    emitted = texts.mapInArrow(_emitted(shingle, hundredths), "_cell bigint, _at bigint")
     repeated = emitted.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_cell")
     met = emitted.join(repeated, "_cell").join(leaders, "_at", "left_semi").distinct()
     many = met.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
@@ -221,14 +248,14 @@ def component_of(documents: DataFrame, text: str = "text") -> DataFrame:
     homes = members.groupBy("_at").agg(F.min(F.struct("_cell", "_rows")).alias("_home"))
     homes = homes.select("_at", "_home.*").withColumn("_block", F.pmod(F.xxhash64("_at"), F.ceil(F.col("_rows") / BLOCK)))
     sets = stored(
-        texts.join(homes.select("_at"), "_at", "left_semi").mapInArrow(_packed_sets, SETS),
+        texts.join(homes.select("_at"), "_at", "left_semi").mapInArrow(_packed_sets(shingle), SETS),
         "join-sets",
     )
     first = sets.join(homes, "_at").select(
         F.xxhash64("_cell", "_block").alias("_group"), F.col("_at").alias("_label"), F.lit(0).alias("_side"), "_set"
     )
     start = members.select("_at").distinct().withColumn("_label", F.col("_at"))
-    labels = stored(_relabelled(start, _compared(first)), "join-labels")
+    labels = stored(_relabelled(start, _compared(first, hundredths)), "join-labels")
 
     while True:
         placed = members.select("_cell", "_at").join(labels, "_at")
@@ -245,10 +272,10 @@ def component_of(documents: DataFrame, text: str = "text") -> DataFrame:
         groups = sets.join(speaker, "_at").select(
             F.xxhash64("_cell", "_block").alias("_group"), "_label", F.lit(0).alias("_side"), "_set"
         )
-        roots = stored(_compared(groups), "join-roots")
+        roots = stored(_compared(groups, hundredths), "join-roots")
         if roots.isEmpty():
             # No representative joins another: compare all that is left, then nothing is open.
-            whole = stored(_whole(left, sets), "join-roots")
+            whole = stored(_whole(left, sets, hundredths), "join-roots")
             if not whole.isEmpty():
                 labels = stored(_relabelled(labels, components(whole)), "join-labels")
             break
@@ -271,23 +298,24 @@ def component_of(documents: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _whole(left: DataFrame, sets: DataFrame) -> DataFrame:
+def _whole(left: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
     """(_label, _root) of all that shares an open cell.
 
     Points are compared within each cell; what the tree leaves, and what that is joined to, is
     compared token by token.
     """
     sized = left.select("_cell", "_at", "_label").join(sets.select("_at", "_size"), "_at")
-    dealt = _blocks(sized.withColumnRenamed("_cell", "_bunch"))
-    maybe = stored(_compared(dealt.join(sets.select("_at", "_point"), "_at"), exact=False).distinct(), "join-maybe")
+    dealt = _blocks(sized.withColumnRenamed("_cell", "_bunch"), hundredths)
+    points = dealt.join(sets.select("_at", "_point"), "_at")
+    maybe = stored(_compared(points, hundredths, exact=False).distinct(), "join-maybe")
     if maybe.isEmpty():
         return maybe
     bunches = components(maybe).withColumnRenamed("_root", "_bunch")
     open_ = sized.select("_at", "_label", "_size").distinct().join(bunches, "_label")
-    return _compared(_blocks(open_).join(sets.select("_at", "_set"), "_at"))
+    return _compared(_blocks(open_, hundredths).join(sets.select("_at", "_set"), "_at"), hundredths)
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, hundredths: int) -> DataFrame:
     """(_group, _label, _side, _at): all that is to be compared of each _bunch, by _size.
 
     A bunch of up to BLOCK rows is one group.  A larger one is cut into bands, twelve to a
@@ -306,12 +334,13 @@ def _blocks(members: DataFrame) -> DataFrame:
         .select("_bunch", "_band", F.ceil(F.col("_rows") / BLOCK).alias("_parts"))
     )
     parts = bands.select("_bunch", "_band", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    # Sizes that differ by more than 1 / 0.85, under three bands and some, can't be similar.
+    # Sizes that differ by more than the similarity allows can't be similar.
+    reach = math.ceil(12 * math.log2(100 / hundredths))
     one, other = parts.alias("a"), parts.alias("b")
     near = one.join(
         other,
         (F.col("a._bunch") == F.col("b._bunch"))
-        & (F.col("b._band") - F.col("a._band")).between(0, 3)
+        & (F.col("b._band") - F.col("a._band")).between(0, reach)
         & ((F.col("a._band") < F.col("b._band")) | (F.col("a._part") <= F.col("b._part"))),
     )
     block = lambda of, side: F.struct(
@@ -336,9 +365,11 @@ def op7_count_tree_join(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
+def one_of_each(
+    documents: DataFrame, text: str = "text", shingle: int = SHINGLE, hundredths: int = HUNDREDTHS
+) -> DataFrame:
     """One row of each component, the first, as it came; of rows that share its id, one."""
-    firsts = component_of(documents, text).where("_at = _label").select("_at").distinct()
+    firsts = component_of(documents, text, shingle, hundredths).where("_at = _label").select("_at").distinct()
     at = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long")
     rows = documents.select(at.alias("_at"), F.struct(*documents.columns).alias("_row"))
     kept = rows.join(firsts, "_at", "left_semi")

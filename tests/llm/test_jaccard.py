@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from cvegrid.llm import counttree, jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,6 +88,61 @@ def test_shared_ids_are_linked(spark):
     assert found == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def brute_at(rows, shingle, hundredths):
+    """The smallest id reached, by a look at all pairs."""
+    sets = {}
+    for at, text in rows:
+        words = WORD.findall((text or "").translate(CAPITALS))
+        runs = {tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1)}
+        sets[at] = runs or ({tuple(words)} if words else set())
+    label = {at: at for at in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= hundredths * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {at: low if of == high else of for at, of in label.items()}
+    return {at: (len(sets[at]), label[at]) for at in sets}
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_components_of_other_shingles(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = near_copies(random.Random(6))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = {r["_at"]: (r["_size"], r["_label"]) for r in jaccard.component_of(frame, shingle=5, hundredths=80).collect()}
+    assert found == brute_at(rows, 5, 80)
+
+
+def test_pipeline_links_from_four_fifths_of_five_words(spark):
+    base = [f"w{i}" for i in range(500)]
+    few, many = list(base), list(base)
+    # 11 isolated words leave 441 of 551 five-word shingles, 12 leave 436 of 556.
+    for k in range(12):
+        many[20 + 40 * k] = f"y{k}"
+        if k < 11:
+            few[20 + 40 * k] = f"x{k}"
+    alone = [f"v{i}" for i in range(500)]
+    other = [f"y{i}" if i % 40 == 20 and i < 480 else w for i, w in enumerate(alone)]
+    short = [f"s{i}" for i in range(52)]
+    rows = [(1, base), (2, few), (3, alone), (4, other), (5, short), (6, [*short[:25], "t", *short[26:]])]
+    frame = spark.createDataFrame([(n, " ".join(words)) for n, words in rows], SCHEMA)
+    kept = corpus_pipeline.ngram_jaccard_join(spark, frame, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
+    # The query keeps its own.
+    assert len({r["_label"] for r in jaccard.component_of(frame).collect()}) == 6
+
+
+@pytest.mark.parametrize("hundredths", [70, 80, 85, 90])
+def test_cells_meet_at_the_least_similarity(hundredths):
+    pick = np.random.default_rng(3)
+    for size in [*range(1, 40), 127, 128, 159, 160, 255, 256, 319, 320, 511, 512, 640, 1023, 1280, 5000]:
+        for _ in range(20):
+            whole = np.unique(pick.integers(0, 2**63, size, np.uint64) << np.uint64(1))
+            part = np.sort(whole[pick.permutation(size)[: -(-hundredths * size // 100)]])
+            assert len(np.intersect1d(jaccard.cells(whole, hundredths), jaccard.cells(part, hundredths)))
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert jaccard.component_of(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
