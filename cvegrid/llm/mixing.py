@@ -3,9 +3,11 @@
 Every source gets a share of the budget by its weight, no more than twice its words.  Whole
 passes over a source fill its target as far as they go.  For the rest, its documents are
 counted by their exact length in words, and the number of documents to repeat is chosen for
-each length: first the same part of every length, then one more of each length in seeded order
-until at most KNAPSACK words are left, then a bounded-knapsack dynamic programme that comes as
-near to what is left as sums of the unused lengths can.  Which documents of a length are taken
+each length: first the same part of every length, then one more of each length in seeded order,
+and both again over the lengths that still fit, until at most KNAPSACK words are left or no length
+fits (documents longer than KNAPSACK enter first, by a programme in coarser units), then a
+bounded-knapsack dynamic programme that comes as near to what is left as sums of the
+unused lengths can.  Which documents of a length are taken
 is decided by a seeded hash, so reruns agree.
 
 What is gathered is small: one row a source on the driver, and one row for each length of a
@@ -97,15 +99,35 @@ def fit(lengths: Sequence[int], counts: Sequence[int], target: float, seed: int
     extra = [c * rest // size for c in counts]
     rest -= sum(n * e for n, e in zip(lengths, extra, strict=True))
     order = sorted(range(len(lengths)), key=lambda k: random.Random(f"{seed}/{lengths[k]}").random())
-    for k in order:
-        if rest <= KNAPSACK:
+    while rest > KNAPSACK:
+        before = rest
+        # Documents too long for the programme below, by one in units that it can hold.
+        unit = -(-rest // KNAPSACK)
+        long = [k for k in order if KNAPSACK < lengths[k] <= rest and extra[k] < counts[k]]
+        most = knapsack([-(-lengths[k] // unit) for k in long], [counts[k] - extra[k] for k in long], rest // unit)
+        for k, n in zip(long, most, strict=True):
+            extra[k] += n
+            rest -= n * lengths[k]
+        for k in order:
+            if rest <= KNAPSACK:
+                break
+            if 0 < lengths[k] <= rest and extra[k] < counts[k]:
+                extra[k] += 1
+                rest -= lengths[k]
+        # What long documents leave is dealt again, among the lengths that still fit.
+        open_ = [k for k in order if 0 < lengths[k] <= rest and extra[k] < counts[k]]
+        if rest > KNAPSACK and open_:
+            free = {k: counts[k] - extra[k] for k in open_}
+            words = sum(lengths[k] * n for k, n in free.items())
+            again = {k: n * min(rest, words) // words for k, n in free.items()}
+            for k, n in again.items():
+                extra[k] += n
+                rest -= n * lengths[k]
+        if rest == before:
             break
-        if lengths[k] <= rest and extra[k] < counts[k]:
-            extra[k] += 1
-            rest -= lengths[k]
-    fine = min(rest, KNAPSACK)
-    usable = [k for k in order if 0 < lengths[k] <= fine and extra[k] < counts[k]]
-    more = knapsack([lengths[k] for k in usable], [counts[k] - extra[k] for k in usable], fine)
+    # None, if more than KNAPSACK is left.
+    usable = [k for k in order if 0 < lengths[k] <= rest and extra[k] < counts[k]]
+    more = knapsack([lengths[k] for k in usable], [counts[k] - extra[k] for k in usable], rest if usable else 0)
     for k, n in zip(usable, more, strict=True):
         extra[k] += n
     return passes, extra

@@ -91,6 +91,27 @@ def test_fit(monkeypatch):
             assert abs(taken - share * size) <= 100 and passes + (sum(extra) > 0) <= 2
 
 
+@pytest.mark.parametrize(
+    ("lengths", "counts", "target", "taken"),
+    [
+        # What a long document leaves is filled with short ones.
+        ([10, 1_000_000], [150_000, 1], 1_250_000, 1_250_000),
+        ([3, 7, 900_000], [90_000, 90_000, 1], 890_000, 890_000),
+        ([3, 7, 900_000], [90_000, 90_000, 1], 2_690_000, 2_690_000),
+        ([0, 10, 500_000, 2_000_000], [5, 100_000, 2, 1], 1_999_990, 1_999_990),
+        # Only two of the long ones add up.
+        ([300_000, 400_000], [2, 1], 600_000, 600_000),
+        # All short documents are taken and the long one doesn't fit.
+        ([10, 1_000_000], [20_000, 1], 600_000, 200_000),
+    ],
+)
+def test_fit_fills_what_long_documents_leave(lengths, counts, target, taken):
+    passes, extra = mixing.fit(lengths, counts, target)
+    assert all(0 <= e <= c for e, c in zip(extra, counts, strict=True))
+    size = sum(n * c for n, c in zip(lengths, counts, strict=True))
+    assert passes * size + sum(n * e for n, e in zip(lengths, extra, strict=True)) == taken
+
+
 def test_mix(spark):
     found = mixing.op10_subset_sum_mix(spark, SF).collect()
     again = mixing.op10_subset_sum_mix(spark, SF).collect()
