@@ -24,9 +24,10 @@ Equal sets are one from the start.  Tokens are told apart by 64-bit hashes when
 their first 40 bits when a pair is compared.
 
 Defined cases: a document without words or text has an empty set and is linked with nothing; one
-of fewer words than a shingle has the whole sequence as its only shingle; rows that share a doc_id are
-linked with each other; a null doc_id is smaller than all others and gives a null component; an
-empty table gives an empty result; other columns are not read.
+of fewer words than a shingle has the whole sequence as its only shingle; texts, not ids, are
+compared, so rows without doc_id are linked only if their texts are similar; components also link
+rows that share a doc_id, and one whose rows all lack it is null; an empty table gives an empty
+result; other columns are not read.  Texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,13 +39,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
 from .counttree import linked, points_of, possible
-from .passages import NO_ID
-from .shared import batch_of, rows_of, stored, table, whole_text
+from .shared import SPACES, batch_of, rows_of, stored, table, whole_text
 
 # Fixed by the contract of the query.
 SHINGLE = 4
@@ -53,6 +53,7 @@ HUNDREDTHS = 85
 CELLS_FROM = 128
 BLOCK = 1024
 TOKEN_BYTES = 5
+MEASURED = "_id bigint, _at bigint, _size bigint, _digest string"
 SETS = "_at bigint, _size bigint, _set binary, _point binary"
 
 
@@ -115,10 +116,11 @@ def _measured(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for at, text in rows_of(batch):
+            for doc, at, text in rows_of(batch):
                 tokens = shingles(text, shingle)
-                rows.append((at, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest() if len(tokens) else None))
-            yield batch_of(rows, "_at bigint, _size bigint, _digest string")
+                digest = hashlib.md5(tokens.tobytes()).hexdigest() if len(tokens) else None
+                rows.append((doc, at, len(tokens), digest))
+            yield batch_of(rows, MEASURED)
 
     return run
 
@@ -220,24 +222,23 @@ def _relabelled(documents: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def component_of(
-    documents: DataFrame, text: str = "text", shingle: int = SHINGLE, hundredths: int = HUNDREDTHS
-) -> DataFrame:
-    """(_at, _size, _label): each row's set size and the smallest _at its links reach.
-
-    Sets of so many words a shingle are linked from so many hundredths of Jaccard similarity.
-    """
-    texts = documents.select(
-        F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("_at"), whole_text(text).alias("_text")
+def _texts(documents: DataFrame, text: str) -> DataFrame:
+    """(_id, _at, _text): _at tells texts apart, whatever ids their rows have."""
+    return documents.select(
+        F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text(text)).alias("_at"), whole_text(text).alias("_text")
     )
-    sizes = stored(texts.mapInArrow(_measured(shingle), "_at bigint, _size bigint, _digest string"), "join-sizes")
-    # Equal sets have one representative; rows that share an id meet through it.
-    some = sizes.where("_digest is not null")
+
+
+def _rooted(documents: DataFrame, text: str, shingle: int, hundredths: int) -> DataFrame:
+    """(_id, _at, _size, _root) of each row: one _root for all texts linked by similarity, null without words."""
+    rows = _texts(documents, text)
+    texts = rows.select("_at", "_text")
+    sizes = stored(rows.mapInArrow(_measured(shingle), MEASURED), "join-sizes")
+    # Equal sets have one representative.
+    some = sizes.where("_digest is not null").select("_at", "_digest").distinct()
     classes = some.groupBy("_digest").agg(F.min("_at").alias("_label"))
-    equal = some.join(classes, "_digest").select("_at", "_label").distinct()
-    several = equal.groupBy("_at").agg(F.min("_label").alias("_least"), F.max("_label").alias("_most"))
-    same = stored(equal, "join-classes")
-    leaders = same.where("_at = _label").select("_at").distinct()
+    same = stored(some.join(classes, "_digest").select("_at", "_label"), "join-classes")
+    leaders = same.where("_at = _label").select("_at")
 
     emitted = texts.mapInArrow(_emitted(shingle, hundredths), "_cell bigint, _at bigint")
     repeated = emitted.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_cell")
@@ -247,8 +248,10 @@ def component_of(
 
     homes = members.groupBy("_at").agg(F.min(F.struct("_cell", "_rows")).alias("_home"))
     homes = homes.select("_at", "_home.*").withColumn("_block", F.pmod(F.xxhash64("_at"), F.ceil(F.col("_rows") / BLOCK)))
+    # Copies of a text are made one in the tasks that read them.
+    each = texts.groupBy("_at").agg(F.first("_text").alias("_text"))
     sets = stored(
-        texts.join(homes.select("_at"), "_at", "left_semi").mapInArrow(_packed_sets(shingle), SETS),
+        each.join(homes.select("_at"), "_at", "left_semi").mapInArrow(_packed_sets(shingle), SETS),
         "join-sets",
     )
     first = sets.join(homes, "_at").select(
@@ -281,20 +284,37 @@ def component_of(
             break
         labels = stored(_relabelled(labels, roots), "join-labels")
 
-    # From sets to documents: leaders carry their label, equal sets their leader's.
-    edges = (
-        same.select(F.col("_at").alias("_label"), F.col("_label").alias("_root"))
-        .union(labels.select(F.col("_at").alias("_label"), F.col("_label").alias("_root")))
+    # From sets to rows: leaders carry their label, equal sets their leader's.
+    reached = labels.select(F.col("_at").alias("_leader"), F.col("_label").alias("_top"))
+    final = same.join(reached, same["_label"] == reached["_leader"], "left").select(
+        "_at", F.coalesce("_top", "_label").alias("_root")
+    )
+    return sizes.join(final, "_at", "left").select("_id", "_at", "_size", "_root")
+
+
+def component_of(
+    documents: DataFrame, text: str = "text", shingle: int = SHINGLE, hundredths: int = HUNDREDTHS
+) -> DataFrame:
+    """(_at, _size, _label): each row's doc_id, set size and the smallest doc_id its links reach.
+
+    Sets of so many words a shingle are linked from so many hundredths of Jaccard similarity.
+    """
+    rows = stored(_rooted(documents, text, shingle, hundredths), "join-rows")
+    held = rows.where("_id is not null and _root is not null").select("_id", "_root").distinct()
+    several = held.groupBy("_id").agg(F.min("_root").alias("_least"), F.max("_root").alias("_most")).where("_least < _most")
+    # Rows that share an id meet through it.
+    edges = stored(
+        held.join(several, "_id").where("_root > _least").select(F.col("_root").alias("_label"), F.col("_least").alias("_root")),
+        "join-shared",
     )
-    if several.where("_least < _most").isEmpty():
-        reached = labels.select(F.col("_at").alias("_leader"), F.col("_label").alias("_top"))
-        final = same.join(reached, same["_label"] == reached["_leader"], "left").select(
-            "_at", F.coalesce("_top", "_label").alias("_label")
+    if not edges.isEmpty():
+        met = components(edges).select(F.col("_label").alias("_root"), F.col("_root").alias("_met"))
+        rows = stored(
+            rows.join(met, "_root", "left").select("_id", "_at", "_size", F.coalesce("_met", "_root").alias("_root")), "join-rows"
         )
-    else:
-        final = components(edges).select(F.col("_label").alias("_at"), F.col("_root").alias("_label"))
-    return sizes.select("_at", "_size", F.col("_digest").isNull().alias("_bare")).join(final, "_at", "left").select(
-        "_at", "_size", F.when(F.col("_bare"), F.col("_at")).otherwise(F.coalesce("_label", "_at")).alias("_label")
+    least = rows.where("_root is not null").groupBy("_root").agg(F.min("_id").alias("_label"))
+    return rows.join(least, "_root", "left").select(
+        F.col("_id").alias("_at"), "_size", F.when(F.col("_root").isNull(), F.col("_id")).otherwise(F.col("_label")).alias("_label")
     )
 
 
@@ -359,19 +379,27 @@ def _blocks(members: DataFrame, hundredths: int) -> DataFrame:
 def op7_count_tree_join(spark, sf_dir: str) -> DataFrame:
     """Set size and component of every whole document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    real = lambda name: F.nullif(F.col(name), F.lit(NO_ID))
     return component_of(documents).select(
-        real("_at").alias("doc_id"), F.col("_size").alias("n_shingles"), real("_label").alias("component_id")
+        F.col("_at").alias("doc_id"), F.col("_size").alias("n_shingles"), F.col("_label").alias("component_id")
     )
 
 
 def one_of_each(
     documents: DataFrame, text: str = "text", shingle: int = SHINGLE, hundredths: int = HUNDREDTHS
 ) -> DataFrame:
-    """One row of each component, the first, as it came; of rows that share its id, one."""
-    firsts = component_of(documents, text, shingle, hundredths).where("_at = _label").select("_at").distinct()
-    at = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long")
-    rows = documents.select(at.alias("_at"), F.struct(*documents.columns).alias("_row"))
-    kept = rows.join(firsts, "_at", "left_semi")
-    order = Window.partitionBy("_at").orderBy(F.xxhash64("_row"))
-    return kept.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select("_row.*")
+    """One row of each group of similar texts, the first by doc_id (null first), as it came.
+
+    Rows are told apart by doc_id and text, and linked by their texts alone; rows without words stay.
+    """
+    found = _rooted(documents, text, shingle, hundredths).where("_root is not null")
+    firsts = found.groupBy("_root").agg(F.min(F.struct("_id", "_at")).alias("_first"))
+    firsts = firsts.select(F.xxhash64("_first._id", "_first._at").alias("_key"))
+    rows = documents.select(
+        F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(whole_text(text))).alias("_key"),
+        F.struct(*documents.columns).alias("_row"),
+        (F.length(F.btrim(whole_text(text), F.lit(SPACES))) == 0).alias("_bare"),
+    )
+    # Rows that agree in both are made one in the tasks that read them.
+    each = rows.where("not _bare").groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    kept = each.join(firsts, "_key", "left_semi").select("_row.*")
+    return kept.union(rows.where("_bare").select("_row.*"))

@@ -143,6 +143,21 @@ def test_cells_meet_at_the_least_similarity(hundredths):
             assert len(np.intersect1d(jaccard.cells(whole, hundredths), jaccard.cells(part, hundredths)))
 
 
+def test_texts_without_an_id_of_their_own(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(40))
+
+    lowest = -(1 << 63)
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (None, text("c")), (5, text("d")), (5, text("e"))]
+    rows += [(6, text("a")), (7, text("e") + " more"), (8, text("c") + " more"), (9, text("f")), (lowest, text("g"))]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    kept = Counter((r["doc_id"], r["text"][0]) for r in jaccard.one_of_each(frame).collect())
+    assert kept == Counter([(None, "a"), (None, "b"), (None, "c"), (5, "d"), (5, "e"), (9, "f"), (lowest, "g")])
+    found = Counter((r["_at"], r["_label"]) for r in jaccard.component_of(frame).collect())
+    # Of the rows without id, the text of 6 and the one like 8 are known by those; the two of b have none.
+    assert found == Counter({(None, 6): 1, (None, None): 2, (None, 8): 1, (5, 5): 2, (6, 6): 1, (7, 5): 1, (8, 8): 1, (9, 9): 1, (lowest, lowest): 1})
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert jaccard.component_of(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
