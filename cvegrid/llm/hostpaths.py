@@ -4,7 +4,8 @@ A page is read into a tree of its block elements; elements that by tag, role, cl
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
 are left out with all they hold.  Containers are scored by the share of the page's unlinked text
 that they hold; the smallest dominant one, widened to the article or main element around it,
-votes for its path: tags with their classes, digits generalised.  Spark adds up the votes by
+votes for its path (without such an element, the container ends where headings, paragraphs or
+larger blocks of unlinked text stand beside it; names such as no-sidebar mark nothing): tags with their classes, digits generalised.  Spark adds up the votes by
 host, and every page is read again with its host's paths, the one with the most votes first; a
 page that has none of them gives its own best container.
 
@@ -33,6 +34,8 @@ from .shared import batch_of, rows_of, stored, table, whole_text
 PATHS_KEPT = 3
 # Share of a container's text that one of its children must hold to be looked into.
 DOMINANT = 0.7
+# Share of the text from which a container beside the largest one belongs to the article.
+ASIDE = 0.05
 # Bytes of paths up to which they are sent to all tasks instead of being joined.
 SENT_TO_ALL = 32 << 20
 
@@ -74,6 +77,9 @@ MARKS = {
     "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar",
     "widget", "widgets", "alert", "complementary", "search",
 }
+# Names that begin so tell what a layout has or lacks.
+LAYOUT = {"no", "not", "non", "without", "has", "have", "with"}
+HEADINGS = {"h1", "h2", "h3"}
 
 
 @dataclass
@@ -83,6 +89,8 @@ class Element:
     up: Element | None
     out: bool = False
     linked: bool = False
+    # Left out by its class, id or role only.
+    named: bool = False
     # Pieces of text and child elements in page order; None stands for the end of a block.
     parts: list = field(default_factory=list)
 
@@ -98,6 +106,9 @@ class Element:
             len(p) if isinstance(p, str) else p.size() for p in self.parts if p is not None
         ) if not (self.out or self.linked) else 0
 
+    def holds(self, tags: set[str]) -> bool:
+        return self.tag in tags or any(isinstance(p, Element) and not p.out and p.holds(tags) for p in self.parts)
+
     def blocks(self) -> Iterator[str | None]:
         for part in self.parts:
             if isinstance(part, Element):
@@ -128,7 +139,15 @@ def _left_out(tag: str, named: dict[str, str], up: Element) -> bool:
         return True
     if re.search(r"display\s*:\s*none", named.get("style", "")):
         return True
-    words = set(WORD.findall(" ".join(named.get(a, "") for a in ("class", "id", "role")).lower()))
+    return False
+
+
+def _marked(named: dict[str, str], up: Element) -> bool:
+    words = set()
+    for name in " ".join(named.get(a) or "" for a in ("class", "id", "role")).lower().split():
+        own = WORD.findall(name)
+        if own and own[0] not in LAYOUT:
+            words.update(own)
     return bool(words & MARKS) or ("header" in words and up.inside({"article", "main"}) is None)
 
 
@@ -177,13 +196,15 @@ def tree(page: str) -> Element:
         if found.group(3):
             named = _attributes(found.group(3))
         out = _left_out(tag, named or {}, at)
+        by_name = not out and tag not in {"main", "article", "header"} and _marked(named or {}, at)
+        out = out or by_name
         if tag in INLINE and tag != "a" and not out:
             continue
         if tag in INLINE:
             # An anchor ends one that is still open.
             if tag == "a" and at.tag == "a":
                 at = at.up
-            new = Element(tag, at.path, at, out, linked=tag == "a")
+            new = Element(tag, at.path, at, out, linked=tag == "a", named=by_name)
             at.parts.append(new)
             at = new
             continue
@@ -195,15 +216,53 @@ def tree(page: str) -> Element:
             while holder is not None and holder.tag in ended:
                 at = holder.up
                 holder = at.inside(ended | holders)
-        new = Element(tag, _path(tag, named or {}, at), at, out)
+        new = Element(tag, _path(tag, named or {}, at), at, out, named=by_name)
         at.parts.append(new)
         at = new
+    _taken_back(root)
     return root
 
 
+def _taken_back(root: Element) -> None:
+    """Marks by name are void on what wraps a page's headline and most of its text, or all its text."""
+    waiting, whole, bare = [root], None, False
+    while waiting:
+        at = waiting.pop()
+        if at.tag in {"article", "main"}:
+            continue
+        marked = [p for p in at.parts if isinstance(p, Element) and p.named]
+        if marked and whole is None:
+            whole, bare = root.size(), not text_of([root])
+        sizes = []
+        for part in marked:
+            part.out = False
+            sizes.append(part.size() if text_of([part]) else 0)
+            part.out = True
+        if sizes and max(sizes):
+            largest = marked[sizes.index(max(sizes))]
+            wraps = max(sizes) >= DOMINANT * (whole + max(sizes)) and largest.holds({"h1", "main"})
+            if wraps or bare:
+                largest.out, whole = False, None
+        waiting += [p for p in at.parts if isinstance(p, Element) and not p.out]
+
+
+def _belongs(part: str | Element | None, whole: int) -> bool:
+    """Whether what stands beside the largest container has unlinked text of the article."""
+    if not isinstance(part, Element):
+        return bool(part and part.strip())
+    text = text_of([part])
+    size = part.size()
+    if part.out or not text or 2 * size < len(text):
+        return False
+    return part.tag not in CONTAINERS or part.holds(HEADINGS) or size >= ASIDE * whole
+
+
 def best(root: Element) -> Element:
-    """The smallest container that holds most of the page's unlinked text, widened to its article."""
-    at = root
+    """The smallest container that holds most of the page's unlinked text, widened to its article.
+
+    Without an article or main element it ends where text of the article stands beside it.
+    """
+    at, widest = root, None
     while True:
         whole = at.size()
         inner = [p for p in at.parts if isinstance(p, Element) and not p.out and p.tag not in INLINE]
@@ -214,8 +273,10 @@ def best(root: Element) -> Element:
         # A block of one paragraph is not a container; look through what only wraps.
         if largest.tag not in CONTAINERS and not any(isinstance(p, Element) and p.tag in CONTAINERS for p in largest.parts):
             break
+        if widest is None and not at.inside({"article", "main"}) and any(p is not largest and _belongs(p, whole) for p in at.parts):
+            widest = at
         at = largest
-    return at.inside({"article"}) or at.inside({"main"}) or at
+    return at.inside({"article"}) or at.inside({"main"}) or widest or at
 
 
 def text_of(elements: list[Element]) -> str:

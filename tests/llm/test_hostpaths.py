@@ -37,6 +37,28 @@ def test_pages(page, text):
     assert hp.main_text(page, []) == text
 
 
+ENTRY = f"<div class='entry'><p>{LONG}</p></div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='top'><a href=x>menu</a></div><div class='post'><h1>T</h1><p>lead</p>{ENTRY}</div>", f"T lead {LONG.strip()}"),
+        (f"<div class='post'><div class='title'><h1>T</h1></div>{ENTRY}<div class='comments'>c</div></div>", f"T {LONG.strip()}"),
+        (f"<div class='container no-sidebar'><h1>T</h1>{ENTRY}</div>", f"T {LONG.strip()}"),
+        (f"<div class='has-sidebar'>{ENTRY}<div class='sidebar'>side</div></div>", LONG.strip()),
+        (f"<div class='with-comments'>{ENTRY}<div class='comments'>no</div></div>", LONG.strip()),
+        (f"<div class='page sidebar-right'><h1>T</h1>{ENTRY}</div><p>f</p>", f"T {LONG.strip()} f"),
+        (f"<div class='sidebar-left'>{ENTRY}</div>", LONG.strip()),
+        (f"<h1>Site</h1><main><article><h1>T</h1>{ENTRY}</article></main>", f"T {LONG.strip()}"),
+        (f"<p>short</p><div class='comments'><p>{LONG}</p></div>", "short"),
+    ],
+)
+def test_pages_of_divisions(page, text):
+    assert hp.main_text(page, []) == text
+    assert hp.main_text(page, [hp.best(hp.tree(page)).path]) == text
+
+
 def test_hosts_agree(spark):
     layout = "<div class='main'><p>{}</p></div><div class='more'><p>{}</p></div>"
     # Two pages show where the article stands; the third has more text beside it than in it.
