@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, hostpaths, jaccard, language, mixing, phrases, quality, ring, substrings, twins
+from . import (
+    bpe,
+    bytenet,
+    fingerprint,
+    hardnegatives,
+    hostpaths,
+    jaccard,
+    language,
+    merkle,
+    mixing,
+    phrases,
+    quality,
+    ring,
+    substrings,
+    twins,
+)
 
 QUERIES = {
     "op1_quartile_digest": fingerprint.op1_quartile_digest,
@@ -15,6 +30,9 @@ QUERIES = {
     "op8_bounded_ring": ring.op8_bounded_ring,
     "op9_phrase_automata": phrases.op9_phrase_automata,
     "op10_subset_sum_mix": mixing.op10_subset_sum_mix,
+    "op11_byte_network": bytenet.op11_byte_network,
+    "op12_pointer_jumping": merkle.op12_pointer_jumping,
+    "op13_threshold_negatives": hardnegatives.op13_threshold_negatives,
 }
 
 ORACLES: dict[str, str] = dict(twins.ORACLES)

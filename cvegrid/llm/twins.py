@@ -82,8 +82,95 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id
 """
 
+_FIELDS = "||".join(
+    f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    for c in ("doc_id", "source", "lang", "n_chars", "text")
+)
+
+# Checksum of an ASCII text: each character is mixed in and followed by eight shifts (-1).
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x)
+  WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295)"""
+
+POINTER_JUMPING = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, sha256({_FIELDS}) AS leaf,
+    CASE WHEN {_CRC32} % 7 = 0 THEN sha256({_FIELDS.replace("n_chars", "(n_chars::HUGEINT + 1)")}) END AS changed
+  FROM documents
+),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos
+  FROM rows_
+),
+nodes(tree, level, pos, h) AS (
+  SELECT tree, 0, pos, leaf FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS many FROM nodes) WHERE many > 1 GROUP BY tree, level, pos // 2
+),
+many AS (SELECT tree, level, count(*) AS many FROM nodes GROUP BY tree, level),
+subroots AS (SELECT tree, h FROM nodes JOIN many USING (tree, level) WHERE many = 1),
+upper_(level, pos, h) AS (
+  SELECT 0, tree, h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS many FROM upper_) WHERE many > 1 GROUP BY level, pos // 2
+),
+upper_many AS (SELECT level, count(*) AS many FROM upper_ GROUP BY level),
+root AS (SELECT h FROM upper_ JOIN upper_many USING (level) WHERE many = 1),
+-- On the way up, a sibling stands left, right or is missing.
+steps AS (
+  SELECT p.id, m.level AS nth, CASE WHEN (p.pos >> m.level) & 1 = 1 THEN 'L' || s.h ELSE coalesce('R' || s.h, '-') END AS step
+  FROM placed p JOIN many m ON m.tree = p.tree AND m.many > 1
+  LEFT JOIN nodes s ON s.tree = p.tree AND s.level = m.level AND s.pos = xor(p.pos >> m.level, 1)
+  UNION ALL
+  SELECT p.id, 1000 + m.level, CASE WHEN (p.tree >> m.level) & 1 = 1 THEN 'L' || s.h ELSE coalesce('R' || s.h, '-') END
+  FROM placed p JOIN upper_many m ON m.many > 1
+  LEFT JOIN upper_ s ON s.level = m.level AND s.pos = xor(p.tree >> m.level, 1)
+),
+ways AS (SELECT id, list(step ORDER BY nth) AS way FROM steps GROUP BY id),
+folded AS (
+  SELECT p.*, coalesce(way, []) AS way,
+    list_reduce(list_prepend(coalesce(changed, leaf), coalesce(way, [])), lambda below, x: sha256(
+      CASE x[1] WHEN 'L' THEN x[2:] || below WHEN 'R' THEN below || x[2:] ELSE below END)) AS folded_root
+  FROM placed p LEFT JOIN ways ON ways.id = p.id
+)
+SELECT doc_id, leaf, subroots.h AS subroot, root.h AS root,
+  sha256(array_to_string([x[2:] for x in way if x <> '-'], '')) AS proof_sha256, folded_root, folded_root = root.h AS verified
+FROM folded JOIN subroots ON subroots.tree = folded.tree, root
+"""
+
+THRESHOLD_NEGATIVES = """
+WITH usable AS (
+  SELECT row_number() OVER () AS id, vec_id,
+    (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.id AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.id, b.vec_id,
+    list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.id <> b.id WHERE a.vec_id % 50 = 0
+),
+positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  (row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.vec_id, n.id))::INT AS rank, n.vec_id AS negative_id,
+  p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+  AND 100 * n.score BETWEEN 50 * p.score AND 95 * p.score
+QUALIFY rank <= 3
+"""
+
 ORACLES = {
     "op6_interval_expansion": INTERVAL_EXPANSION,
     "op7_count_tree_join": COUNT_TREE_JOIN,
     "op9_phrase_automata": PHRASE_AUTOMATA,
+    "op12_pointer_jumping": POINTER_JUMPING,
+    "op13_threshold_negatives": THRESHOLD_NEGATIVES,
 }
