@@ -57,14 +57,30 @@ def land_catalog(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def land_vuln_pages(spark: SparkSession, sf_dir: str, files: int | None = None) -> str:
+def revised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions of two thirds of the records on the day of the first one.
+
+    Those of every third key are from the last second of that day, after all first ones but those
+    written at 23:30 eight hours west; the others are from its first second, before all of them.
+    """
+    later = F.col("k") % 3 == 0
+    clock = F.when(later, F.lit("T23:59:59Z")).otherwise(F.lit("T00:00:01Z"))
+    text = F.regexp_replace(F.col("raw_json"), F.lit(r'("lastModified":"[0-9-]{10})[^"]*"'), F.concat(F.lit("$1"), clock, F.lit('"')))
+    worded = F.when(later, F.lit("Later flaw number")).otherwise(F.lit("Earlier flaw number"))
+    rows = corpus.raw(spark, sf_dir).where("k % 3 < 2")
+    return rows.withColumn("raw_json", F.regexp_replace(text, F.lit("Flaw number"), worded))
+
+
+def land_vuln_pages(
+    spark: SparkSession, sf_dir: str, files: int | None = None, records: DataFrame | None = None, path: str | None = None
+) -> str:
     """API pages, one per line; the first wrapper of each page lacks a record."""
-    rows = corpus.raw(spark, sf_dir).select(
+    rows = (corpus.raw(spark, sf_dir) if records is None else records).select(
         "k", F.concat(F.lit('{"cve":'), F.col("raw_json"), F.lit("}")).alias("wrapper")
     )
     pages = _pages(rows, PAGE, "wrapper", '{"resultsPerPage":2000,"vulnerabilities":[{"note":"no record"},')
-    path = scratch_path(spark, "vuln-pages")
-    (pages.repartition(files) if files else pages).write.text(path)
+    path = path or scratch_path(spark, "vuln-pages")
+    (pages.repartition(files) if files else pages).write.mode("append").text(path)
     return path
 
 

@@ -249,31 +249,28 @@ URGENCY = {
 
 
 def _said(*parts: Column | str, unless_empty: Column | None = None) -> Column:
-    """Texts and columns in a row; empty where a column, or the one named, is NULL or empty."""
+    """Texts and columns in a row; NULL where a column is NULL, or the one named is empty."""
     text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    if unless_empty is not None:
-        text = F.when(unless_empty != "", text)
-    return F.coalesce(text, F.lit(""))
+    return text if unless_empty is None else F.when(unless_empty != "", text)
 
 
 def clause_texts() -> dict[str, Column]:
-    """What a risk row's prose says of each signal; empty where it says nothing."""
+    """What a risk row's prose says of each signal; NULL where it says nothing."""
     of = F.col
     hundredths = F.bround(of("epss_percentile").cast("double") * F.lit(100.0)).cast("int")
     # Parts in brackets, those that are there, with commas between.
-    known = [_said(hundredths, "th percentile"), _said("as of ", of("epss_scored_at"))]
-    brackets = F.array_join(F.filter(F.array(*known), lambda part: part != ""), ", ")
+    brackets = F.concat_ws(", ", _said(hundredths, "th percentile"), _said("as of ", of("epss_scored_at")))
     moved = likelihood_movement(
         of("epss_probability"), of("epss_previous_probability"), of("epss_previous_scored_at")
     )
-    factors = [_said(label, of(name), unless_empty=of(name)) for name, label in URGENCY.items()]
-    urgency = F.array_join(F.filter(F.array(*factors), lambda part: part != ""), ", ")
-    ransomware = F.when(of("known_ransomware_campaign_use") == "Known", LISTED_RANSOMWARE).otherwise("")
+    bracketed = _said(" (", brackets, ")", unless_empty=brackets)
+    urgency = F.concat_ws(", ", *[_said(label, of(name), unless_empty=of(name)) for name, label in URGENCY.items()])
+    ransomware = F.when(of("known_ransomware_campaign_use") == "Known", LISTED_RANSOMWARE)
+    listing = F.concat_ws("", F.lit(LISTED), _said(LISTED_SINCE, of("kev_date_added")), ransomware)
+    scored = F.concat_ws("", F.lit("EPSS "), _five_places(of("epss_probability")), bracketed, moved)
     return {
-        "listing": F.when(of("kev_listed"), _said(LISTED, _said(LISTED_SINCE, of("kev_date_added")), ransomware)).otherwise(""),
-        "likelihood": F.when(of("epss_probability").isNull(), UNSCORED).otherwise(
-            _said("EPSS ", _five_places(of("epss_probability")), _said(" (", brackets, ")", unless_empty=brackets), moved)
-        ),
+        "listing": F.when(of("kev_listed"), listing),
+        "likelihood": F.when(of("epss_probability").isNull(), UNSCORED).otherwise(scored),
         "severity": F.when(of("cvss_imputed"), UNASSESSED)
         .when(of("cvss_score").isNull(), UNAVAILABLE)
         .otherwise(_said("CVSS ", of("cvss_score"))),
@@ -292,18 +289,17 @@ def risk_rationale() -> Column:
     """
     zero = F.lit(Decimal("0")).cast(PART)
     texts = clause_texts()
-    unscored = F.col("epss_probability").isNull()
-    always = {"severity": F.lit(True), "likelihood": unscored}
+    always = {"severity": F.lit(True), "likelihood": F.col("epss_probability").isNull()}
     sentences = []
     for place, (signal, columns) in enumerate(SIGNALS.items()):
         share = sum((F.coalesce(F.col(c).cast(PART), zero) for c in columns), start=zero).cast("decimal(9,4)")
-        told = (texts[signal] != "") & ((share > 0) | always.get(signal, F.lit(False)))
-        sentence = _said(texts[signal], " (+", whole_points(share), ").")
-        sentences.append(F.struct((-share).alias("less"), F.lit(place).alias("place"), told.alias("told"), sentence.alias("text")))
-    ordered = F.array_sort(F.filter(F.array(*sentences), lambda s: s["told"]))
+        told = (share > 0) | always.get(signal, F.lit(False))
+        sentence = F.when(told, _said(texts[signal], " (+", whole_points(share), ")."))
+        sentences.append(F.struct((-share).alias("less"), F.lit(place).alias("place"), sentence.alias("text")))
     score = F.coalesce(F.col("risk_score"), F.lit(Decimal("0")))
     opening = _said(F.initcap(risk_band(score)), " (", score_points(score), ").")
-    return F.concat_ws(" ", opening, F.transform(ordered, lambda s: s["text"]))
+    # Untold sentences are NULL, which joining the texts passes over.
+    return F.concat_ws(" ", opening, F.sort_array(F.array(*sentences))["text"])
 
 
 # The weighted parts that each signal's sentence stands for.

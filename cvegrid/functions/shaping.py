@@ -209,6 +209,28 @@ def vuln_row(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
+def moment(text: Column) -> Column:
+    """The instant of an ISO-8601 text; without an offset it is UTC, junk is NULL."""
+    zoned = F.when(text.rlike(r"([Zz]|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.try_to_timestamp(zoned)
+
+
+def stored_row(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``vuln_row`` with the columns that a load adds to it, taken from the record once.
+
+    ``status`` and ``has_ssvc`` answer the usual JSON filters, ``modified_at`` orders revisions of
+    one day.
+    """
+    record = F.col("parsed")
+    added = {
+        "status": record["vulnStatus"],
+        "has_ssvc": record["metrics"]["ssvcV203"].isNotNull(),
+        "modified_at": moment(record["lastModified"]),
+    }
+    kept = [*added, *(keep or [])]
+    return vuln_row(records.withColumns(added), kept)
+
+
 # All that the backfill reads of a record.
 _SSVC_ONLY = "metrics struct<ssvcV203:array<struct<ssvcData:struct<version:string,options:array<string>>>>>"
 

@@ -1,18 +1,22 @@
 """Keyed merges of an incoming batch into a stored table.
 
 The stored side holds a key once.  A batch may repeat keys: it is reduced to one row per key
-inside the merge, the last by the column named as its position.  Every merge is one full outer
-join on the key, whatever the sizes: each side moves once, the batch reduced before it moves,
-and a stored table that is bucketed by the key doesn't move at all.
+inside the merge, the last by the column named as its position.  Every merge of two frames is one
+full outer join on the key, whatever the sizes: each side moves once, the batch reduced before it
+moves, and a stored table that is bucketed by the key doesn't move at all.  ``merge_into`` does the
+same for a keyed store and reads and writes only the parts that the batch's keys belong to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cvegrid.sources.keyed import KeyedStore
+
 Rule = Callable[[Column, Column], Column]
 
 
@@ -88,7 +92,7 @@ def merge_keep_vector(
 
     With ``not_before``, a batch row whose value there is smaller than the stored row's is left out.
     """
-    return _merge(current, incoming, keys, {vector: lambda old, new: F.coalesce(new[vector], old[vector])}, position, not_before)
+    return _merge(current, incoming, keys, keep_vector(vector), position, not_before)
 
 
 def merge_score_publication(
@@ -101,22 +105,81 @@ def merge_score_publication(
     same day twice changes nothing.
     """
 
+    return _merge(current, incoming, keys, shift_previous(), position)
+
+
+def shift_previous() -> dict[str, Rule]:
+    """Rules that move the stored score to the previous columns when the publication date advances."""
+
     def previous(stored: str, kept: str) -> Rule:
         def rule(old: Column, new: Column) -> Column:
             return F.when(new["scored_at"] > old["scored_at"], old[stored]).otherwise(old[kept])
 
         return rule
 
-    return _merge(
-        current,
-        incoming,
-        keys,
-        {
-            "previous_probability": previous("probability", "previous_probability"),
-            "previous_scored_at": previous("scored_at", "previous_scored_at"),
-        },
-        position,
-    )
+    return {
+        "previous_probability": previous("probability", "previous_probability"),
+        "previous_scored_at": previous("scored_at", "previous_scored_at"),
+    }
+
+
+def keep_vector(name: str = "embedding") -> dict[str, Rule]:
+    """Rule under which a missing incoming vector leaves the stored one."""
+    return {name: lambda old, new: F.coalesce(new[name], old[name])}
+
+
+@dataclass(frozen=True)
+class MergeReport:
+    """What a merge into a store did: its version, keys added and replaced, and the parts rewritten."""
+
+    version: int | None
+    new: int
+    modified: int
+    parts: tuple[int, ...]
+
+
+def merge_into(
+    store: KeyedStore,
+    incoming: DataFrame,
+    rules: dict[str, Rule] | None = None,
+    position: str | None = None,
+    not_before: str | None = None,
+    known_only: bool = False,
+) -> MergeReport:
+    """Merge a batch into a keyed store and publish the touched parts as its next version.
+
+    The batch is reduced to one row a key, evaluated and written once.  Only the parts its keys
+    belong to are opened; of them only families that it has columns of, unless it brings new keys,
+    which every family holds.  ``rules`` are those of the merges above.  With ``not_before`` a row
+    whose value there is smaller than the stored one's is left out, with ``known_only`` one whose
+    key is not stored.
+    """
+    unknown = [c for c in incoming.columns if c not in store.types and c != position]
+    if unknown:
+        raise ValueError(f"the stored table has no columns {unknown}")
+    base = store.version()
+    rows, touched = store.land(last_per_key(incoming, [store.key], position))
+    marks = [F.col(not_before).alias("_stored")] if not_before else []
+    known = store.read([store.key, *([not_before] if not_before else [])], touched, base)
+    known = known.select(store.key, F.lit(True).alias("_known"), *marks)
+    rows = rows.join(known, store.key, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    if not_before:
+        rows = rows.where(~F.coalesce(F.col(not_before) < F.col("_stored"), F.lit(False))).drop("_stored")
+    if known_only:
+        rows = rows.where("_known")
+    counts = rows.agg(F.count_if(~F.col("_known")).alias("new"), F.count_if("_known").alias("modified")).first()
+    rows = rows.drop("_known")
+    if not counts["new"] + counts["modified"]:
+        return MergeReport(base, 0, 0, ())
+    frames = {}
+    for family, columns in store.families.items():
+        own = [c for c in columns if c in rows.columns]
+        if own or counts["new"]:
+            own_rules = {c: rule for c, rule in (rules or {}).items() if c in columns}
+            current = store.family(family, touched, base)
+            frames[family] = _merge(current, rows.select(store.key, *own), [store.key], own_rules, None)
+    version, _ = store.rewrite(frames, base)
+    return MergeReport(version, counts["new"], counts["modified"], tuple(touched))
 
 
 def merge_counts(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

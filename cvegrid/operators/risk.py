@@ -1,11 +1,13 @@
-"""The four-table blend, its stored form, and scoring of named ids."""
+"""The four-table blend, its stored forms, and scoring of named ids."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cvegrid.functions.risk import (
     COMPONENTS,
@@ -20,6 +22,7 @@ from cvegrid.functions.risk import (
     score_points,
     top_weakness,
 )
+from cvegrid.sources.keyed import KeyedStore
 from cvegrid.sources.tables import VersionedTable
 
 # The columns and order of the risk result.
@@ -104,16 +107,90 @@ def risk_scores(nvd: DataFrame, kev: DataFrame, epss: DataFrame) -> DataFrame:
     )
 
 
-def refresh_risk_snapshot(spark: SparkSession, path: str, risk: DataFrame, files: int | None = None) -> int:
-    """Store the blend sorted by falling score and return its row count.
+def risk_of(nvd: DataFrame, kev: DataFrame, epss: DataFrame, ids: DataFrame) -> DataFrame:
+    """Risk rows of the requested ids: the tables are cut to them before anything is blended."""
+    wanted = ids.select("cve_id").distinct()
+    return risk_scores(*[t.join(wanted, "cve_id", "left_semi") for t in (nvd, kev, epss)])
 
-    Range partitioning on (score, id) splits a popular score over several files, and the
-    sorted files let readers skip row groups on a score filter.  Readers keep the previous
-    version until this one is complete.
+
+class RiskSnapshot:
+    """The stored risk result in both orders: by falling score, and by the hash of the id.
+
+    A refresh evaluates the blend once, into the copy by id; the ranked copy is sorted from there.
+    Its files follow one another in the order of (score, id), and a small table holds where each
+    begins and how many rows it has, so the best k rows are in the leading files.  That table also
+    names the version of the other copy and is written last: readers see both copies change at once.
     """
-    order = [F.col("risk_score").desc(), F.col("cve_id")]
-    spread = risk.repartitionByRange(files, *order) if files else risk.repartitionByRange(*order)
-    return VersionedTable(spark, path).write(spread.sortWithinPartitions(*order))
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64) -> None:
+        self.spark = spark
+        self.parts = parts
+        self.path = path.rstrip("/")
+        self.bounds = VersionedTable(spark, f"{self.path}/bounds")
+        self.ranked = VersionedTable(spark, f"{self.path}/ranked")
+        self._held: tuple[int, list[Row], T.StructType] | None = None
+
+    def _by_id(self, schema: T.StructType) -> KeyedStore:
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+        return KeyedStore(self.spark, f"{self.path}/by_id", columns, parts=self.parts)
+
+    def refresh(self, risk: DataFrame, files: int | None = None) -> int:
+        """Store the blend in both orders and return its row count.
+
+        Range partitioning on (score, id) splits a popular score over several files.
+        """
+        by_id = self._by_id(risk.schema)
+        version, rows = by_id.replace(risk)
+        order = [F.col("risk_score").desc(), F.col("cve_id")]
+        held = by_id.read(risk.columns, version=version)
+        spread = held.repartitionByRange(files, *order) if files else held.repartitionByRange(*order)
+        self.ranked.write(spread.sortWithinPartitions(*order))
+        first = F.min_by(F.struct("risk_score", "cve_id"), F.struct(-F.col("risk_score"), "cve_id"))
+        files_read = self.ranked.read().groupBy(F.input_file_name().alias("file"))
+        self.bounds.write(
+            files_read.agg(first.alias("first"), F.count(F.lit(1)).alias("rows")).select(
+                "file", "first.*", "rows", F.lit(version).cast("bigint").alias("by_id")
+            )
+        )
+        return rows
+
+    def _current(self) -> tuple[list[Row], T.StructType]:
+        """Bounds of the ranked files, the first file first, and the result's schema.
+
+        There are as many files as the sort had partitions; they are read once a version.
+        """
+        version = self.bounds.version()
+        if version is None:
+            raise FileNotFoundError(f"no snapshot below {self.path}")
+        if self._held is None or self._held[0] != version:
+            bounds = self.bounds.read().orderBy(F.col("risk_score").desc(), "cve_id").collect()
+            self._held = version, bounds, self.ranked.read().schema
+        return self._held[1:]
+
+    def _open(self, files: list[str]) -> DataFrame:
+        schema = self._current()[1]
+        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+
+    def read(self) -> DataFrame:
+        """All rows of the current snapshot."""
+        return self._open([bound["file"] for bound in self._current()[0]])
+
+    def top(self, limit: int) -> DataFrame:
+        """The best rows; opens only the leading files that hold them."""
+        files, rows = [], 0
+        for bound in self._current()[0]:
+            if rows >= limit:
+                break
+            files.append(bound["file"])
+            rows += bound["rows"]
+        return self._open(files).orderBy(F.col("risk_score").desc(), "cve_id").limit(limit)
+
+    def look_up(self, ids: DataFrame) -> DataFrame:
+        """Rows of the requested ids; opens only the parts they belong to."""
+        bounds, schema = self._current()
+        if not bounds:
+            return self._open([])
+        return self._by_id(schema).look_up(ids, schema.names, bounds[0]["by_id"])
 
 
 def split_ids(ids: DataFrame, column: str = "cve_id") -> DataFrame:
@@ -134,14 +211,18 @@ def score_ids(risk: DataFrame, ids: DataFrame) -> DataFrame:
     ).orderBy(F.col("score").desc_nulls_last(), "cve_id")
 
 
-def score_id_list(spark: SparkSession, risk: DataFrame, ids: list[str]) -> DataFrame:
-    """``score_ids`` for ids typed by a caller: refuses an empty or malformed list."""
+def score_id_list(spark: SparkSession, risk: DataFrame | Callable[[DataFrame], DataFrame], ids: list[str]) -> DataFrame:
+    """``score_ids`` for ids typed by a caller: refuses an empty or malformed list.
+
+    ``risk`` is the result, or a look-up such as ``Catalog.risk_of`` that reads only those ids.
+    """
     if not ids:
         raise ValueError("no CVE IDs supplied")
     malformed = [i for i in ids if not re.match(CVE_ID_PATTERN.replace(r"\z", r"\Z"), i)]
     if malformed:
         raise ValueError(f"malformed CVE ID(s): {', '.join(malformed)}")
-    return score_ids(risk, spark.createDataFrame([(i,) for i in ids], "cve_id string"))
+    asked = spark.createDataFrame([(i,) for i in ids], "cve_id string")
+    return score_ids(risk(asked) if callable(risk) else risk, asked)
 
 
 def component_mismatches(risk: DataFrame) -> DataFrame:

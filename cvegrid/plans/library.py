@@ -63,7 +63,7 @@ def lookup_cve(c: Catalog, cve_id: str) -> DataFrame:
 
 def lookup_cve_batch(c: Catalog, ids: DataFrame) -> DataFrame:
     """Risk rows of the requested ids."""
-    return c.risk.join(ids.select("cve_id").distinct(), "cve_id", "left_semi")
+    return c.risk_of(ids)
 
 
 def patch_now_ssvc(c: Catalog) -> DataFrame:
@@ -102,12 +102,14 @@ def text_match_ci(c: Catalog, text: str = "injection", abstraction: str = "Base"
     return c.cwe.where((F.col("abstraction") == abstraction) & matches).select("cwe_id", "name", "description")
 
 
-def json_path_exists(records: DataFrame, path: str = "$.metrics.ssvcV203") -> DataFrame:
-    return records.where(F.get_json_object("raw_json", path).isNotNull()).select("cve_id")
+def json_path_exists(vulns: DataFrame) -> DataFrame:
+    """Ids whose record holds SSVC data, from the column stored at load; no JSON is read."""
+    return vulns.where("has_ssvc").select("cve_id")
 
 
-def json_status_filter(records: DataFrame, status: str) -> DataFrame:
-    return records.where(F.get_json_object("raw_json", "$.vulnStatus") == status).select("cve_id")
+def json_status_filter(vulns: DataFrame, status: str) -> DataFrame:
+    """Ids whose record has a status, from the column stored at load; no JSON is read."""
+    return vulns.where(F.col("status") == status).select("cve_id")
 
 
 def json_subdocument(records: DataFrame) -> DataFrame:
@@ -160,8 +162,10 @@ def listed_with_ransomware(c: Catalog) -> DataFrame:
     return c.kev.where(known).select("cve_id", "vendor_project", "product", "date_added")
 
 
-def urls_for_cve(c: Catalog, cve_id: str) -> DataFrame:
-    return c.nvd.where(F.col("cve_id") == cve_id).select("cve_id", F.explode("reference_urls").alias("url"))
+def urls_for_cve(vulns: DataFrame, cve_id: str) -> DataFrame:
+    """Every reference of one record, from its stored JSON: the stored column keeps only the first ten."""
+    urls = F.from_json("raw_json", "references array<struct<url:string>>")["references"]["url"]
+    return vulns.where(F.col("cve_id") == cve_id).select("cve_id", F.explode(urls).alias("url"))
 
 
 def topic_in_year_by_cvss(c: Catalog, text: str, year: int, limit: int = 10) -> DataFrame:
@@ -565,7 +569,7 @@ def _by_risk(frame: DataFrame) -> DataFrame:
 
 def patch_first(c: Catalog, limit: int = 20) -> DataFrame:
     columns = ("cve_id", "risk_score", "cvss_score", "epss_probability", "kev_listed")
-    return _by_risk(c.risk.select(*columns)).limit(limit)
+    return c.riskiest(limit).select(*columns)
 
 
 def early_warning(c: Catalog) -> DataFrame:
@@ -598,7 +602,8 @@ def newest_listed(c: Catalog, limit: int = 10) -> DataFrame:
 
 
 def explain_row(c: Catalog, cve_id: str) -> DataFrame:
-    return c.risk.where(F.col("cve_id") == cve_id).select("cve_id", "risk_score", *COMPONENTS, "cwe_top")
+    asked = c.nvd.sparkSession.createDataFrame([(cve_id,)], "cve_id string")
+    return c.risk_of(asked).select("cve_id", "risk_score", *COMPONENTS, "cwe_top")
 
 
 def active_not_listed(c: Catalog) -> DataFrame:

@@ -19,6 +19,10 @@ NVD = """
     raw_json string, content string, embedding array<float>
 """
 
+# What a load stores besides the reference columns, so that filters on them never parse JSON.
+STORED_NVD = f"{NVD}, status string, has_ssvc boolean, modified_at timestamp"
+NVD_WIDE = ["raw_json", "content", "embedding"]
+
 EPSS = """
     cve_id string, probability decimal(6,5), percentile decimal(6,5), scored_at date,
     model_version string, previous_probability decimal(6,5), previous_scored_at date

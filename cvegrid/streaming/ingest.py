@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cvegrid import schemas
-from cvegrid.functions.shaping import dedupe_last_wins, parse_record, vuln_row
-from cvegrid.operators.merge import merge_keep_vector
+from cvegrid.functions.shaping import dedupe_last_wins, parse_record, stored_row
+from cvegrid.operators.merge import MergeReport, keep_vector, merge_into
 from cvegrid.sources.feeds import page_records
-from cvegrid.sources.tables import VersionedTable
+from cvegrid.sources.keyed import KeyedStore
 from cvegrid.streaming.deltas import DeltaFolder
 
 
@@ -26,21 +26,23 @@ def stream_pages(spark: SparkSession, landing: str, per_line: bool = False, file
     return records.withColumn("parsed", parse_record(F.col("raw_json")))
 
 
+def vuln_store(spark: SparkSession, path: str, parts: int = 64) -> KeyedStore:
+    """The stored vulnerabilities: narrow columns in one family, JSON, documents and vectors in another."""
+    names = spark.createDataFrame([], schemas.STORED_NVD).columns
+    narrow = [c for c in names if c != "cve_id" and c not in schemas.NVD_WIDE]
+    return KeyedStore(spark, path, schemas.STORED_NVD, {"narrow": narrow, "wide": schemas.NVD_WIDE}, parts=parts)
+
+
 def vuln_deltas(spark: SparkSession, path: str) -> DeltaFolder:
-    return DeltaFolder(spark, path, f"{schemas.NVD}, arrival bigint, revised string")
+    return DeltaFolder(spark, path, f"{schemas.STORED_NVD}, arrival bigint")
 
 
 def stream_vuln_ingest(records: DataFrame, deltas: DeltaFolder, checkpoint: str) -> StreamingQuery:
     """Shape arriving records and keep them as deltas; handled files are never read twice."""
 
     def load(batch: DataFrame, number: int) -> None:
-        placed = batch.withColumns(
-            {
-                "arrival": F.monotonically_increasing_id(),
-                "revised": F.get_json_object("raw_json", "$.lastModified"),
-            }
-        )
-        deltas.put(vuln_row(placed, keep=["arrival", "revised"]), number)
+        placed = batch.withColumn("arrival", F.monotonically_increasing_id())
+        deltas.put(stored_row(placed, keep=["arrival"]), number)
 
     return (
         records.writeStream.foreachBatch(load)
@@ -50,27 +52,22 @@ def stream_vuln_ingest(records: DataFrame, deltas: DeltaFolder, checkpoint: str)
     )
 
 
-def fold_vulns(spark: SparkSession, table: VersionedTable, deltas: DeltaFolder) -> int | None:
-    """Merge the deltas behind the last fold into the stored table; None if there are none.
+def fold_vulns(store: KeyedStore, deltas: DeltaFolder) -> MergeReport | None:
+    """Merge the deltas behind the last fold into the store; None if there are none.
 
-    Of an id the revision modified last counts, of equal ones the last arrival; a stored row
-    that was modified later stays.  So a fold that is repeated after a failure between the
-    table and the ledger changes nothing.
+    Of an id the revision with the latest moment of modification counts, of equal ones the last
+    arrival; a stored row that was modified later, if only within the day, stays.  So a fold that
+    is repeated after a failure between the store and the ledger changes nothing.
     """
     rows = deltas.unfolded()
     last = rows.agg(F.max("batch_id")).first()[0]
     if last is None:
         return None
-    order = F.struct("revised", "batch_id", "arrival").alias("place")
-    incoming = dedupe_last_wins(
-        rows.select("*", order).drop("batch_id", "arrival", "revised"), ["cve_id"], "place"
-    )
-    if table.version() is None:
-        number = table.write(incoming)
-    else:
-        number = table.write(merge_keep_vector(table.read(), incoming, ["cve_id"], not_before="last_modified"))
+    order = F.struct("modified_at", "batch_id", "arrival").alias("place")
+    incoming = dedupe_last_wins(rows.select("*", order).drop("batch_id", "arrival"), ["cve_id"], "place")
+    report = merge_into(store, incoming, keep_vector(), not_before="modified_at")
     deltas.mark_folded(last)
-    return number
+    return report
 
 
 def listing_deltas(spark: SparkSession, path: str) -> DeltaFolder:

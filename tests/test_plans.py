@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from checks.registry import Tables
 from cvegrid.catalog import Catalog
+from cvegrid.functions import shaping
 from cvegrid.operators import knn, merge, metering
 from cvegrid.operators.risk import universe
 from cvegrid.plans import library
 from cvegrid.sources.tables import save_bucketed
+from cvegrid.streaming import ingest
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -65,6 +67,17 @@ def test_filters_reach_the_scan(stored):
     assert "EqualTo(cve_id,CVE-1)" in plan(library.lookup_cve(stored, "CVE-1"))
 
 
+def test_json_filters_read_stored_columns(spark, stored, tmp_path):
+    store = ingest.vuln_store(spark, str(tmp_path / "vulns"), 4)
+    store.replace(shaping.stored_row(Tables(spark, SF_DIR).parsed))
+    for frame, pushed in (
+        (library.json_path_exists(store.read()), "EqualTo(has_ssvc,true)"),
+        (library.json_status_filter(store.read(), "Rejected"), "EqualTo(status,Rejected)"),
+    ):
+        text = plan(frame)
+        assert pushed in text and not any("raw_json" in s for s in read_schemas(text))
+
+
 def test_blend_never_reads_documents_or_vectors(stored):
     schemas = read_schemas(plan(stored.risk))
     assert schemas and not any(w in s for s in schemas for w in ("raw_json", "content", "embedding", "description"))

@@ -3,6 +3,8 @@
 import datetime
 import json
 
+import pytest
+
 from cvegrid.sources.tables import VersionedTable
 from cvegrid.streaming import ingest, usage
 
@@ -17,6 +19,11 @@ def record(cve_id, text):
     return {"id": cve_id, "published": "2024-01-01T00:00:00", "descriptions": [{"lang": "en", "value": text}]}
 
 
+@pytest.fixture
+def store(spark, tmp_path):
+    return ingest.vuln_store(spark, str(tmp_path / "vulns"), parts=4)
+
+
 def load(spark, tmp_path):
     deltas = ingest.vuln_deltas(spark, str(tmp_path / "deltas"))
     records = ingest.stream_pages(spark, str(tmp_path / "pages"), files_per_batch=1)
@@ -24,18 +31,17 @@ def load(spark, tmp_path):
     return deltas
 
 
-def test_pages_are_loaded_once_and_the_last_arrival_counts(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "vulns"))
+def test_pages_are_loaded_once_and_the_last_arrival_counts(spark, tmp_path, store):
     page(tmp_path, "1.json", record("CVE-1", "a"), record("CVE-2", "a"), record("CVE-1", "b"))
     deltas = load(spark, tmp_path)
-    assert ingest.fold_vulns(spark, table, deltas) == 2
-    assert {r.cve_id: r.description for r in table.read().collect()} == {"CVE-1": "b", "CVE-2": "a"}
+    assert ingest.fold_vulns(store, deltas).new == 2
+    assert {r.cve_id: r.description for r in store.read().collect()} == {"CVE-1": "b", "CVE-2": "a"}
 
     page(tmp_path, "2.json", record("CVE-2", "c"), record("CVE-3", "c"))
     load(spark, tmp_path)
     assert deltas.read().count() == 5  # the first page was not read again
-    ingest.fold_vulns(spark, table, deltas)
-    assert {r.cve_id: r.description for r in table.read().collect()} == {"CVE-1": "b", "CVE-2": "c", "CVE-3": "c"}
+    ingest.fold_vulns(store, deltas)
+    assert {r.cve_id: r.description for r in store.read().collect()} == {"CVE-1": "b", "CVE-2": "c", "CVE-3": "c"}
 
 
 def test_replayed_batch_replaces_itself(spark, tmp_path):
@@ -84,23 +90,44 @@ def test_new_listings_are_reported_once(spark, tmp_path):
     assert run("CVE-2", "CVE-3") == ["CVE-2", "CVE-3"]
 
 
-def test_the_latest_revision_counts_whatever_arrives_last(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "vulns"))
-    revised = lambda year, text: record("CVE-1", text) | {"lastModified": f"{year}-03-01T10:00:00"}
-    page(tmp_path, "1.json", revised(2024, "new"))
-    page(tmp_path, "2.json", revised(2023, "old"))
-    deltas = load(spark, tmp_path)
-    ingest.fold_vulns(spark, table, deltas)
-    assert [r.description for r in table.read().collect()] == ["new"]
+def test_the_latest_revision_counts_whatever_arrives_last(spark, tmp_path, store):
+    revised = lambda moment, text: record("CVE-1", text) | {"lastModified": moment}
 
-    # A fold without new deltas does nothing, and one that is repeated can't undo a newer row.
-    assert ingest.fold_vulns(spark, table, deltas) is None
-    newer = table.read().selectExpr("* EXCEPT (last_modified, description)", "DATE '2025-01-01' AS last_modified", "'newest' AS description")
-    table.write(newer.select(*table.read().columns))
+    def described():
+        return [r.description for r in store.read().collect()]
+
+    page(tmp_path, "1.json", revised("2024-03-01T10:00:00", "new"))
+    page(tmp_path, "2.json", revised("2023-03-01T10:00:00", "old"))
+    deltas = load(spark, tmp_path)
+    ingest.fold_vulns(store, deltas)
+    assert described() == ["new"]
+    assert ingest.fold_vulns(store, deltas) is None
+
+    # Of one day the later hour counts, whichever fold brings it; an offset is taken into account.
+    for name, moment, text, kept in (
+        ("3.json", "2024-03-01T18:00:00", "evening", "evening"),
+        ("4.json", "2024-03-01T09:00:00.000", "morning", "evening"),
+        ("5.json", "2024-03-01T12:00:00-08:00", "noon in the west", "noon in the west"),
+        ("6.json", "2024-03-01T19:00:00Z", "earlier", "noon in the west"),
+    ):
+        page(tmp_path, name, revised(moment, text))
+        load(spark, tmp_path)
+        ingest.fold_vulns(store, deltas)
+        assert described() == [kept]
+
+    # A fold that is repeated because the ledger was not written changes nothing.
     again = ingest.DeltaFolder(spark, deltas.path, deltas.schema)
     again.folded = lambda: -1
-    ingest.fold_vulns(spark, table, again)
-    assert [r.description for r in table.read().collect()] == ["newest"]
+    ingest.fold_vulns(store, again)
+    assert described() == ["noon in the west"]
+
+
+def test_status_and_presence_are_stored(spark, tmp_path, store):
+    held = record("CVE-1", "a") | {"vulnStatus": "Rejected", "metrics": {"ssvcV203": [{"ssvcData": {"options": []}}]}}
+    page(tmp_path, "1.json", held, record("CVE-2", "b"))
+    ingest.fold_vulns(store, load(spark, tmp_path))
+    rows = {r.cve_id: (r.status, r.has_ssvc) for r in store.read().collect()}
+    assert rows == {"CVE-1": ("Rejected", True), "CVE-2": (None, False)}
 
 
 def test_usage_is_folded_once(spark, tmp_path):

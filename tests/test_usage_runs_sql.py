@@ -1,6 +1,7 @@
 """Metering, run history and guarded SQL."""
 
 import datetime
+from types import SimpleNamespace
 import random
 from collections import defaultdict
 from decimal import Decimal as D
@@ -123,7 +124,8 @@ def test_views_carry_the_known_names(spark):
     from cvegrid.catalog import Catalog
 
     empty = spark.createDataFrame([], "cve_id string")
-    Catalog(kev=empty, nvd=empty, epss=empty, cwe=empty, snapshot=empty).register_views()
+    stored = SimpleNamespace(read=lambda: empty)
+    Catalog(kev=empty, nvd=empty, epss=empty, cwe=empty, snapshot=stored).register_views()
     names = {t.name for t in spark.catalog.listTables() if t.isTemporary}
     assert {"kev_vulnerabilities", "nvd_vulnerabilities", "epss_scores", "cwe_definitions", "v_cve_risk"} <= names
 

@@ -68,11 +68,11 @@ def test_top_k_over_both_tables(corpus, vectors):
     assert len(everything) == 401 and everything[-1].vec_id == 1000
 
 
-@pytest.mark.parametrize("per_pass", [512, 4])
-def test_batch_search_is_exact(spark, corpus, vectors, per_pass):
+@pytest.mark.parametrize("together", [(2048, 8192), (4, 37)])
+def test_batch_search_is_exact(spark, corpus, vectors, together):
     chosen = [7, 8, 9, 50, 51, 52, 53, 54, 55]
     queries = spark.createDataFrame([(i, vectors[i].tolist()) for i in chosen], "query_id long, embedding array<float>")
-    found = knn.knn_batch(corpus, queries, k=6, per_pass=per_pass).collect()
+    found = knn.knn_batch(corpus, queries, k=6, queries_together=together[0], rows_together=together[1]).collect()
     for query in chosen:
         ranked = sorted((r.rank, r.distance, r.vec_id) for r in found if r.query_id == query)
         assert [r[0] for r in ranked] == list(range(1, 7))
@@ -84,15 +84,56 @@ def test_batch_search_without_queries(spark, corpus):
     assert knn.knn_batch(corpus, queries).columns == ["query_id", "vec_id", "distance", "rank"]
 
 
-def test_approximate_search_recalls_most(corpus, vectors):
-    model, index = knn.build_ann_index(corpus, bucket_length=1.0, tables=12)
-    assert index.count() == 400
+def test_batch_search_is_one_lazy_plan(spark, corpus, vectors):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    queries = corpus.select(F.col("vec_id").alias("query_id"), "embedding")
+    knn.knn_batch(corpus, queries, queries_together=8)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
+def test_queries_without_direction_have_no_neighbours(spark, corpus):
+    queries = spark.createDataFrame([("a", None), ("b", [0.0] * 16)], "query_id string, embedding array<float>")
+    assert knn.knn_batch(corpus, queries).count() == 0
+    assert knn.knn_batch(corpus.where("false"), corpus.select(F.col("vec_id").alias("query_id"), "embedding")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def index(spark, corpus, tmp_path_factory):
+    made = knn.InvertedLists(spark, str(tmp_path_factory.mktemp("ann") / "index"))
+    made.build(corpus, lists=12)
+    return made
+
+
+def test_index_holds_every_row_that_has_a_vector(index, corpus):
+    assert index.rows().count() == 400 and index.rows().select("list").distinct().count() > 6
+
+
+def test_approximate_search_recalls_most_and_gives_k_rows(spark, corpus, vectors, index):
+    queries = corpus.where("vec_id % 4 = 0 AND embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = index.search(queries, k=5).collect()
     hits = 0
-    for number in (3, 7, 200, 301):
-        found = knn.ann_top_k(model, index, vectors[number].tolist(), 5).select("vec_id", "distance").collect()
-        best = {d for d, _ in exact(vectors, vectors[number], 5)}
-        hits += sum(any(abs(r.distance - d) < 1e-6 for d in best) for r in found)
-    assert hits >= 16
+    for query in range(0, 400, 4):
+        own = sorted((r.rank, r.distance, r.vec_id) for r in found if r.query_id == query)
+        best = exact(vectors, vectors[query], 5)
+        assert [r[0] for r in own] == [1, 2, 3, 4, 5]
+        every = {i: d for d, i in exact(vectors, vectors[query], 400)}
+        assert all(abs(every[i] - d) < 2e-9 for _, d, i in own)
+        hits += sum(abs(a[1] - b[0]) < 2e-9 for a, b in zip(own, best, strict=True))
+    assert hits >= 0.9 * 500
+
+
+def test_a_search_opens_only_its_lists_but_always_k_rows(spark, vectors, index):
+    query = spark.createDataFrame([(1, vectors[3].tolist())], "query_id long, embedding array<float>")
+    assert index.search(query, k=5, probes=1).count() == 5
+    assert index.search(query, k=390, probes=1).count() == 390
+    plan = index.search(query, k=5, probes=1)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan or "PartitionFilters: [isnotnull(list" in plan
+
+
+def test_an_empty_index_answers_nothing(spark, corpus, tmp_path):
+    made = knn.InvertedLists(spark, str(tmp_path / "none"))
+    made.build(corpus.where("false"))
+    assert made.search(corpus.select(F.col("vec_id").alias("query_id"), "embedding")).count() == 0
 
 
 def test_context(corpus, vectors):
