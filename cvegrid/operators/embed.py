@@ -165,6 +165,47 @@ def embed_texts(
     return pieces.mapInPandas(run, f"{key} {kind}, embedding array<float>")
 
 
+def embed_requests(
+    rows: DataFrame,
+    embed: Embedder,
+    order: str,
+    text: str = "content",
+    max_tokens: int = MAX_TOKENS_PER_REQUEST,
+    max_items: int = MAX_INPUTS_PER_REQUEST,
+) -> DataFrame:
+    """One vector per row, asked for in exactly the requests of ``token_batches``.
+
+    The request is the grouping key: a task gets the pieces of one request in their order, never
+    more than fit it, and a failed task asks for the same requests again.  Within a request the
+    vectors of a long text's pieces are added up, then those of its requests, so every character
+    is embedded.  ``order`` is the rows' unique integer.
+    """
+    kind = rows.schema[order].dataType.simpleString()
+    pieces = rows.select(order, F.posexplode(text_pieces(F.col(text))).alias("piece", "part"))
+    packed = token_batches(rows, order, text, max_tokens, max_items).join(
+        pieces.withColumn("piece", F.col("piece").cast("bigint")), [order, "piece"]
+    )
+
+    def answer(request: pd.DataFrame) -> pd.DataFrame:
+        request = request.sort_values([order, "piece"])
+        sums: dict = {}
+        for row_key, vector in zip(request[order], _answered(embed, request["part"].tolist()), strict=True):
+            held = sums.get(row_key)
+            sums[row_key] = vector if held is None else [a + b for a, b in zip(held, vector, strict=True)]
+        named = {"run": request["run"].iloc[0], "request": request["request"].iloc[0]}
+        return pd.DataFrame({order: list(sums), **named, "vector": list(sums.values())})
+
+    columns = f"{order} {kind}, run bigint, request int, vector array<double>"
+    asked = packed.select(order, "piece", "run", "request", "part").groupBy("run", "request").applyInPandas(answer, columns)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("run", "request", "vector"))), lambda p: p["vector"])
+    total = F.aggregate(
+        F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))),
+        F.get("parts", F.lit(0)),
+        lambda held, more: F.zip_with(held, more, lambda a, b: a + b),
+    )
+    return asked.groupBy(order).agg(parts.alias("parts")).select(order, total.cast("array<float>").alias("embedding"))
+
+
 def backfill_vectors(rows: DataFrame, embed: Embedder, key: str = "cve_id") -> DataFrame:
     """The table with vectors computed for the rows that lack one; only those rows move."""
     lacking = rows.where(F.col("embedding").isNull())

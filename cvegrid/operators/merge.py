@@ -159,6 +159,19 @@ def merge_into(
         raise ValueError(f"the stored table has no columns {unknown}")
     base = store.version()
     rows, touched = store.land(last_per_key(incoming, [store.key], position))
+    return merge_landed(store, rows, touched, base, rules, not_before, known_only)
+
+
+def merge_landed(
+    store: KeyedStore,
+    rows: DataFrame,
+    touched: list[int],
+    base: int | None,
+    rules: dict[str, Rule] | None = None,
+    not_before: str | None = None,
+    known_only: bool = False,
+) -> MergeReport:
+    """``merge_into`` for a batch that the store has landed already, with one row a key."""
     marks = [F.col(not_before).alias("_stored")] if not_before else []
     known = store.read([store.key, *([not_before] if not_before else [])], touched, base)
     known = known.select(store.key, F.lit(True).alias("_known"), *marks)

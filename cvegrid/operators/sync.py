@@ -8,7 +8,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cvegrid.operators.merge import merge_keep_vector
+from cvegrid.operators.merge import MergeReport, keep_vector, merge_keep_vector, merge_landed
+from cvegrid.sources.keyed import KeyedStore
 
 WINDOW_DAYS = 120
 SECONDS_PER_DAY = 86400
@@ -75,6 +76,59 @@ class SyncResult:
     counts: DataFrame
 
 
+def _hits(store: DataFrame, feed: DataFrame, now: Column, days: int, since: Column | None) -> DataFrame:
+    """Feed rows in a window of either phase, with the number of windows that hold them."""
+    # Scalar subqueries: each mark is one value, computed once and inlined in the filter.
+    stored_modified = store.agg(F.max("last_modified")).scalar()
+    stored_published = store.agg(F.max("published")).scalar()
+    published = stored_published if since is None else F.when(stored_published.isNotNull(), since)
+    modified = stored_modified if since is None else F.when(stored_modified.isNotNull(), since)
+    return feed.withColumns(
+        {
+            "_new": window_hits(F.col("published_at"), published, now, days),
+            "_changed": window_hits(F.col("modified_at"), modified, now, days),
+        }
+    ).where((F.col("_new") > 0) | (F.col("_changed") > 0))
+
+
+@dataclass(frozen=True)
+class StoreSync:
+    """Window hits of both phases, records synced, and what the merge did."""
+
+    new: int
+    modified: int
+    distinct_synced: int
+    merge: MergeReport
+
+    @property
+    def synced(self) -> int:
+        return self.new + self.modified
+
+
+def sync_store(
+    store: KeyedStore, feed: DataFrame, now: Column, days: int = WINDOW_DAYS, since: Column | None = None
+) -> StoreSync:
+    """``incremental_sync`` of a keyed store: the feed is read once, and only touched parts are rewritten.
+
+    The hits are landed with their window counts; what is counted and what is merged comes from
+    there.  Columns of the feed that the store has not, besides the two moments, are refused.
+    """
+    base = store.version()
+    hits = _hits(store.read(["published", "last_modified"], version=base), feed, now, days, since)
+    own = [c for c in hits.columns if c not in ("_new", "_changed", "published_at") and c in store.types]
+    unknown = set(feed.columns) - set(own) - {"published_at", "modified_at"}
+    if unknown:
+        raise ValueError(f"the stored table has no columns {sorted(unknown)}")
+    landed, touched = store.land(hits.select(*own, "_new", "_changed"))
+    counts = landed.agg(
+        F.coalesce(F.sum("_new"), F.lit(0)).alias("new"),
+        F.coalesce(F.sum("_changed"), F.lit(0)).alias("modified"),
+        F.count(F.lit(1)).alias("distinct_synced"),
+    ).first()
+    report = merge_landed(store, landed.drop("_new", "_changed"), touched, base, keep_vector())
+    return StoreSync(counts["new"], counts["modified"], counts["distinct_synced"], report)
+
+
 def incremental_sync(
     store: DataFrame,
     feed: DataFrame,
@@ -90,17 +144,7 @@ def incremental_sync(
     callers expect; ``distinct_synced`` gives the number of records.  The feed holds an id
     at most once, so both phases carry the same row and one merge serves them.
     """
-    # Scalar subqueries: each mark is one value, computed once and inlined in the filter.
-    stored_modified = store.agg(F.max("last_modified")).scalar()
-    stored_published = store.agg(F.max("published")).scalar()
-    published = stored_published if since is None else F.when(stored_published.isNotNull(), since)
-    modified = stored_modified if since is None else F.when(stored_modified.isNotNull(), since)
-    hits = feed.withColumns(
-        {
-            "_new": window_hits(F.col("published_at"), published, now, days),
-            "_changed": window_hits(F.col("modified_at"), modified, now, days),
-        }
-    ).where((F.col("_new") > 0) | (F.col("_changed") > 0))
+    hits = _hits(store, feed, now, days, since)
     counts = hits.agg(
         F.coalesce(F.sum("_new"), F.lit(0)).alias("new"),
         F.coalesce(F.sum("_changed"), F.lit(0)).alias("modified"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from cvegrid.functions.shaping import (
     skip_malformed_scores,
 )
 from cvegrid.functions.text import strip, stripped_or_null
+from cvegrid.sources.tables import scratch_path
 
 SCORE_COLUMNS = ("cve", "epss", "percentile")
 WEAKNESS_COLUMNS = ("CWE-ID", "Name", "Weakness Abstraction", "Description")
@@ -52,11 +54,17 @@ def read_vuln_pages(spark: SparkSession, path: str, per_line: bool = False) -> D
     return records.withColumn("parsed", parse_record(F.col("raw_json")))
 
 
-@dataclass(frozen=True)
+@dataclass
 class ScoreFeedMeta:
+    """What a score feed says of itself; malformed rows are counted when they are asked for."""
+
     model_version: str | None
     scored_at: datetime.date
-    skipped: int
+    counts: DataFrame
+
+    @cached_property
+    def skipped(self) -> int:
+        return self.counts.first()["skipped"]
 
 
 def _opening(lines: DataFrame) -> DataFrame:
@@ -88,10 +96,13 @@ def read_score_feed(
 
     Each file opens with ``#`` metadata and blank lines, then a header.  Files are taken by
     name and lines as they stand in them, so the last of a repeated id is the same however
-    Spark splits the files.  Only the opening of each file reaches the driver, one row a file.
-    Files that disagree on header, model version or score date are refused.
+    Spark splits the files.  Text is read once and its lines landed with file and place, so that
+    a gzip file is unpacked once; openings and rows come from there.  One opening a file goes to
+    every task, and the line stays where it is.  Files that disagree on header, model version or
+    score date are refused.
     """
-    lines = spark.read.text(path).select(
+    landed = scratch_path(spark, "score-lines")
+    read = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.struct(
@@ -100,6 +111,8 @@ def read_score_feed(
             F.monotonically_increasing_id().alias("line"),
         ).alias("place"),
     )
+    read.write.parquet(landed)
+    lines = spark.read.schema(read.schema).parquet(landed)
     opening = _opening(lines)
     kinds = opening.where("header IS NOT NULL").select("header", "model_version", "scored_at").distinct().limit(2).collect()
     if not kinds:
@@ -114,13 +127,12 @@ def read_score_feed(
 
     schema = ", ".join(f"`{name}` string" for name in columns)
     rows = (
-        lines.join(opening.select("file", "start"), "file")
+        lines.join(F.broadcast(opening.select("file", "start")), "file")
         .where((F.col("place") > F.col("start")) & (F.col("value") != ""))
         .select(F.from_csv("value", schema).alias("row"), "place")
         .select(*[F.col("row")[name].alias(name) for name in SCORE_COLUMNS], F.col("place").alias("position"))
     )
-    skipped = count_malformed_scores(rows).first().skipped
-    meta = ScoreFeedMeta(model_version, scored_at or load_date, skipped)
+    meta = ScoreFeedMeta(model_version, scored_at or load_date, count_malformed_scores(rows))
     typed = skip_malformed_scores(rows).select("cve_id", "probability", "percentile", "position")
     scores = dedupe_last_wins(typed, ["cve_id"], "position").select(
         "cve_id",

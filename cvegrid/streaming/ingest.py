@@ -77,16 +77,16 @@ def listing_deltas(spark: SparkSession, path: str) -> DeltaFolder:
 def stream_new_listings(
     entries: DataFrame, stored: DataFrame, deltas: DeltaFolder, checkpoint: str
 ) -> StreamingQuery:
-    """Ids of arriving catalog entries that neither the store nor an earlier batch holds."""
-
-    def diff(batch: DataFrame, number: int) -> None:
-        earlier = deltas.read().where(F.col("batch_id") < number).select("cve_id")
-        known = stored.select("cve_id").unionByName(earlier)
-        fresh = batch.select("cve_id").distinct().join(known, "cve_id", "left_anti")
-        deltas.put(fresh, number)
+    """Ids of arriving catalog entries that neither the store nor an earlier batch holds.
 
+    The ids reported so far are the stream's own keyed state, spread over its partitions and kept
+    in its checkpoint; a batch looks up only its own ids in it, however many batches there were.
+    Known ids are cut away before, so the state holds new ones only.
+    """
+    unknown = entries.select("cve_id").join(stored.select("cve_id"), "cve_id", "left_anti")
     return (
-        entries.writeStream.foreachBatch(diff)
+        unknown.dropDuplicates(["cve_id"])
+        .writeStream.foreachBatch(lambda batch, number: deltas.put(batch, number))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

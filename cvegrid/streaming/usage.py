@@ -35,6 +35,46 @@ def stream_usage_daily(events: DataFrame, deltas: DeltaFolder, checkpoint: str)
     )
 
 
+def stream_usage_windows(
+    events: DataFrame, deltas: DeltaFolder, checkpoint: str, lateness: str = "7 days"
+) -> StreamingQuery:
+    """Daily counters kept as the stream's state, in event-time windows under a watermark.
+
+    A day stays open until events `lateness` past its end have been seen; until then late events
+    are added to it, afterwards they are dropped and its state is freed, so the state covers open
+    days only.  Every batch puts out the new totals of the days it changed (update mode), which
+    replace earlier ones: see ``latest_usage``.  What a run read less what was
+    added to the totals is what came too late: see ``events_seen``.
+    """
+    seen = events.withColumn("ts", F.col("ts").cast("timestamp")).observe("events", F.count(F.lit(1)).alias("seen"))
+    days = seen.withWatermark("ts", lateness).groupBy("user_identifier", F.window("ts", "1 day").alias("day"))
+    counted = days.agg(
+        F.count(F.lit(1)).alias("query_count"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+    ).select("user_identifier", F.to_date("day.start").alias("query_date"), "query_count", "input_tokens", "output_tokens")
+    return (
+        counted.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, number: deltas.put(batch, number))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_usage(deltas: DeltaFolder) -> DataFrame:
+    """Totals of every user and day from a windowed stream: those of the last batch that changed them."""
+    totals = ["query_count", "input_tokens", "output_tokens"]
+    last = F.max_by(F.struct(*totals), "batch_id").alias("_last")
+    return deltas.read().groupBy("user_identifier", "query_date").agg(last).select("user_identifier", "query_date", "_last.*")
+
+
+def events_seen(query: StreamingQuery) -> int:
+    """Events that the batches of a run have read, of the progress reports that Spark keeps."""
+    rows = [p["observedMetrics"].get("events") for p in query.recentProgress]
+    return sum(row["seen"] for row in rows if row)
+
+
 def current_usage(stored: DataFrame | None, deltas: DeltaFolder) -> DataFrame:
     """Stored counters plus the deltas that aren't folded into them yet."""
     held = None if stored is None else stored.agg(F.max("folded_batch")).first()[0]

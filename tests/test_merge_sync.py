@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cvegrid.operators import merge, sync
+from cvegrid.sources.keyed import KeyedStore
 from cvegrid.sources.tables import VersionedTable, save_bucketed, shared_folder
 
 SCORES = """cve_id string, probability decimal(6,5), percentile decimal(6,5), scored_at date, model_version string,
@@ -160,6 +161,39 @@ def test_incremental_sync_counts_both_phases(spark):
     assert again.counts.first().distinct_synced == 4
 
 
+def test_store_sync_reads_the_feed_once_and_keeps_other_parts(spark, tmp_path):
+    held = KeyedStore(spark, str(tmp_path / "store"), STORE, parts=32)
+    held.replace(
+        spark.createDataFrame(
+            [(f"S{n}", datetime.date(2024, 1, 1), datetime.date(2024, 2, 1), "old", [1.0]) for n in range(60)], STORE
+        )
+    )
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        reads.add(1)
+        return text
+
+    rows = feed(
+        spark,
+        ("S1", "2024-01-01T00:00:00", "2024-03-01T10:00:00"),
+        ("B", "2024-04-30T00:00:00", "2024-04-30T00:00:00"),
+        ("C", "2023-01-01T00:00:00", "2024-01-31T23:59:59"),
+    )
+    now = F.lit(datetime.datetime(2024, 7, 1)).cast("timestamp_ntz")
+    done = sync.sync_store(held, rows.withColumn("description", counted("description")), now)
+    assert (done.new, done.modified, done.synced, done.distinct_synced) == (3, 2, 5, 2)
+    assert (done.merge.new, done.merge.modified) == (1, 1) and len(done.merge.parts) <= 2
+    assert reads.value <= 3
+    found = {r.cve_id: (r.description, r.embedding) for r in held.read().collect()}
+    assert len(found) == 61 and found["S1"] == ("new", [1.0]) and found["B"] == ("new", None) and found["S2"] == ("old", [1.0])
+    empty = KeyedStore(spark, str(tmp_path / "empty"), STORE, parts=4)
+    assert sync.sync_store(empty, rows, now).synced == 0 and empty.version() is None
+    with pytest.raises(ValueError, match="no columns"):
+        sync.sync_store(held, rows.withColumn("extra", F.lit(1)), now)
+
+
 def test_incremental_sync_of_an_empty_store_does_nothing(spark):
     store = spark.createDataFrame([], STORE)
     arrived = feed(spark, ("A", "2024-01-01T00:00:00", "2024-03-01T10:00:00"))

@@ -74,6 +74,38 @@ def test_late_usage_still_counts(spark, tmp_path):
     assert run() == {("a", 5): 1, ("a", 20): 3, ("b", 20): 1}
 
 
+def test_windowed_usage_drops_and_reports_what_is_too_late(spark, tmp_path):
+    schema = "user_identifier string, ts timestamp, event_id long, input_tokens long, output_tokens long"
+    deltas = usage.usage_deltas(spark, str(tmp_path / "deltas"))
+
+    def run(*events):
+        spark.createDataFrame(list(events), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "events"))
+        query = usage.stream_usage_windows(stream, deltas, str(tmp_path / "progress"), "2 days")
+        query.awaitTermination()
+        rows = {(r.user_identifier, r.query_date.day): r.query_count for r in usage.latest_usage(deltas).collect()}
+        return rows, usage.events_seen(query)
+
+    at = lambda day, number, user="a": (user, datetime.datetime(2024, 1, day, 10), number, 1, 1)
+    assert run(at(20, 1), at(20, 2), at(19, 3, "b")) == ({("a", 20): 2, ("b", 19): 1}, 3)
+    # The 18th is still open at a watermark of the 18th at ten o'clock, the 17th is not.
+    assert run(at(18, 4), at(17, 5), at(20, 6)) == ({("a", 20): 3, ("b", 19): 1, ("a", 18): 1}, 3)
+    assert run(at(25, 7)) == ({("a", 20): 3, ("b", 19): 1, ("a", 18): 1, ("a", 25): 1}, 1)
+    assert run(at(20, 8)) == ({("a", 20): 3, ("b", 19): 1, ("a", 18): 1, ("a", 25): 1}, 1)
+
+
+def test_new_listings_read_no_earlier_batches(spark, tmp_path):
+    stored = spark.createDataFrame([("CVE-1",)], "cve_id string")
+    deltas = ingest.listing_deltas(spark, str(tmp_path / "deltas"))
+    deltas.read = None  # reading what earlier batches put out would fail
+    for ids in (["CVE-1", "CVE-2"], ["CVE-2", "CVE-3"], ["CVE-3", "CVE-3", "CVE-4"]):
+        spark.createDataFrame([(i,) for i in ids], "cve_id string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("cve_id string").parquet(str(tmp_path / "in"))
+        ingest.stream_new_listings(stream, stored, deltas, str(tmp_path / "progress")).awaitTermination()
+    found = ingest.listing_deltas(spark, deltas.path).read().orderBy("cve_id").collect()
+    assert [r.cve_id for r in found] == ["CVE-2", "CVE-3", "CVE-4"]
+
+
 def test_new_listings_are_reported_once(spark, tmp_path):
     stored = spark.createDataFrame([("CVE-1",)], "cve_id string")
     deltas = ingest.listing_deltas(spark, str(tmp_path / "deltas"))

@@ -197,6 +197,28 @@ def test_every_character_is_embedded(spark):
     assert [(r.n, r.piece, r.tokens) for r in packed] == [(1, 0, 8191), (1, 1, 8191), (1, 2, 1), (2, 0, 2)]
 
 
+def test_requests_are_those_of_the_packing(spark):
+    rng = np.random.default_rng(2)
+    texts = ["x" * int(n) for n in rng.integers(0, 60, 120)] + ["y" * (2 * embed.PIECE + 5), None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, content string").repartition(4)
+
+    def telling(request):
+        # Each text's vector tells of the request it came in.
+        return [[float(len(request)), float(sum(map(len, request))), float(len(t))] for t in request]
+
+    packed = embed.token_batches(rows, "n", max_tokens=9000, max_items=50).collect()
+    groups = {}
+    for r in packed:
+        groups.setdefault((r.run, r.request), []).append((r.n, r.piece))
+    found = {r.n: r.embedding for r in embed.embed_requests(rows, telling, "n", max_tokens=9000, max_items=50).collect()}
+    for pieces in groups.values():
+        for n, _ in pieces:
+            if n != 120:
+                assert found[n][0] == len(pieces)
+    # The long text came in three requests of its own, or shared ones; all its characters were embedded.
+    assert found[120][2] == 2 * embed.PIECE + 5 and found[121][2] == 0 and len(found) == 122
+
+
 def test_refused_requests_are_halved(spark):
     def fussy(texts):
         if len(texts) > 3:
