@@ -16,7 +16,7 @@ PUBLISHED = "cve_id string, probability decimal(6,5), percentile decimal(6,5), s
 
 
 def day(n):
-    return datetime.date(2026, 7, n)
+    return datetime.date(2033, 11, n)
 
 
 def publication(spark, n, **scores):
@@ -24,50 +24,53 @@ def publication(spark, n, **scores):
     return spark.createDataFrame(rows, PUBLISHED)
 
 
+def published(spark, store, n, **scores):
+    return merge.merge_score_publication(store, publication(spark, n, **scores), ["cve_id"])
+
+
 @pytest.fixture
 def first(spark, broadcast_limit):
-    return merge.merge_score_publication(
-        spark.createDataFrame([], SCORES), publication(spark, 1, A=".94000", B=".03351"), ["cve_id"]
-    )
+    return published(spark, spark.createDataFrame([], SCORES), 4, X="0.125", Y="0.75")
 
 
 def by_id(frame):
     return {r.cve_id: (r.probability, r.scored_at, r.previous_probability, r.previous_scored_at) for r in frame.collect()}
 
 
-def test_first_publication(first):
-    assert by_id(first) == {"A": (D(".94"), day(1), None, None), "B": (D(".03351"), day(1), None, None)}
-
-
-def test_same_day_again_keeps_previous(spark, first):
-    again = merge.merge_score_publication(first, publication(spark, 1, A=".94000", B=".03351"), ["cve_id"])
-    assert by_id(again) == by_id(first)
+def test_a_first_publication_has_nothing_before_it(first):
+    assert by_id(first) == {"X": (D("0.125"), day(4), None, None), "Y": (D("0.75"), day(4), None, None)}
 
 
-def test_next_day_shifts(spark, first):
-    second = merge.merge_score_publication(first, publication(spark, 2, A=".99999", B=".03351", C=".5"), ["cve_id"])
-    assert by_id(second) == {
-        "A": (D(".99999"), day(2), D(".94000"), day(1)),
-        "B": (D(".03351"), day(2), D(".03351"), day(1)),
-        "C": (D(".5"), day(2), None, None),
-    }
-    rerun = merge.merge_score_publication(second, publication(spark, 2, A=".99999", B=".03351", C=".5"), ["cve_id"])
-    assert by_id(rerun) == by_id(second)
+@pytest.mark.parametrize(
+    ("n", "value", "before"),
+    [
+        (4, "0.125", (None, None)),  # the same day again
+        (4, "0.5", (None, None)),  # a correction of the same day
+        (9, "0.5", (D("0.125"), day(4))),  # a later day
+        (9, "0.125", (D("0.125"), day(4))),  # a later day with the same value
+        (2, "0.5", (None, None)),  # an older day still replaces the current value
+    ],
+)
+def test_only_a_later_day_moves_the_stored_score(spark, first, n, value, before):
+    second = published(spark, first, n, X=value, Z="0.25")
+    expected = {"X": (D(value), day(n), *before), "Y": (D("0.75"), day(4), None, None), "Z": (D("0.25"), day(n), None, None)}
+    assert by_id(second) == expected
+    # Loading the publication once more changes nothing.
+    assert by_id(published(spark, second, n, X=value, Z="0.25")) == expected
 
 
-def test_older_publication_still_overwrites_current(spark, first):
-    second = merge.merge_score_publication(first, publication(spark, 3, A=".99999"), ["cve_id"])
-    older = merge.merge_score_publication(second, publication(spark, 2, A=".5"), ["cve_id"])
-    assert by_id(older)["A"] == (D(".5"), day(2), D(".94000"), day(1))
+def test_an_older_day_leaves_the_previous_columns(spark, first):
+    third = published(spark, published(spark, first, 9, X="0.5"), 6, X="0.375")
+    assert by_id(third)["X"] == (D("0.375"), day(6), D("0.125"), day(4))
 
 
 def test_threshold_keeps_the_boundary(spark):
     from cvegrid.catalog import Catalog
     from cvegrid.plans import library
 
-    scores = publication(spark, 1, A=".90000", B=".89999", C=".90001")
+    scores = publication(spark, 5, P="0.9", Q="0.89999", R="0.90001")
     found = library.threshold_exact(Catalog(kev=None, nvd=None, epss=scores)).collect()
-    assert sorted(r.cve_id for r in found) == ["A", "C"]
+    assert sorted(r.cve_id for r in found) == ["P", "R"]
 
 
 @pytest.fixture(params=["-1", "10MB"])
