@@ -106,6 +106,7 @@ class Vocabulary:
         keys = pairs[:, 0] << KEY_BITS | pairs[:, 1]
         self.order = np.argsort(keys).astype(np.int32)
         self.keys = keys[self.order]
+        self.rank_of: dict[int, int] | None = None
         self.merged = pairs[:, 2].astype(np.int32)
         self.added = added
         self.specials = regex.compile("|".join(regex.escape(t) for t in added)) if added else None
@@ -178,7 +179,9 @@ class Vocabulary:
 
     def _alone(self, piece: np.ndarray) -> np.ndarray:
         """Merge one long piece."""
-        rank_of = dict(zip(self.keys.tolist(), self.order.tolist(), strict=True))
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.keys.tolist(), self.order.tolist(), strict=True))
+        rank_of = self.rank_of
         none, size = int(NO_RANK), len(piece)
         leaves = 1 << (size - 1).bit_length()
         tokens = piece.tolist()
@@ -393,8 +396,9 @@ def _more(frame: DataFrame, field: T.StructField, fill: Callable[[pa.RecordBatch
 
 
 def encode(documents: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The rows with the token ids of their text in one more column."""
+    """The rows with the token ids of their text in one more column, which replaces one of its name."""
     file = vocabulary_file(path)
+    documents = documents.drop(ids) if ids != text else documents
     at = documents.columns.index(text)
 
     def fill(batch: pa.RecordBatch, state: list) -> pa.Array:
@@ -409,8 +413,9 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text", id
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """The rows with the text that their ids stand for in one more column."""
+    """The rows with the text that their ids stand for in one more column, which replaces one of its name."""
     file = vocabulary_file(path)
+    encoded = encoded.drop(decoded) if decoded != ids else encoded
     at = encoded.columns.index(ids)
 
     def fill(batch: pa.RecordBatch, state: list) -> pa.Array:

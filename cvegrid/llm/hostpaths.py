@@ -80,12 +80,16 @@ MARKS = {
 # Names that begin so tell what a layout has or lacks.
 LAYOUT = {"no", "not", "non", "without", "has", "have", "with"}
 HEADINGS = {"h1", "h2", "h3"}
+HEADINGS_ALL = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE = HEADINGS_ALL | INLINE | {"p", "blockquote", "pre", "figcaption", "li", "dt", "dd"}
+ARTICLES = {"article", "main"}
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
-    path: str
+    # Tag and classes; an inline element has none and stands at its parent's path.
+    step: str
     up: Element | None
     out: bool = False
     linked: bool = False
@@ -93,6 +97,22 @@ class Element:
     named: bool = False
     # Pieces of text and child elements in page order; None stands for the end of a block.
     parts: list = field(default_factory=list)
+    # Unlinked letters, and characters that show, of what it holds; see `measured`.
+    letters: int = 0
+    shown: int = 0
+
+    def __post_init__(self) -> None:
+        # Whether it is, or stands in, an article or main element.
+        self.within = self.tag in ARTICLES or (self.up is not None and self.up.within)
+
+    @property
+    def path(self) -> str:
+        steps, at = [], self
+        while at is not None:
+            if at.step:
+                steps.append(at.step)
+            at = at.up
+        return ">".join(reversed(steps))
 
     def inside(self, tags: set[str]) -> Element | None:
         at = self
@@ -102,25 +122,62 @@ class Element:
 
     def size(self) -> int:
         """Unlinked letters of the element and what it holds."""
-        return sum(
-            len(p) if isinstance(p, str) else p.size() for p in self.parts if p is not None
-        ) if not (self.out or self.linked) else 0
+        return 0 if self.out or self.linked else self.letters
 
     def holds(self, tags: set[str]) -> bool:
-        return self.tag in tags or any(isinstance(p, Element) and not p.out and p.holds(tags) for p in self.parts)
+        waiting = [self]
+        while waiting:
+            at = waiting.pop()
+            if at.tag in tags:
+                return True
+            waiting += [p for p in at.parts if isinstance(p, Element) and not p.out]
+        return False
+
+    def show(self) -> None:
+        """Take the element back in: its text counts in all that hold it, up to one that is out."""
+        self.out = False
+        letters, shown, at = 0 if self.linked else self.letters, self.shown, self.up
+        while at is not None:
+            at.letters += letters
+            at.shown += shown
+            if at.out:
+                break
+            letters, at = 0 if at.linked else letters, at.up
 
     def blocks(self) -> Iterator[str | None]:
-        for part in self.parts:
-            if isinstance(part, Element):
-                if not part.out:
-                    block = part.tag not in INLINE
-                    if block:
-                        yield None
-                    yield from part.blocks()
-                    if block:
-                        yield None
-            else:
+        """Text in page order, with None at the edges of blocks."""
+        waiting = [iter(self.parts)]
+        edges = [False]
+        while waiting:
+            part = next(waiting[-1], waiting)
+            if part is waiting:
+                waiting.pop()
+                if edges.pop():
+                    yield None
+            elif not isinstance(part, Element):
                 yield part
+            elif not part.out:
+                edges.append(part.tag not in INLINE)
+                if edges[-1]:
+                    yield None
+                waiting.append(iter(part.parts))
+
+
+def measured(root: Element) -> None:
+    """Add up the text of all elements, inner ones first, however deep they are nested."""
+    order, waiting = [], [root]
+    while waiting:
+        at = waiting.pop()
+        order.append(at)
+        waiting += [p for p in at.parts if isinstance(p, Element)]
+    for at in reversed(order):
+        for part in at.parts:
+            if isinstance(part, str):
+                at.letters += len(part)
+                at.shown += len("".join(part.split()))
+            elif part is not None and not part.out:
+                at.letters += part.size()
+                at.shown += part.shown
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -134,7 +191,7 @@ def _left_out(tag: str, named: dict[str, str], up: Element) -> bool:
         return False
     # A header inside the article holds its headline; one of the page doesn't.
     if tag == "header":
-        return up.inside({"article", "main"}) is None
+        return not up.within
     if "hidden" in named or named.get("aria-hidden") == "true":
         return True
     if re.search(r"display\s*:\s*none", named.get("style", "")):
@@ -142,19 +199,23 @@ def _left_out(tag: str, named: dict[str, str], up: Element) -> bool:
     return False
 
 
-def _marked(named: dict[str, str], up: Element) -> bool:
+def _marked(tag: str, named: dict[str, str], up: Element) -> bool:
+    # Inside an article, names of headings, paragraphs and inline elements tell of its subject or
+    # look; anywhere, the id of a heading is an anchor.
+    if up.within and tag in PROSE:
+        return False
     words = set()
-    for name in " ".join(named.get(a) or "" for a in ("class", "id", "role")).lower().split():
+    marks = ("class", "role") if tag in HEADINGS_ALL else ("class", "id", "role")
+    for name in " ".join(named.get(a) or "" for a in marks).lower().split():
         own = WORD.findall(name)
         if own and own[0] not in LAYOUT:
             words.update(own)
-    return bool(words & MARKS) or ("header" in words and up.inside({"article", "main"}) is None)
+    return bool(words & MARKS) or ("header" in words and not up.within)
 
 
-def _path(tag: str, named: dict[str, str], up: Element) -> str:
-    names = sorted(DIGITS.sub("#", name) for name in named.get("class", "").lower().split())
-    own = ".".join([tag, *names])
-    return f"{up.path}>{own}" if up.path else own
+def _step(tag: str, named: dict[str, str]) -> str:
+    names = sorted(DIGITS.sub("#", name) for name in named.get("class", "").lower().replace(">", "").split())
+    return ".".join([tag, *names])
 
 
 def tree(page: str) -> Element:
@@ -196,7 +257,7 @@ def tree(page: str) -> Element:
         if found.group(3):
             named = _attributes(found.group(3))
         out = _left_out(tag, named or {}, at)
-        by_name = not out and tag not in {"main", "article", "header"} and _marked(named or {}, at)
+        by_name = not out and tag not in {"main", "article", "header"} and _marked(tag, named or {}, at)
         out = out or by_name
         if tag in INLINE and tag != "a" and not out:
             continue
@@ -204,7 +265,7 @@ def tree(page: str) -> Element:
             # An anchor ends one that is still open.
             if tag == "a" and at.tag == "a":
                 at = at.up
-            new = Element(tag, at.path, at, out, linked=tag == "a", named=by_name)
+            new = Element(tag, "", at, out, linked=tag == "a", named=by_name)
             at.parts.append(new)
             at = new
             continue
@@ -216,33 +277,28 @@ def tree(page: str) -> Element:
             while holder is not None and holder.tag in ended:
                 at = holder.up
                 holder = at.inside(ended | holders)
-        new = Element(tag, _path(tag, named or {}, at), at, out, named=by_name)
+        new = Element(tag, _step(tag, named or {}), at, out, named=by_name)
         at.parts.append(new)
         at = new
+    measured(root)
     _taken_back(root)
     return root
 
 
 def _taken_back(root: Element) -> None:
     """Marks by name are void on what wraps a page's headline and most of its text, or all its text."""
-    waiting, whole, bare = [root], None, False
+    waiting = [root]
     while waiting:
         at = waiting.pop()
-        if at.tag in {"article", "main"}:
+        if at.tag in ARTICLES:
             continue
-        marked = [p for p in at.parts if isinstance(p, Element) and p.named]
-        if marked and whole is None:
-            whole, bare = root.size(), not text_of([root])
-        sizes = []
-        for part in marked:
-            part.out = False
-            sizes.append(part.size() if text_of([part]) else 0)
-            part.out = True
+        marked = [p for p in at.parts if isinstance(p, Element) and p.named and p.out]
+        sizes = [0 if p.linked or not p.shown else p.letters for p in marked]
         if sizes and max(sizes):
             largest = marked[sizes.index(max(sizes))]
-            wraps = max(sizes) >= DOMINANT * (whole + max(sizes)) and largest.holds({"h1", "main"})
-            if wraps or bare:
-                largest.out, whole = False, None
+            wraps = max(sizes) >= DOMINANT * (root.size() + max(sizes)) and largest.holds({"h1", "main"})
+            if wraps or not root.shown:
+                largest.show()
         waiting += [p for p in at.parts if isinstance(p, Element) and not p.out]
 
 
@@ -273,7 +329,7 @@ def best(root: Element) -> Element:
         # A block of one paragraph is not a container; look through what only wraps.
         if largest.tag not in CONTAINERS and not any(isinstance(p, Element) and p.tag in CONTAINERS for p in largest.parts):
             break
-        if widest is None and not at.inside({"article", "main"}) and any(p is not largest and _belongs(p, whole) for p in at.parts):
+        if widest is None and not at.within and any(p is not largest and _belongs(p, whole) for p in at.parts):
             widest = at
         at = largest
     return at.inside({"article"}) or at.inside({"main"}) or widest or at
@@ -293,12 +349,17 @@ def text_of(elements: list[Element]) -> str:
 
 def at_path(root: Element, path: str) -> list[Element]:
     """The outermost elements with a path, in page order."""
-    if root.path == path:
-        return [root]
-    found = []
-    for part in root.parts:
-        if isinstance(part, Element) and not part.out and (path.startswith(part.path) or part.tag in INLINE):
-            found += at_path(part, path)
+    steps, found, waiting = path.split(">"), [], [(root, 0)]
+    while waiting:
+        at, depth = waiting.pop()
+        if at.step:
+            if at.step != steps[depth]:
+                continue
+            depth += 1
+            if depth == len(steps):
+                found.append(at)
+                continue
+        waiting += [(p, depth) for p in reversed(at.parts) if isinstance(p, Element) and not p.out]
     return found
 
 

@@ -34,14 +34,13 @@ ROW_BYTES = 8
 
 
 def ring(shards: int, nodes_per_shard: int = NODES_PER_SHARD) -> list[tuple[int, int]]:
-    """Places and shards of all virtual nodes, clockwise; a place taken twice keeps one."""
-    nodes: dict[int, tuple[bytes, int]] = {}
+    """Places and shards of all virtual nodes, clockwise; nodes that share a place follow by their whole hash."""
+    nodes = []
     for shard in range(shards):
         for number in range(nodes_per_shard):
             mark = hashlib.blake2b(f"{shard}/{number}".encode(), digest_size=8).digest()
-            place = int.from_bytes(mark, "big") >> (64 - CELL_BITS)
-            nodes[place] = min(nodes.get(place, (mark, shard)), (mark, shard))
-    return sorted((place, shard) for place, (_, shard) in nodes.items())
+            nodes.append((mark, shard))
+    return [(int.from_bytes(mark, "big") >> (64 - CELL_BITS), shard) for mark, shard in sorted(nodes)]
 
 
 def bounds(rows: int, shards: int, slack: float = 0.0) -> list[int]:
@@ -83,6 +82,8 @@ def allot(
     waiting.extend((cell, 0, counts[cell]) for cell in cells)
     for _, shard in nodes:
         take(shard, waiting)
+    if waiting:
+        raise ValueError("the shards have less room than there are rows")
     return pieces
 
 

@@ -64,3 +64,9 @@ def test_registered(spark, library):
         assert row["n_tokens"] == len(ids)
         assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_clashing_columns_are_replaced(spark):
+    rows = spark.createDataFrame([(1, "the house", "old", "older")], "doc_id long, text string, ids string, decoded string")
+    row = bpe.decode(bpe.encode(rows)).first()
+    assert row["decoded"] == "the</w> house</w>" and len(row["ids"]) == 2 and row["doc_id"] == 1

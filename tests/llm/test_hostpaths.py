@@ -37,6 +37,62 @@ def test_pages(page, text):
     assert hp.main_text(page, []) == text
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<p>The <span class='share'>share</span> rose.</p>",
+        "<p class='related-work'>Earlier work.</p>",
+        "<h2 id='search'>Search</h2><p>How.</p>",
+        "<h3 id='social-history' class='tags'>Social history</h3>",
+        "<ul><li class='promo'>one<li>two</ul><blockquote class='comment'>said</blockquote>",
+    ],
+)
+def test_names_inside_an_article_mark_no_prose(inner):
+    text = " ".join(re.sub("<[^>]+>", "|", inner).replace("|share|", "share").replace("|", " ").split())
+    assert hp.main_text(f"<article><h1>T</h1>{inner}<div class='share'>x</div></article>", []) == f"T {text}"
+    # Outside, a heading's id marks nothing either, but a paragraph's class does.
+    assert hp.main_text("<div><h2 id='search'>S</h2><p>a</p><p class='cookie-notice'>c</p></div>", []) == "S a"
+
+
+def test_deep_and_long_pages():
+    for opening, closing in (("<div class='x1'>", "</div>"), ("<a href=x>", ""), ("<b>", "</b>")):
+        page = opening * 10_000 + "<p>kept text</p>" + closing * 10_000
+        assert hp.main_text(page, []) == "kept text", opening
+    # A sidebar within a sidebar stays one.
+    assert hp.main_text("<div class='sidebar'>" * 10_000 + "<p>side</p>", []) == ""
+    nested = hp.tree("<div>" * 10_000 + "deep" + "</div>" * 10_000)
+    chosen = hp.best(nested)
+    assert hp.text_of(hp.at_path(nested, chosen.path)) == "deep"
+    long = "<article>" + "<p>word word word</p>" * 60_000 + "</article>"
+    assert len(hp.main_text(long, [])) == 60_000 * 15 - 1
+
+
+def test_equal_votes_go_by_path(spark):
+    page = "<div class='{}'><p>{}</p></div><div class='{}'><p>tail</p></div>"
+    rows = [(1, "http://h/1", page.format("b", LONG, "a")), (2, "http://h/2", page.format("a", LONG, "b"))]
+    rows += [(3, "http://h/3", page.format("c", LONG, "a"))]
+    found = {r["page_id"]: r["text"] for r in hp.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # Each path has one vote, so a comes first on every page that has it.
+    assert found == {1: "tail", 2: LONG.strip(), 3: "tail"}
+
+
+def test_votes_against_a_plain_count(spark):
+    layouts = ["<main><p>{}</p></main>", "<div class='p{}'><p>{}</p></div>", "<section><div><p>{}</p></div></section>"]
+    rows = []
+    for n in range(60):
+        layout = layouts[n * n % 3] if n % 4 else layouts[1]
+        rows.append((n, f"https://h{n % 5}.example/{n}", layout.format(*([n, LONG] if "p{}" in layout else [LONG]))))
+    plain = {}
+    for _, url, page in rows:
+        host = url.split("/")[2]
+        path = hp.best(hp.tree(page)).path
+        plain.setdefault(host, {}).setdefault(path, 0)
+        plain[host][path] += 1
+    wanted = {h: sorted(v, key=lambda p, v=v: (-v[p], p))[: hp.PATHS_KEPT] for h, v in plain.items()}
+    found = {r["_host"]: list(r["_paths"]) for r in hp.host_paths(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == wanted and any(len(p) > 1 for p in found.values())
+
+
 ENTRY = f"<div class='entry'><p>{LONG}</p></div>"
 
 

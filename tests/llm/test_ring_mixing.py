@@ -28,6 +28,53 @@ def test_allot(rows, shards, slack):
     assert all(used[s] <= b for s, b in enumerate(ring.bounds(sum(counts.values()), shards, slack)))
 
 
+def walked(counts, shards, slack, nodes_per_shard):
+    """Shard of every row, row by row: each goes clockwise from its place to the first node with room."""
+    nodes, room = ring.ring(shards, nodes_per_shard), ring.bounds(sum(counts.values()), shards, slack)
+    rows = [(cell, rank) for cell in sorted(counts) for rank in range(counts[cell])]
+    shard_of, waiting, start = {}, [], 0
+    for turn in range(2):
+        for place, shard in nodes:
+            own = []
+            if turn == 0:
+                while start < len(rows) and rows[start][0] <= place:
+                    own.append(rows[start])
+                    start += 1
+            queue, waiting = own + waiting, []
+            for row in queue:
+                if room[shard] > 0:
+                    room[shard] -= 1
+                    shard_of[row] = shard
+                else:
+                    waiting.append(row)
+            # Those that came from further back have waited longer.
+            waiting = [r for r in waiting if r not in set(own)] + [r for r in waiting if r in set(own)]
+        waiting += rows[start:] if turn == 0 else []
+        start = len(rows)
+    assert not waiting
+    return shard_of
+
+
+@pytest.mark.parametrize(("rows", "shards", "slack", "nodes"), [(400, 9, 0, 4), (400, 60, 0, 1), (300, 5, 0.2, 16), (90, 200, 0, 2)])
+def test_allot_against_a_walk_row_by_row(rows, shards, slack, nodes):
+    pick = random.Random(rows + shards)
+    counts = Counter(pick.randrange(ring.CELLS) for _ in range(rows))
+    counts[ring.CELLS - 1] += 25
+    counts[77] += 40
+    found = {}
+    for cell, first, end, shard, _ in ring.allot(counts, shards, slack, nodes):
+        found |= {(cell, rank): shard for rank in range(first, end)}
+    assert found == walked(counts, shards, slack, nodes)
+
+
+def test_every_shard_stands_on_the_ring():
+    nodes = ring.ring(20_000, 1)
+    assert {shard for _, shard in nodes} == set(range(20_000)) and nodes == sorted(nodes, key=lambda n: n[0])
+    counts = Counter(random.Random(1).randrange(ring.CELLS) for _ in range(20_000))
+    pieces = ring.allot(counts, 2000, nodes_per_shard=1)
+    assert sum(end - first for _, first, end, _, _ in pieces) == 20_000
+
+
 def test_shards(spark):
     texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     found = ring.op8_bounded_ring(spark, SF).collect()
