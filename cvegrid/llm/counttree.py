@@ -11,7 +11,7 @@ import numpy as np
 
 GROUPS = 64
 FANOUT = 16
-# Query-node pairs whose bounds are computed at once.
+# Query-node pairs whose bounds are computed at once, in GROUPS groups.
 AT_ONCE = 1 << 14
 # Candidates that are checked before looking whether their components have met.
 FIRST_CHECKED = 8
@@ -38,12 +38,13 @@ class CountTree:
         """(query, point) pairs whose sets may have the given Jaccard similarity, in hundredths."""
         size = queries.sum(axis=1)
         # Overlap must reach h / (100 + h) of both sizes together, and h / 100 of the larger one.
+        at_once = max(1, AT_ONCE * GROUPS // self.points.shape[1])
         asked = np.arange(len(queries))
         nodes = np.zeros(len(queries), np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             kept_asked, kept_nodes = [], []
-            for start in range(0, len(asked), AT_ONCE):
-                a, n = asked[start : start + AT_ONCE], nodes[start : start + AT_ONCE]
+            for start in range(0, len(asked), at_once):
+                a, n = asked[start : start + at_once], nodes[start : start + at_once]
                 shared = np.minimum(queries[a], self.levels[level][n]).sum(axis=1)
                 if level:
                     # A point below can be no smaller than what it shares.
@@ -62,13 +63,13 @@ class CountTree:
         return asked, self.order[nodes]
 
 
-def points_of(sets: list[np.ndarray]) -> np.ndarray:
-    """Group counts of sets of hashed tokens."""
+def points_of(sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
+    """Group counts of sets of hashed tokens; the number of groups is a power of two."""
     sizes = np.array([len(s) for s in sets])
-    group = (np.concatenate(sets) & np.uint64(GROUPS - 1)).astype(np.int64)
+    group = (np.concatenate(sets) & np.uint64(groups - 1)).astype(np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    counts = np.bincount(owner * GROUPS + group, minlength=len(sets) * GROUPS)
-    return counts.reshape(len(sets), GROUPS).astype(np.int32)
+    counts = np.bincount(owner * groups + group, minlength=len(sets) * groups)
+    return counts.reshape(len(sets), groups).astype(np.int32)
 
 
 class Components:

@@ -15,10 +15,12 @@ group is expanded into pairs:
 
 1. each document goes to one of the groups it is in, large groups are dealt out in blocks;
    similar documents become components;
-2. as long as groups hold several components, one document of each is compared in one group;
+2. as long as groups hold several components and a round joins a good share of them, one document
+   of each is compared in one group;
 3. what still shares a group without having met is compared wholly: first the count vectors of
-   each group, then the sets of what that leaves, large groups in blocks by size, each block only
-   with those whose sizes allow the similarity.
+   each group, then finer ones of what that leaves, then the sets of what those leave, large
+   groups in blocks by size, each block only with those whose sizes allow the similarity.  Coarse
+   vectors say little of sets that are many times larger than they have groups; the finer ones do.
 
 Equal sets are one from the start.  Tokens are told apart by 64-bit hashes when counted and by
 their first 40 bits when a pair is compared.
@@ -55,6 +57,10 @@ BLOCK = 1024
 TOKEN_BYTES = 5
 MEASURED = "_id bigint, _at bigint, _size bigint, _digest string"
 SETS = "_at bigint, _size bigint, _set binary, _point binary"
+# A round of representatives is followed by another one if it has joined one of so many.
+WORTH = 4
+# Groups of the count vectors that are compared before the sets of what the first ones leave.
+FINE_GROUPS = 1024
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -128,8 +134,12 @@ def _measured(shingle: int):
 def _emitted(shingle: int, hundredths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found, owners, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
             for at, text in rows_of(batch):
+                # Copies that stand together say nothing more.
+                if at in seen:
+                    continue
+                seen.add(at)
                 own = cells(shingles(text, shingle), hundredths).view(np.int64)
                 found.append(own)
                 owners.append(np.full(len(own), at, np.int64))
@@ -240,7 +250,8 @@ def _rooted(documents: DataFrame, text: str, shingle: int, hundredths: int) -> D
     same = stored(some.join(classes, "_digest").select("_at", "_label"), "join-classes")
     leaders = same.where("_at = _label").select("_at")
 
-    emitted = texts.mapInArrow(_emitted(shingle, hundredths), "_cell bigint, _at bigint")
+    # Read twice, so that texts are hashed once.
+    emitted = stored(texts.mapInArrow(_emitted(shingle, hundredths), "_cell bigint, _at bigint"), "join-cells")
     repeated = emitted.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_cell")
     met = emitted.join(repeated, "_cell").join(leaders, "_at", "left_semi").distinct()
     many = met.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
@@ -260,6 +271,7 @@ def _rooted(documents: DataFrame, text: str, shingle: int, hundredths: int) -> D
     start = members.select("_at").distinct().withColumn("_label", F.col("_at"))
     labels = stored(_relabelled(start, _compared(first, hundredths)), "join-labels")
 
+    worth = True
     while True:
         placed = members.select("_cell", "_at").join(labels, "_at")
         open_ = placed.groupBy("_cell").agg(
@@ -268,6 +280,12 @@ def _rooted(documents: DataFrame, text: str, shingle: int, hundredths: int) -> D
         left = stored(placed.join(open_.where("_least < _most"), "_cell"), "join-left")
         if left.isEmpty():
             break
+        if not worth:
+            # Representatives hardly join any more: compare all that is left, then nothing is open.
+            whole = stored(_whole(left, sets, hundredths), "join-roots")
+            if not whole.isEmpty():
+                labels = stored(_relabelled(labels, components(whole)), "join-labels")
+            break
         speaker = left.groupBy("_label").agg(F.min(F.struct("_cell", "_at", "_labels")).alias("_s"))
         speaker = speaker.select("_label", "_s.*").withColumn(
             "_block", F.pmod(F.xxhash64("_label"), F.ceil(F.col("_labels") / BLOCK))
@@ -276,13 +294,10 @@ def _rooted(documents: DataFrame, text: str, shingle: int, hundredths: int) -> D
             F.xxhash64("_cell", "_block").alias("_group"), "_label", F.lit(0).alias("_side"), "_set"
         )
         roots = stored(_compared(groups, hundredths), "join-roots")
-        if roots.isEmpty():
-            # No representative joins another: compare all that is left, then nothing is open.
-            whole = stored(_whole(left, sets, hundredths), "join-roots")
-            if not whole.isEmpty():
-                labels = stored(_relabelled(labels, components(whole)), "join-labels")
-            break
-        labels = stored(_relabelled(labels, roots), "join-labels")
+        joined, open_labels = roots.count(), left.agg(F.approx_count_distinct("_label")).first()[0]
+        worth = WORTH * joined >= open_labels
+        if joined:
+            labels = stored(_relabelled(labels, roots), "join-labels")
 
     # From sets to rows: leaders carry their label, equal sets their leader's.
     reached = labels.select(F.col("_at").alias("_leader"), F.col("_label").alias("_top"))
@@ -318,11 +333,20 @@ def component_of(
     )
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count vectors of many groups, for (_at, _set)."""
+    for batch in batches:
+        rows = [
+            (at, points_of([unpacked(held)], FINE_GROUPS)[0].astype("<i4").tobytes()) for at, held in rows_of(batch)
+        ]
+        yield batch_of(rows, "_at bigint, _point binary")
+
+
 def _whole(left: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
     """(_label, _root) of all that shares an open cell.
 
     Points are compared within each cell; what the tree leaves, and what that is joined to, is
-    compared token by token.
+    compared by finer points, and what those leave token by token.
     """
     sized = left.select("_cell", "_at", "_label").join(sets.select("_at", "_size"), "_at")
     dealt = _blocks(sized.withColumnRenamed("_cell", "_bunch"), hundredths)
@@ -330,9 +354,19 @@ def _whole(left: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
     maybe = stored(_compared(points, hundredths, exact=False).distinct(), "join-maybe")
     if maybe.isEmpty():
         return maybe
-    bunches = components(maybe).withColumnRenamed("_root", "_bunch")
-    open_ = sized.select("_at", "_label", "_size").distinct().join(bunches, "_label")
-    return _compared(_blocks(open_, hundredths).join(sets.select("_at", "_set"), "_at"), hundredths)
+    members = sized.select("_at", "_label", "_size").distinct()
+    open_ = stored(members.join(components(maybe).withColumnRenamed("_root", "_bunch"), "_label"), "join-open")
+    # The sets of what is open, once each.
+    held = stored(sets.select("_at", "_set").join(open_.select("_at").distinct(), "_at", "left_semi"), "join-held")
+    finer = stored(held.mapInArrow(_finer, "_at bigint, _point binary"), "join-finer")
+    still = stored(
+        _compared(_blocks(open_, hundredths).join(finer, "_at"), hundredths, exact=False).distinct(), "join-maybe"
+    )
+    if still.isEmpty():
+        return still
+    bunches = components(still).withColumnRenamed("_root", "_bunch")
+    last = open_.drop("_bunch").join(bunches, "_label")
+    return _compared(_blocks(last, hundredths).join(held, "_at"), hundredths)
 
 
 def _blocks(members: DataFrame, hundredths: int) -> DataFrame:
