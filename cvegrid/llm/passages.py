@@ -11,8 +11,10 @@ Texts are dealt by document once and used for steps 2 and 4.  An anchor that occ
 HOT times sends its windows one by one, dealt by their own hash, so that the distinct content
 of a group stays bounded whatever surrounds a very common passage.
 
-Documents are told apart by doc_id and text, and ordered by doc_id (null first), then by digest.
-Rows that agree in both are one document and are cut alike.
+A document's key is its doc_id, in an order-preserving form (null first, and no number's equal),
+followed by the digest of its text.  Keys tell documents apart and order them.  Rows that agree
+in both are one document and are cut alike; rows that share only an id, or have none, are dealt,
+joined and examined each by its own key.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ HOT = 100_000
 EXAMINED = 1 << 20
 # Bytes of stretches that a task keeps in mind while it sends them.
 REMEMBERED = 32 << 20
-NO_ID = -(1 << 63)
+# Byte at which the digest stands in a key, counted from 1, and its bytes.
+DIGEST_AT, DIGEST_BYTES = 10, 16
 
-Stretch = tuple[int, int, int, int, bytes]
 # Stretches in document order -> for each the first and end places, from its start, to cut.
 Finder = Callable[[list[bytes], list[int]], list[list[tuple[int, int]]]]
 
@@ -89,21 +91,21 @@ class Unit:
 
 def _counted(unit: Unit):
     """Distinct anchors of each text with how often they occur in it."""
-    shape = "_anchor bigint, _at bigint, _times int"
+    shape = "_anchor bigint, _doc bigint, _times int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, times, owners = [], [], []
-            for at, text in rows_of(batch):
+            for doc, text in rows_of(batch):
                 hashes = unit.anchors(unit.values(text.encode()))[0]
                 if len(hashes):
                     distinct, many = np.unique(hashes, return_counts=True)
                     found.append(distinct.view(np.int64))
                     times.append(many.astype(np.int32))
-                    owners.append(np.full(len(distinct), at, np.int64))
+                    owners.append(np.full(len(distinct), doc, np.int64))
             if found:
                 columns = [np.concatenate(found), np.concatenate(owners), np.concatenate(times)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_anchor", "_at", "_times"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_anchor", "_doc", "_times"])
 
     return run, shape
 
@@ -115,25 +117,22 @@ def _sent(unit: Unit):
     it is to be cut, and only that is passed on, as a row without content.  So a passage that
     very many texts hold is sent once a task, not once a text.
     """
-    shape = "_group bigint, _at bigint, _which int, _start bigint, _end bigint, _content binary"
+    shape = "_group bigint, _key binary, _start bigint, _end bigint, _content binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        earliest: dict[bytes, tuple[int, int, int]] = {}
+        earliest: dict[bytes, tuple[bytes, int]] = {}
         remembered = 0
         for batch in batches:
             names = batch.schema.names
-            at_, text_, digest_, texts_, repeated_, hot_ = (
-                batch.column(names.index(n)) for n in ("_at", "_text", "_digest", "_texts", "_repeated", "_hot")
+            key_, text_, copy_, doc_, repeated_, hot_ = (
+                batch.column(names.index(n)) for n in ("_key", "_text", "_copy", "_doc", "_repeated", "_hot")
             )
             rows = []
             for n in range(batch.num_rows):
                 repeated = repeated_[n].as_py()
-                if not repeated:
-                    continue
-                at, texts = at_[n].as_py(), texts_[n].as_py()
-                which = next(k for k, t in enumerate(texts) if t["digest"] == digest_[n].as_py())
-                if texts[which]["first"] != at:
+                if not repeated or copy_[n].as_py():
                     continue
+                key = key_[n].as_py()
                 data = text_[n].as_py().encode()
                 values = unit.values(data)
                 hashes, first, last = unit.anchors(values)
@@ -150,14 +149,14 @@ def _sent(unit: Unit):
                         wanted.append((group, start, end))
                 known = []
                 for group, start, end in wanted:
-                    content, here = stretch(start, end), (at, which, start)
+                    content, here = stretch(start, end), (key, start)
                     if earliest.setdefault(content, here) < here:
                         known.append((start, end))
                         continue
                     earliest[content] = here
                     remembered += len(content)
                     rows.append((group, *here, end, content))
-                rows += [(at, at, which, start, end, None) for start, end in merged(known)]
+                rows += [(doc_[n].as_py(), key, start, end, None) for start, end in merged(known)]
                 if remembered >= REMEMBERED:
                     earliest.clear()
                     remembered = 0
@@ -170,19 +169,23 @@ def _sent(unit: Unit):
 
 
 def _examined(finder: Finder):
-    """Ranges to cut, from stretches sorted by group and document order."""
-    shape = "_at bigint, _which int, _first bigint, _end bigint"
+    """Ranges to cut, from stretches sorted by group and document order.
+
+    All windows of a stretch hold its anchor, each at another place, so no two of them are equal:
+    a group with a single distinct stretch has nothing for the finder.
+    """
+    shape = "_key binary, _first bigint, _end bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         groups: list[int] = []
-        whose: list[tuple[int, int, int]] = []
+        whose: list[tuple[bytes, int]] = []
         size = 0
 
         def examine() -> pa.RecordBatch:
             found = [
-                (at, which, start + first, start + end)
-                for (at, which, start), cuts in zip(whose, finder(held, groups), strict=True)
+                (key, start + first, start + end)
+                for (key, start), cuts in zip(whose, finder(held, groups), strict=True)
                 for first, end in cuts
             ]
             held.clear()
@@ -192,31 +195,33 @@ def _examined(finder: Finder):
 
         rows = (row for batch in batches for row in rows_of(batch))
         for number, (_, members) in enumerate(groupby(rows, key=lambda row: row[0])):
-            seen: set[bytes] = set()
+            seen: dict[bytes, tuple[bytes, int]] = {}
             waiting: list[tuple] = []
             before = None
-            for _, at, which, start, end, content in members:
-                if content is not None and (at, which, start) == before:
+            for _, key, start, end, content in members:
+                if (key, start, end, content is None) == before:
                     continue
-                before = (at, which, start)
-                if content is None or content in seen:
-                    # All its windows start earlier, where the first such stretch stands.
-                    waiting.append((at, which, start, end))
-                    if len(waiting) >= 10_000:
-                        yield batch_of(waiting, shape)
-                        waiting = []
+                before = (key, start, end, content is None)
+                if content is not None and content not in seen:
+                    seen[content] = (key, start)
                     continue
-                seen.add(content)
-                held.append(content)
-                groups.append(number)
-                whose.append((at, which, start))
-                size += len(content)
+                # All its windows start earlier, where the first such stretch stands.
+                waiting.append((key, start, end))
+                if len(waiting) >= 10_000:
+                    yield batch_of(waiting, shape)
+                    waiting = []
             if waiting:
                 yield batch_of(waiting, shape)
+            if len(seen) > 1:
+                held += seen
+                groups += [number] * len(seen)
+                whose += seen.values()
+                size += sum(map(len, seen))
             if size >= EXAMINED:
                 yield examine()
                 size = 0
-        yield examine()
+        if held:
+            yield examine()
 
     return run, shape
 
@@ -224,64 +229,56 @@ def _examined(finder: Finder):
 def cut_repeats(documents: DataFrame, text: str, unit: Unit, finder: Finder, cut, extra: str) -> DataFrame:
     """The rows with more columns that `cut` makes of each text and the ranges to cut from it."""
     columns = documents.columns
+    number = F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    order = F.coalesce(F.concat(F.lit("01"), F.lpad(F.hex(number), 16, "0")), F.lit("0" * 18))
     prepared = documents.select(
-        F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("_at"),
+        F.unhex(F.concat(order, F.md5(whole_text(text).cast("binary")))).alias("_key"),
         whole_text(text).alias("_text"),
-        F.md5(whole_text(text).cast("binary")).alias("_digest"),
         F.struct(*[F.col(c) for c in columns if c != text], F.lit(0).alias("_any")).alias("_row"),
     )
+    # A hash of the key is enough here: documents that shared one would also look at each
+    # other's anchors, of which none is theirs.
     emit, shape = _counted(unit)
-    found = prepared.select("_at", "_text").mapInArrow(emit, shape)
+    found = prepared.select(F.xxhash64("_key").alias("_doc"), "_text").mapInArrow(emit, shape)
     counts = found.groupBy("_anchor").agg(F.sum("_times").alias("_total")).where("_total > 1")
     repeated = (
-        found.select("_anchor", "_at")
+        found.select("_anchor", "_doc")
         .join(counts, "_anchor")
-        .groupBy("_at")
+        .groupBy("_doc")
         .agg(
             F.collect_set("_anchor").alias("_repeated"),
             F.collect_set(F.when(F.col("_total") > HOT, F.col("_anchor"))).alias("_hot"),
         )
     )
-    keys = prepared.select("_at", "_digest").distinct()
-    first = keys.groupBy("_digest").agg(F.min("_at").alias("_first"))
-    texts = (
-        keys.join(first, "_digest")
-        .groupBy("_at")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.col("_digest").alias("digest"), F.col("_first").alias("first")))
-            ).alias("_texts")
-        )
-    )
-    known = stored(texts.join(repeated, "_at", "left"), "passage-anchors")
+    digest = F.substring("_key", DIGEST_AT, DIGEST_BYTES).alias("_digest")
+    keys = prepared.select("_key").distinct().select("_key", digest, F.xxhash64("_key").alias("_doc"))
+    first = keys.groupBy("_digest").agg(F.min("_key").alias("_first"))
+    copies = keys.join(first, "_digest").select("_key", "_doc", (F.col("_key") != F.col("_first")).alias("_copy"))
+    known = stored(copies.join(repeated, "_doc", "left"), "passage-anchors")
     # Dealt once; both uses below take the same columns of it, so that Spark reuses the exchange.
-    dealt = prepared.repartition("_at")
+    dealt = prepared.repartition("_key")
     emit, shape = _sent(unit)
-    sent = dealt.join(known, "_at").mapInArrow(emit, shape)
+    sent = dealt.join(known, "_key").mapInArrow(emit, shape)
     emit, shape = _examined(finder)
     ranges = (
         sent.repartition("_group")
-        .sortWithinPartitions("_group", "_at", "_which", "_start")
+        .sortWithinPartitions("_group", "_key", "_start", "_end")
         .mapInArrow(emit, shape)
-        .groupBy("_at")
-        .agg(F.collect_list(F.struct("_which", "_first", "_end")).alias("_ranges"))
+        .groupBy("_key")
+        .agg(F.collect_set(F.struct("_first", "_end")).alias("_ranges"))
     )
-    whole = dealt.join(known.select("_at", "_texts"), "_at").join(ranges, "_at", "left")
+    whole = dealt.join(known.select("_key", "_copy"), "_key").join(ranges, "_key", "left")
     added = T._parse_datatype_string(extra)
     schema = T.StructType([prepared.schema["_row"], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            at_, text_, digest_, texts_, ranges_ = (
-                batch.column(names.index(n)) for n in ("_at", "_text", "_digest", "_texts", "_ranges")
-            )
+            text_, copy_, ranges_ = (batch.column(names.index(n)) for n in ("_text", "_copy", "_ranges"))
             made = []
             for n in range(batch.num_rows):
-                digest, texts = digest_[n].as_py(), texts_[n].as_py()
-                which = next(k for k, t in enumerate(texts) if t["digest"] == digest)
-                own = [(r["_first"], r["_end"]) for r in ranges_[n].as_py() or () if r["_which"] == which]
-                made.append(cut(text_[n].as_py(), merged(own), texts[which]["first"] != at_[n].as_py()))
+                own = [(r["_first"], r["_end"]) for r in ranges_[n].as_py() or ()]
+                made.append(cut(text_[n].as_py(), merged(own), copy_[n].as_py()))
             sides = list(zip(*made, strict=True)) if made else [()] * len(added.fields)
             arrays = [pa.array(side) for side in sides]
             yield pa.RecordBatch.from_arrays(

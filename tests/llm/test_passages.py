@@ -84,6 +84,44 @@ def test_repeated_rows_are_one_document(spark):
     assert both[0] == both[1] and both in ([(60, 0), (60, 0), (61, 60)], [(60, 60), (60, 60), (61, 0)])
 
 
+def test_null_is_no_number(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    given = [(-(1 << 63), text), (None, text), ((1 << 63) - 1, text), (0, text)]
+    frame = spark.createDataFrame(given, SCHEMA)
+    for found in (phrases.without_repeated_phrases(frame), substrings.without_repeated_strings(frame)):
+        assert {r["doc_id"] for r in found.collect() if r["n_removed"]} == {-(1 << 63), 0, (1 << 63) - 1}
+    # Negative numbers come before others: the phrase stays where it stands first.
+    given = [(5, "a " + text), (-5, "b " + text), (-6, "c d e")]
+    found = phrases.without_repeated_phrases(spark.createDataFrame(given, SCHEMA)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in found} == {5: 60, -5: 0, -6: 0}
+
+
+@pytest.mark.parametrize("doc_id", ["NULL", "7"])
+def test_many_texts_share_an_id(spark, doc_id):
+    """Texts of one id are documents of their own, in the order of their digests."""
+    phrase = " ".join(f"p{i}" for i in range(20))
+    given = [(n, f"a{n} b{n} {phrase} c{n}" if n % 3 else f"short {n}") for n in range(900)]
+    frame = spark.createDataFrame(given, SCHEMA).selectExpr(f"CAST({doc_id} AS bigint) AS doc_id", "text", "doc_id AS n")
+    removed = {r["n"]: r["n_removed"] for r in phrases.without_repeated_phrases(frame).collect()}
+    first = min((n for n, _ in given if n % 3), key=lambda n: hashlib.md5(given[n][1].encode()).digest())
+    assert removed == {n: 20 if n % 3 and n != first else 0 for n, _ in given}
+
+
+def test_single_stretches_are_not_examined(spark, monkeypatch):
+    """Stretches that are all alike are cut without the finder; others reach it."""
+    seen = []
+
+    def finder(stretches, groups):
+        seen.append((list(stretches), list(groups)))
+        return [[] for _ in stretches]
+
+    run, _ = passages._examined(finder)
+    rows = [(1, b"k1", 0, 3, b"abc"), (1, b"k2", 4, 7, b"abc"), (2, b"k1", 0, 2, b"ab"), (2, b"k2", 1, 3, b"ba")]
+    shape = "_group bigint, _key binary, _start bigint, _end bigint, _content binary"
+    found = [r for b in run(iter([passages.batch_of(rows, shape)])) for r in passages.rows_of(b)]
+    assert found == [(b"k2", 4, 7)] and seen == [([b"ab", b"ba"], [1, 1])]
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert phrases.without_repeated_phrases(empty).count() == 0
