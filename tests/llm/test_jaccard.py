@@ -15,12 +15,12 @@ SCHEMA = "doc_id bigint, text string"
 CAPITALS = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
-def brute(rows):
+def brute(rows, shingle=4, hundredths=85):
     sets = {}
     for doc_id, text in rows:
         words = WORD.findall((text or "").translate(CAPITALS))
-        whole = {tuple(words)} if 0 < len(words) < 4 else set()
-        sets[doc_id] = whole or {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+        whole = {tuple(words)} if 0 < len(words) < shingle else set()
+        sets[doc_id] = whole or {tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1)}
     up = {d: d for d in sets}
 
     def root(d):
@@ -35,7 +35,7 @@ def brute(rows):
             shared.update(holders[shingle])
             holders[shingle].append(doc_id)
         for other, both in shared.items():
-            if 100 * both >= 85 * (len(sets[doc_id]) + len(sets[other]) - both):
+            if 100 * both >= hundredths * (len(sets[doc_id]) + len(sets[other]) - both):
                 a, b = root(doc_id), root(other)
                 up[max(a, b)] = min(a, b)
     return {d: (len(s), root(d)) for d, s in sets.items()}
@@ -172,7 +172,7 @@ def test_similar_sets_share_a_cell():
             gained = int(pick.integers(0, size // 5 + 1))
             other = np.unique(np.concatenate([one[pick.permutation(len(one))[lost:]], pick.integers(0, 2**63, gained, np.uint64)]))
             both = len(np.intersect1d(one, other))
-            if 100 * both >= 85 * (len(one) + len(other) - both):
+            if 100 * both >= hundredths * (len(one) + len(other) - both):
                 assert len(np.intersect1d(jaccard.cells(one), jaccard.cells(other)))
 
 

@@ -29,7 +29,7 @@ def test_stages(spark):
     measures = quality.measured(docs.select("doc_id", "text"))
     verdicts = quality.judged(measures, quality.fit(measures)).where("_quality_kept").collect()
     assert {r["doc_id"] for r in good} == {r["doc_id"] for r in verdicts}
-    groups = brute([(r["doc_id"], r["text"]) for r in good])
+    groups = brute([(r["doc_id"], r["text"]) for r in good], corpus_pipeline.SHINGLE, corpus_pipeline.HUNDREDTHS)
     assert sorted(r["doc_id"] for r in single) == sorted({top for _, top in groups.values()})
     kept = sequences([(r["doc_id"], r["text"]) for r in single])
     assert len(cut) == len(single)
