@@ -239,7 +239,8 @@ def cut_repeats(documents: DataFrame, text: str, unit: Unit, finder: Finder, cut
     # A hash of the key is enough here: documents that shared one would also look at each
     # other's anchors, of which none is theirs.
     emit, shape = _counted(unit)
-    found = prepared.select(F.xxhash64("_key").alias("_doc"), "_text").mapInArrow(emit, shape)
+    # Stored, as they are read for the counts and again to tell each text's repeated ones.
+    found = stored(prepared.select(F.xxhash64("_key").alias("_doc"), "_text").mapInArrow(emit, shape), "passage-found")
     counts = found.groupBy("_anchor").agg(F.sum("_times").alias("_total")).where("_total > 1")
     repeated = (
         found.select("_anchor", "_doc")

@@ -29,11 +29,13 @@ SPAN = 20
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes, sorted by at least their first `depth` symbols.
 
-    The first symbols are compared as one number; from then on the order of what follows
-    doubles the length that is told apart, among those suffixes only that are still alike.
-    Behind the end stand zeros.
+    The first symbols are compared as one number; from then on the order of what follows, once
+    or twice as far on, doubles or triples the length that is told apart, among those suffixes
+    only that are still alike.  Behind the end stand zeros.
     """
     many = len(symbols)
+    # As many places in one key as 63 bits hold.
+    further = 2 if (many + 1) ** 3 < 1 << 63 else 1
     bits = max(1, int(symbols.max(initial=0)).bit_length())
     known = 63 // bits
     numbers = np.zeros(many, np.int64)
@@ -52,12 +54,14 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         if known >= depth or not len(slots):
             return order
         members = order[slots]
-        behind = members + known
-        after = np.where(behind < many, rank[np.minimum(behind, many - 1)] + 1, 0)
-        keys = rank[members] * (many + 1) + after
+        keys = rank[members]
+        for step in range(1, further + 1):
+            behind = members + step * known
+            after = np.where(behind < many, rank[np.minimum(behind, many - 1)] + 1, 0)
+            keys = keys * (many + 1) + after
         turn = np.argsort(keys)
         order[slots], keys = members[turn], keys[turn]
-        known *= 2
+        known *= further + 1
 
 
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
