@@ -56,6 +56,7 @@ CELLS_FROM = 128
 BLOCK = 1024
 TOKEN_BYTES = 5
 MEASURED = "_id bigint, _at bigint, _size bigint, _digest string"
+CELL_ROWS = "_cell bigint, _at bigint"
 SETS = "_at bigint, _size bigint, _set binary, _point binary"
 # A round of representatives is followed by another one if it has joined one of so many.
 WORTH = 4
@@ -150,6 +151,25 @@ def _emitted(shingle: int, hundredths: int):
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by cell, those whose cell another row has too; a batch is held at a time."""
+    cells_, owners, beside = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    for batch in batches:
+        # The last row of the batch before waits here for the one that follows it.
+        cells_ = np.concatenate([cells_, batch.column(0).to_numpy()])
+        owners = np.concatenate([owners, batch.column(1).to_numpy()])
+        if not len(cells_):
+            continue
+        same = cells_[1:] == cells_[:-1]
+        first = beside if len(beside) else np.zeros(1, bool)
+        before, after = np.concatenate([first, same]), np.append(same, False)
+        kept = np.flatnonzero((before | after)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(cells_[kept]), pa.array(owners[kept])], names=["_cell", "_at"])
+        cells_, owners, beside = cells_[-1:], owners[-1:], before[-1:]
+    if len(beside) and beside[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(cells_), pa.array(owners)], names=["_cell", "_at"])
+
+
 def _packed_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,10 +270,10 @@ def _rooted(documents: DataFrame, text: str, shingle: int, hundredths: int) -> D
     same = stored(some.join(classes, "_digest").select("_at", "_label"), "join-classes")
     leaders = same.where("_at = _label").select("_at")
 
-    # Read twice, so that texts are hashed once.
-    emitted = stored(texts.mapInArrow(_emitted(shingle, hundredths), "_cell bigint, _at bigint"), "join-cells")
-    repeated = emitted.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_cell")
-    met = emitted.join(repeated, "_cell").join(leaders, "_at", "left_semi").distinct()
+    # Most cells occur once.  They move once, in order, and only those beside an equal one go on.
+    emitted = texts.mapInArrow(_emitted(shingle, hundredths), CELL_ROWS)
+    repeated = emitted.repartition("_cell").sortWithinPartitions("_cell").mapInArrow(_repeated, CELL_ROWS)
+    met = stored(repeated.join(leaders, "_at", "left_semi").distinct(), "join-met")
     many = met.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
     members = stored(met.join(many, "_cell").select("_cell", "_at", "_rows"), "join-members")
 

@@ -210,8 +210,8 @@ def judged(measures: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(documents: DataFrame, text: str = "text") -> DataFrame:
     """The rows that are kept, as they came.  Texts are measured once: the rows are stored with
-    their figures, of which the fit reads nothing else."""
-    measures = stored(measured(documents, text), "quality-rows")
+    their figures, of which the fit reads nothing else, and packed tightly, as they hold the texts."""
+    measures = stored(measured(documents, text), "quality-rows", compression="zstd")
     return judged(measures, fit(measures)).where("_quality_kept").select(*documents.columns)
 
 

@@ -19,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
+def stored(frame: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: a cut in the lineage that
-    survives lost executors."""
+    survives lost executors.  Without a compression the session's is used."""
     path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

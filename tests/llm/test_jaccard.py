@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from cvegrid.llm import counttree, jaccard
+from cvegrid.llm.shared import batch_of, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string"
@@ -163,7 +164,8 @@ def test_empty(spark):
     assert jaccard.component_of(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
 
 
-def test_similar_sets_share_a_cell():
+@pytest.mark.parametrize("hundredths", [85, 80])
+def test_similar_sets_share_a_cell(hundredths):
     pick = np.random.default_rng(1)
     for size in [*range(1, 40), 63, 64, 100, 220, 255, 256, 300, 511, 512, 700, 1100, 5000]:
         for _ in range(20):
@@ -173,7 +175,7 @@ def test_similar_sets_share_a_cell():
             other = np.unique(np.concatenate([one[pick.permutation(len(one))[lost:]], pick.integers(0, 2**63, gained, np.uint64)]))
             both = len(np.intersect1d(one, other))
             if 100 * both >= hundredths * (len(one) + len(other) - both):
-                assert len(np.intersect1d(jaccard.cells(one), jaccard.cells(other)))
+                assert len(np.intersect1d(jaccard.cells(one, hundredths), jaccard.cells(other, hundredths)))
 
 
 def test_tree():
@@ -191,3 +193,16 @@ def test_tree():
 def test_packing():
     tokens = np.array([0, 1 << 24, (1 << 64) - 1], np.uint64)
     assert jaccard.unpacked(jaccard.packed(tokens)).tolist() == [0, 1, (1 << 40) - 1]
+
+
+def test_repeated_cells_across_batches():
+    """Rows whose cell occurs once go, wherever batches begin, empty batches included."""
+    pick = random.Random(7)
+    for _ in range(200):
+        cells = sorted(pick.randrange(12) for _ in range(pick.randrange(20)))
+        rows = [(cell, owner) for owner, cell in enumerate(cells)]
+        cuts = sorted(pick.randrange(len(rows) + 1) for _ in range(pick.randrange(5)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        found = jaccard._repeated(batch_of(part, jaccard.CELL_ROWS) for part in parts)
+        often = Counter(cells)
+        assert [row for batch in found for row in rows_of(batch)] == [r for r in rows if often[r[0]] > 1]
