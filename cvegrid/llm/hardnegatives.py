@@ -173,7 +173,8 @@ def _meet(rows: DataFrame, anchors: DataFrame, row_blocks: int, anchor_blocks: i
     """`search` over every block of anchors with every block of rows."""
 
     def dealt(frame: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        return frame.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn(
+        # Of one type on both sides: an int and a bigint of the same value go to different partitions.
+        return frame.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
         )
 

@@ -55,6 +55,18 @@ def test_random_rows(spark, together):
     assert found == sorted(brute(rows)) and len(found) > 50
 
 
+def test_blocks_meet_whatever_their_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(n), rng.normal(0, 0.2, 6).tolist(), int(n) % 3) for n in range(300)]
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        assert mined(spark, rows, rows_together=37, anchors_together=3) == sorted(brute(rows))
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_left_out_rows_and_large_components(spark):
     rows = [(0, [1.0, 2.0], 1), (1, [1.0, 2.0], 2), (2, [1.0, 1.0], 3), (3, None, 2), (4, [1.0, None], 2)]
     rows += [(5, [math.nan, 1.0], 2), (6, [math.inf, 1.0], 2), (None, [1.0, 2.0], 2), (8, [1.0, 2.0], None)]
