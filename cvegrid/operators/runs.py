@@ -21,13 +21,13 @@ def run_rows(runs: DataFrame) -> DataFrame:
     return runs.select(
         "run_at",
         run_status(F.col("results")).alias("status"),
-        F.round("elapsed", 2).cast("decimal(8,2)").alias("total_elapsed"),
+        F.round("elapsed", 2).cast(schemas.RUN_SECONDS).alias("total_elapsed"),
         "results",
     )
 
 
 def append_run_log(runs: DataFrame, path: str) -> None:
-    """Append finished runs to the history."""
+    """Append finished runs to the history; read with ``schemas.RUNS``, older files may hold narrower seconds."""
     run_rows(runs).write.mode("append").parquet(path)
 
 

@@ -31,7 +31,9 @@ EPSS = """
 CWE = "cwe_id string, name string, abstraction string, description string, url string"
 
 STEP = "struct<label:string,ok:boolean,elapsed:double,summary:string,metrics:map<string,bigint>,error:string>"
-RUNS = f"run_at timestamp, status string, total_elapsed decimal(8,2), results array<{STEP}>"
+# Seconds in cents: wide enough for a run of any length, which eight places are not.
+RUN_SECONDS = "decimal(22,2)"
+RUNS = f"run_at timestamp, status string, total_elapsed {RUN_SECONDS}, results array<{STEP}>"
 
 USAGE = "user_identifier string, query_date date, query_count bigint, input_tokens bigint, output_tokens bigint"
 

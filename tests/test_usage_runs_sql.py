@@ -9,10 +9,12 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from cvegrid import schemas
 from cvegrid.functions.text import format_duration
 from cvegrid.operators import guarded, merge, metering, runs
 
 TODAY = datetime.date(2026, 8, 1)
+NOON = datetime.datetime(2026, 8, 1, 12)
 USAGE = "user_identifier string, query_date date, query_count bigint, input_tokens bigint, output_tokens bigint"
 
 
@@ -71,6 +73,16 @@ def step(label, ok=True, error=None):
     return (label, ok, 61.5, f"Loaded {label}" if ok else "", {"loaded": 3}, error)
 
 
+def test_long_runs_keep_their_seconds(spark, tmp_path):
+    """A run of more seconds than eight places hold, beside a history stored with those."""
+    path = str(tmp_path / "runs")
+    made = spark.createDataFrame([(NOON, 12_345_678.914, [step("a")])], f"run_at timestamp, elapsed double, results array<{schemas.STEP}>")
+    runs.run_rows(made).withColumn("total_elapsed", F.lit(1.25).cast("decimal(8,2)")).write.parquet(path)
+    runs.append_run_log(made, path)
+    history = spark.read.schema(schemas.RUNS).parquet(path)
+    assert sorted(r.total_elapsed for r in runs.recent_runs(history).collect()) == [D("1.25"), D("12345678.91")]
+
+
 def test_run_history(spark, tmp_path):
     schema = f"run_at timestamp, elapsed double, results array<{__import__('cvegrid.schemas', fromlist=['STEP']).STEP}>"
     moments = [datetime.datetime(2026, 8, n, 12) for n in (1, 2, 3)]
