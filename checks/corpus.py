@@ -13,6 +13,7 @@ The values are synthetic and say nothing about real CVEs.
 from __future__ import annotations
 
 import datetime
+import math
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 
 from cvegrid.catalog import Catalog
 
+# Rows of JSON that one task writes, so that its time stays bounded.
+ROWS_A_TASK = 50_000
+
 AS_OF = datetime.date(2001, 8, 1)
 PUBLICATION_DATES = ("2026-07-27", "2026-07-28")
 MODEL_VERSION = "v2026.06.15"
@@ -346,16 +350,34 @@ def cwe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unionByName(written).withColumn("url", F.expr(WEAKNESS_URL))
 
 
+def tasks_for(frame: DataFrame) -> int:
+    """As many tasks as there are cores, and more for many rows, so that none grows with the table."""
+    return max(frame.sparkSession.sparkContext.defaultParallelism, math.ceil(frame.count() / ROWS_A_TASK))
+
+
 def spread(frame: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores when the files are too few to occupy them."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+    """Rows dealt out to all cores when the files are too few to occupy them or hold too many rows."""
+    tasks = tasks_for(frame)
+    return frame.repartition(tasks) if frame.rdd.getNumPartitions() < tasks else frame
+
 
+# A lambda keeps the text out of whole-stage code, which would make one method of it, too long for
+# the JVM to compile; outside, Spark splits it.
+RAW_COLUMNS = [f"transform(array({raw_json()}), text -> text)[0] AS raw_json" if c.endswith(" AS raw_json") else c for c in raw_columns()]
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records as JSON text; writing and parsing them is most of the work of their queries."""
-    rows = spread(base(spark, sf_dir).where(IN_NVD))
-    return rows.selectExpr(*DETAIL).selectExpr(*MORE_DETAIL).selectExpr(*raw_columns())
+
+def raw(spark: SparkSession, sf_dir: str, paged: int | None = None) -> DataFrame:
+    """Records as JSON text; writing and parsing them is most of the work of their queries.
+
+    With ``paged`` the rows of a page, a block of so many keys, are in one task, and ``page`` is its
+    number: the keys move before the texts are made, which are many times longer.
+    """
+    keys = base(spark, sf_dir).where(IN_NVD)
+    if paged:
+        rows = keys.withColumn("page", F.floor(F.col("k") / paged).cast("bigint")).repartition(tasks_for(keys), "page")
+    else:
+        rows = spread(keys)
+    return rows.selectExpr(*DETAIL).selectExpr(*MORE_DETAIL).selectExpr(*RAW_COLUMNS, *(["page"] if paged else []))
 
 
 # The moments a record carries, on the clock it is written with.

@@ -18,8 +18,8 @@ MAX_REFERENCES = 10
 CONTENT_ITEMS = 5
 
 
-def parse_record(raw_json: Column) -> Column:
-    return F.from_json(raw_json, schemas.RECORD)
+def parse_record(raw_json: Column, schema: str = schemas.RECORD) -> Column:
+    return F.from_json(raw_json, schema)
 
 
 def _nested(rows: Column, field: str) -> Column:
@@ -82,9 +82,12 @@ def _factors(options: Column, version: Column) -> dict[str, Column]:
     }
 
 
-def ssvc_factors(record: Column) -> dict[str, Column]:
-    """Factors of the first SSVC block; a repeated key keeps its last value."""
-    return _factors(ssvc_options(record), _ssvc_data(record)["version"])
+def ssvc_factors(record: Column, options: Column | None = None) -> dict[str, Column]:
+    """Factors of the first SSVC block; a repeated key keeps its last value.
+
+    ``options`` is a column that holds ``ssvc_options``; without it each factor parses them anew.
+    """
+    return _factors(ssvc_options(record) if options is None else options, _ssvc_data(record)["version"])
 
 
 def extract_cwes(record: Column) -> Column:
@@ -231,14 +234,10 @@ def stored_row(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return vuln_row(records.withColumns(added), kept)
 
 
-# All that the backfill reads of a record.
-_SSVC_ONLY = "metrics struct<ssvcV203:array<struct<ssvcData:struct<version:string,options:array<string>>>>>"
-
-
 def ssvc_backfill(vulns: DataFrame) -> DataFrame:
     """Recompute the five SSVC columns from the stored JSON of rows that hold the block."""
     record = F.col("_record")
-    staged = vulns.withColumn("_record", F.from_json("raw_json", _SSVC_ONLY)).withColumns(
+    staged = vulns.withColumn("_record", F.from_json("raw_json", schemas.SSVC_RECORD)).withColumns(
         {
             "_held": record["metrics"]["ssvcV203"].isNotNull(),
             "_options": ssvc_options(record),

@@ -48,6 +48,9 @@ KEV_FEED = f"vulnerabilities array<{KEV_ENTRY}>"
 # A page keeps each record as text, so the stored JSON is the text that arrived.
 NVD_PAGE = "vulnerabilities array<struct<cve:string>>"
 
+# All that the SSVC factors need of a record.
+SSVC_RECORD = "metrics struct<ssvcV203:array<struct<ssvcData:struct<version:string,options:array<string>>>>>"
+
 # ``options`` stays an array of JSON texts: one element that is not an object would
 # otherwise turn the whole list into NULL.  Scores stay text to print as written.
 RECORD = """
