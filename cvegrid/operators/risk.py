@@ -202,13 +202,15 @@ def score_ids(risk: DataFrame, ids: DataFrame) -> DataFrame:
     """Ranked entry per distinct requested id; unknown ids are reported, not dropped."""
     found = F.col("risk_score").isNotNull()
     entry = ids.select("cve_id").distinct().join(risk, "cve_id", "left")
-    return entry.select(
+    points = score_points(F.col("risk_score"))
+    # Sorting evaluates what is below it twice, once for its bounds, so the prose is written above it.
+    return entry.orderBy(points.desc_nulls_last(), "cve_id").select(
         "cve_id",
-        score_points(F.col("risk_score")).alias("score"),
+        points.alias("score"),
         F.when(found, risk_band(F.col("risk_score"))).alias("band"),
         *COMPONENTS,
         F.when(found, risk_rationale()).otherwise(UNKNOWN_NOTE).alias("rationale"),
-    ).orderBy(F.col("score").desc_nulls_last(), "cve_id")
+    )
 
 
 def score_id_list(spark: SparkSession, risk: DataFrame | Callable[[DataFrame], DataFrame], ids: list[str]) -> DataFrame:
