@@ -98,16 +98,32 @@ def _pairs(tree: CountTree, points: np.ndarray, hundredths: int, side: np.ndarra
         yield asked[keep], other[keep]
 
 
-def possible(points: np.ndarray, labels: list[int], hundredths: int, sides: list[int] | None = None) -> Components:
-    """Join the labels of all points whose sets may be similar enough."""
-    found = Components(labels)
+def _merged(least: np.ndarray, one: np.ndarray, other: np.ndarray) -> None:
+    """Join points in place; each names the least point of its cluster."""
+    while True:
+        a, b = least[one], least[other]
+        apart = a != b
+        if not apart.any():
+            return
+        one, other, a, b = one[apart], other[apart], a[apart], b[apart]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (least[least] != least).any():
+            least[:] = least[least]
+
+
+def possible(points: np.ndarray, labels: list[int], hundredths: int, sides: list[int] | None = None) -> np.ndarray:
+    """Of each point the least one of its cluster, -1 if it is in none.
+
+    Clusters are joined by pairs of different labels whose sets may be similar enough.
+    """
     side = None if sides is None else np.array(sides)
-    number = np.array(labels)
+    number, least, met = np.array(labels), np.arange(len(points)), np.zeros(len(points), bool)
     for asked, other in _pairs(CountTree(points), points, hundredths, side):
-        one, two = number[asked], number[other]
-        for a, b in set(zip(one[one != two].tolist(), two[one != two].tolist())):
-            found.join(a, b)
-    return found
+        apart = number[asked] != number[other]
+        one, two = asked[apart], other[apart]
+        met[one] = met[two] = True
+        _merged(least, one, two)
+    return np.where(met, least, -1)
 
 
 def linked(

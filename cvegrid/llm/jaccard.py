@@ -18,9 +18,11 @@ group is expanded into pairs:
 2. as long as groups hold several components and a round joins a good share of them, one document
    of each is compared in one group;
 3. what still shares a group without having met is compared wholly: first the count vectors of
-   each group, then finer ones of what that leaves, then the sets of what those leave, large
-   groups in blocks by size, each block only with those whose sizes allow the similarity.  Coarse
+   each group, large groups in blocks by size, each block only with those whose sizes allow the
+   similarity; then finer vectors of what that leaves, then the sets of what those leave.  Coarse
    vectors say little of sets that are many times larger than they have groups; the finer ones do.
+   What a step leaves of a group goes on as clusters of it, not as components over all groups,
+   which grow into one another; clusters whose first two sets are the same are one.
 
 Equal sets are one from the start.  Tokens are told apart by 64-bit hashes when counted and by
 their first 40 bits when a pair is compared.
@@ -58,6 +60,7 @@ TOKEN_BYTES = 5
 MEASURED = "_id bigint, _at bigint, _size bigint, _digest string"
 CELL_ROWS = "_cell bigint, _at bigint"
 SETS = "_at bigint, _size bigint, _set binary, _point binary"
+CLUSTERS = "_bunch bigint, _label bigint, _at bigint, _size bigint"
 # A round of representatives is followed by another one if it has joined one of so many.
 WORTH = 4
 # Groups of the count vectors that are compared before the sets of what the first ones leave.
@@ -183,25 +186,24 @@ def _packed_sets(shingle: int):
     return run
 
 
-def _joining(hundredths: int, exact: bool):
-    """Labels and what they become, from rows of group, label, side and set sorted by group.
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Columns of each group of several labels, from rows sorted by group; the label is the second."""
+    rows = (row for batch in batches for row in rows_of(batch))
+    for _, members in groupby(rows, key=lambda row: row[0]):
+        columns = list(zip(*members, strict=True))
+        if len(set(columns[1])) > 1:
+            yield columns
 
-    Without exact, rows hold points instead of sets, and all that the tree leaves is joined.
-    """
+
+def _joining(hundredths: int):
+    """Labels and what they become, from rows of group, label, side and set sorted by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in rows_of(batch))
         made: list[tuple[int, int]] = []
-        for _, members in groupby(rows, key=lambda row: row[0]):
-            _, labels, sides, held = zip(*members, strict=True)
-            if len(set(labels)) > 1:
-                compared = list(sides) if len(set(sides)) > 1 else None
-                if exact:
-                    found = linked([unpacked(h) for h in held], list(labels), hundredths, compared)
-                else:
-                    points = np.frombuffer(b"".join(held), "<i4").reshape(len(held), -1)
-                    found = possible(points, list(labels), hundredths, compared)
-                made += [(label, root) for label in found.up if (root := found.root(label)) != label]
+        for _, labels, sides, held in _groups(batches):
+            compared = list(sides) if len(set(sides)) > 1 else None
+            found = linked([unpacked(h) for h in held], list(labels), hundredths, compared)
+            made += [(label, root) for label in found.up if (root := found.root(label)) != label]
             if len(made) >= 10_000:
                 yield batch_of(made, "_label bigint, _root bigint")
                 made = []
@@ -210,13 +212,57 @@ def _joining(hundredths: int, exact: bool):
     return run
 
 
-def _compared(groups: DataFrame, hundredths: int, exact: bool = True) -> DataFrame:
+def _narrowing(hundredths: int):
+    """The clusters that points leave, from rows of group, label, side, text and point sorted by group.
+
+    Cells that the same sets share leave much the same clusters, so these go by their first two sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[list[np.ndarray]] = []
+        for _, labels, sides, ats, held in _groups(batches):
+            points = np.frombuffer(b"".join(held), "<i4").reshape(len(held), -1)
+            found = possible(points, list(labels), hundredths, list(sides) if len(set(sides)) > 1 else None)
+            at = np.array(ats)
+            order = np.lexsort((at, found))
+            order = order[found[order] >= 0]
+            if len(order):
+                first = np.flatnonzero(np.diff(found[order], prepend=-1))
+                pair = anchors.mixed(at[order][first].view(np.uint64)) + at[order][first + 1].view(np.uint64)
+                bunch = np.repeat(anchors.mixed(pair).view(np.int64), np.diff(first, append=len(order)))
+                made.append([bunch, np.array(labels)[order], at[order], points[order].sum(axis=1, dtype=np.int64)])
+            if len(made) >= 1000:
+                yield _clusters(made)
+                made = []
+        if made:
+            yield _clusters(made)
+
+    return run
+
+
+def _clusters(made: list[list[np.ndarray]]) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(side)) for side in zip(*made, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["_bunch", "_label", "_at", "_size"])
+
+
+def _compared(groups: DataFrame, hundredths: int) -> DataFrame:
     """(_label, _root) for labels that join others of their group; groups: _group, _label, _side, _set."""
     return (
-        groups.select("_group", "_label", "_side", "_set" if exact else "_point")
+        groups.select("_group", "_label", "_side", "_set")
+        .repartition("_group")
+        .sortWithinPartitions("_group", "_label")
+        .mapInArrow(_joining(hundredths), "_label bigint, _root bigint")
+    )
+
+
+def _narrowed(groups: DataFrame, hundredths: int) -> DataFrame:
+    """Bunches of what may be similar in each group by its points; groups: _group, _label, _side, _at, _point."""
+    return (
+        groups.select("_group", "_label", "_side", "_at", "_point")
         .repartition("_group")
         .sortWithinPartitions("_group", "_label")
-        .mapInArrow(_joining(hundredths, exact), "_label bigint, _root bigint")
+        .mapInArrow(_narrowing(hundredths), CLUSTERS)
+        .distinct()
     )
 
 
@@ -279,11 +325,14 @@ def _rooted(documents: DataFrame, text: str, shingle: int, hundredths: int, scra
     emitted = texts.mapInArrow(_emitted(shingle, hundredths), CELL_ROWS)
     repeated = emitted.repartition("_cell").sortWithinPartitions("_cell").mapInArrow(_repeated, CELL_ROWS)
     met = scratch.stored(repeated.join(leaders, "_at", "left_semi").distinct(), "join-met")
-    many = met.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    members = scratch.stored(met.join(many, "_cell").select("_cell", "_at", "_rows"), "join-members")
+    many = met.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"), F.bit_xor(F.xxhash64("_at")).alias("_who"))
+    # Cells that hold the same texts bring together the same pairs: one of them stands for all.
+    many = many.where("_rows > 1").groupBy("_rows", "_who").agg(F.min("_cell").alias("_cell"), F.count(F.lit(1)).alias("_times"))
+    members = scratch.stored(met.join(many, "_cell").select("_cell", "_at", "_rows", "_times"), "join-members")
     scratch.drop(met)
 
-    homes = members.groupBy("_at").agg(F.min(F.struct("_cell", "_rows")).alias("_home"))
+    # At home in the cell that stands for the most.
+    homes = members.groupBy("_at").agg(F.min(F.struct(-F.col("_times"), "_cell", "_rows")).alias("_home"))
     homes = homes.select("_at", "_home.*").withColumn("_block", F.pmod(F.xxhash64("_at"), F.ceil(F.col("_rows") / BLOCK)))
     # Copies of a text are made one in the tasks that read them.
     each = texts.groupBy("_at").agg(F.first("_text").alias("_text"))
@@ -378,31 +427,23 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole(left: DataFrame, sets: DataFrame, hundredths: int, scratch: Scratch) -> DataFrame:
     """(_label, _root) of all that shares an open cell.
 
-    Points are compared within each cell; what the tree leaves, and what that is joined to, is
-    compared by finer points, and what those leave token by token.  Each step drops what the later
-    ones don't read, of left and sets too.
+    Points are compared within each cell; the clusters that the tree leaves of it are compared by
+    finer points, and those that these leave token by token.  Each step drops what the later ones
+    don't read, of left and sets too.
     """
     sized = left.select("_cell", "_at", "_label").join(sets.select("_at", "_size"), "_at")
     dealt = _blocks(sized.withColumnRenamed("_cell", "_bunch"), hundredths)
-    points = dealt.join(sets.select("_at", "_point"), "_at")
-    maybe = scratch.stored(_compared(points, hundredths, exact=False).distinct(), "join-maybe")
+    maybe = scratch.stored(_narrowed(dealt.join(sets.select("_at", "_point"), "_at"), hundredths), "join-maybe")
+    nothing = maybe.select("_label", F.col("_label").alias("_root")).where("false")
     if maybe.isEmpty():
-        return maybe
-    members = sized.select("_at", "_label", "_size").distinct()
-    open_ = scratch.stored(members.join(components(maybe, scratch).withColumnRenamed("_root", "_bunch"), "_label"), "join-open")
+        return nothing
     # The sets of what is open, once each.
-    held = scratch.stored(sets.select("_at", "_set").join(open_.select("_at").distinct(), "_at", "left_semi"), "join-held")
-    scratch.drop(left, sets, maybe)
+    held = scratch.stored(sets.select("_at", "_set").join(maybe.select("_at").distinct(), "_at", "left_semi"), "join-held")
+    scratch.drop(left, sets)
     finer = scratch.stored(held.mapInArrow(_finer, "_at bigint, _point binary"), "join-finer")
-    still = scratch.stored(
-        _compared(_blocks(open_, hundredths).join(finer, "_at"), hundredths, exact=False).distinct(), "join-maybe"
-    )
-    if still.isEmpty():
-        return still
-    scratch.drop(finer)
-    bunches = components(still, scratch).withColumnRenamed("_root", "_bunch")
-    last = open_.drop("_bunch").join(bunches, "_label")
-    return _compared(_blocks(last, hundredths).join(held, "_at"), hundredths)
+    still = scratch.stored(_narrowed(_blocks(maybe, hundredths).join(finer, "_at"), hundredths), "join-still")
+    scratch.drop(maybe, finer)
+    return nothing if still.isEmpty() else _compared(_blocks(still, hundredths).join(held, "_at"), hundredths)
 
 
 def _blocks(members: DataFrame, hundredths: int) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -206,3 +207,59 @@ def test_repeated_cells_across_batches():
         found = jaccard._repeated(batch_of(part, jaccard.CELL_ROWS) for part in parts)
         often = Counter(cells)
         assert [row for batch in found for row in rows_of(batch)] == [r for r in rows if often[r[0]] > 1]
+
+
+def test_clusters_stay_within_their_group():
+    """What one group leaves doesn't grow together with what another one leaves through a set that both have."""
+    pick = np.random.default_rng(4)
+    points = [pick.integers(20, 30, counttree.GROUPS).astype("<i4") for _ in range(3)]
+    near = [[points[0], points[0] + 1], [points[0] + 1, points[0] + 2], [points[0], 9 * points[1]], [points[2], points[2]]]
+    # Of group, label, side and text; the last group has one label.
+    who = [[(1, 11, 0, 1), (1, 12, 0, 2)], [(2, 12, 0, 2), (2, 13, 0, 3)], [(3, 11, 0, 1), (3, 14, 0, 4)], [(4, 15, 0, 5), (4, 15, 0, 6)]]
+    rows = [(*one, point.astype("<i4").tobytes()) for group, found in zip(who, near, strict=True) for one, point in zip(group, found, strict=True)]
+    columns = [pa.array(side) for side in zip(*rows, strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["_group", "_label", "_side", "_at", "_point"])
+    bunches = defaultdict(set)
+    for made in jaccard._narrowing(85)([batch]):
+        for bunch, label, at, size in rows_of(made):
+            assert size > 0 and label == at + 10
+            bunches[bunch].add(at)
+    assert sorted(map(sorted, bunches.values())) == [[1, 2], [2, 3]]
+
+
+def test_possible_clusters():
+    pick = np.random.default_rng(8)
+    points = pick.integers(0, 4, (300, counttree.GROUPS)).astype(np.int32)
+    for start in (100, 200):
+        points[start : start + 50] = points[start] + (pick.random((50, counttree.GROUPS)) < 0.05)
+    labels = pick.integers(0, 200, 300).tolist()
+    found = counttree.possible(points, labels, 85)
+    shared, sizes = np.minimum(points[:, None], points[None]).sum(-1), points.sum(1)
+    near = 185 * shared >= 85 * (sizes[:, None] + sizes[None])
+    near &= np.array(labels)[:, None] != np.array(labels)[None]
+    least = np.arange(300)
+    for _ in range(300):
+        least = np.minimum(least, np.where(near, least[None], 300).min(1))
+    assert found.tolist() == np.where(near.any(1), least, -1).tolist()
+
+
+def kept_rows(monkeypatch):
+    """Rows of all that the join stores, by name."""
+    rows, old = Counter(), jaccard.Scratch.stored
+
+    def stored(self, frame, name):
+        found = old(self, frame, name)
+        rows[name] += found.count()
+        return found
+
+    monkeypatch.setattr(jaccard.Scratch, "stored", stored)
+    return rows
+
+
+def test_cells_of_the_same_texts_count_once(spark, monkeypatch):
+    rows = kept_rows(monkeypatch)
+    words = [f"w{i}" for i in range(600)]
+    other = [f"x{i}" if i % 300 == 7 else word for i, word in enumerate(words)]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "else")], SCHEMA)
+    assert {r["_at"]: r["_label"] for r in jaccard.component_of(frame).collect()} == {1: 1, 2: 1, 3: 3}
+    assert rows["join-members"] == 2
