@@ -263,3 +263,44 @@ def test_cells_of_the_same_texts_count_once(spark, monkeypatch):
     frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "else")], SCHEMA)
     assert {r["_at"]: r["_label"] for r in jaccard.component_of(frame).collect()} == {1: 1, 2: 1, 3: 3}
     assert rows["join-members"] == 2
+
+
+def test_common_tokens_bring_no_sets_together(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", (20, 40, 80))
+    counted = kept_rows(monkeypatch)
+    line = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, " ".join(f"v{i}-{k}" for k in range(60)) + " " + line) for i in range(100)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = {r["_at"]: (r["_size"], r["_label"]) for r in jaccard.component_of(frame).collect()}
+    assert found == brute(rows)
+    # The five pairs meet by their own words.
+    assert counted["join-sets"] == 10
+
+
+@pytest.mark.parametrize("hundredths", [85, 80])
+def test_similar_sets_share_a_cell_whatever_is_listed(hundredths):
+    pick = np.random.default_rng(9)
+    for size in [*range(1, 40, 3), 64, 100, 255, 256, 511, 700, 1100, 5000]:
+        for _ in range(20):
+            one = np.unique(pick.integers(0, 2**63, size, np.uint64) << np.uint64(1))
+            other = np.sort(one[pick.permutation(len(one))[: -(-hundredths * len(one) // 100)]])
+            listed = np.sort(one[pick.random(len(one)) < pick.random()])
+            common = listed, pick.integers(1, 4, len(listed)).astype(np.uint8)
+            mine, theirs = (jaccard.cells(tokens, hundredths, common) for tokens in (one, other))
+            assert len(np.intersect1d(mine, theirs))
+
+
+def test_tokens_are_counted_over_all_batches(monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNTED", 12)
+    texts = ["a b c d e", "a b c d f", "a b c d e", "g h i j k", "a b c d k", "x g h i j", "a b c d y", "a b c d z", "y a b c d"]
+    batches = [batch_of([(n, n, text)], "_id bigint, _at bigint, _text string") for n, text in enumerate(texts)]
+    found = [row for batch in jaccard._measured(4)(batches) for row in rows_of(batch)]
+    assert [row[:3] for row in found if row[4] is None] == [(n, n, 2) for n in range(len(texts))]
+    sums = Counter()
+    for row in found:
+        if row[4] is not None:
+            sums[row[4]] += row[5]
+    token = lambda text: int(jaccard.shingles(text).view(np.int64)[0])
+    # Of equal sets one counts; the last two are counted after the others.
+    assert sums == {token("a b c d"): 6, token("g h i j"): 2}
