@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cvegrid.operators import merge
 from cvegrid.operators.risk import RiskSnapshot
+from cvegrid.sources import keyed
 from cvegrid.sources.keyed import MARKER, KeyedStore
 
 SCHEMA = "cve_id string, note string, changed date, body string, embedding array<float>"
@@ -172,3 +173,34 @@ def test_snapshot_look_up_and_refresh(spark, risk, tmp_path):
     assert reader.count() == 1000 and snapshot.look_up(ids).count() == 0
     snapshot.refresh(risk.where("false"))
     assert snapshot.read().count() == snapshot.top(5).count() == snapshot.look_up(ids).count() == 0
+
+
+def test_large_batches_are_merged_by_portions(spark, tmp_path, monkeypatch):
+    """A query writes few parts at once, leaves no shuffle files, and the merge is as with one query."""
+    rows = [(f"CVE-{n}", f"note {n}", NEW, "{}", [float(n)]) for n in range(60)]
+    changed = [(f"CVE-{n}", "changed", NEW, None, None) for n in range(30, 90)] + [(None, "lost", NEW, None, None)]
+    held, written = {}, []
+    write = KeyedStore._write
+
+    def counted(self, number, family, frame):
+        write(self, number, family, frame)
+        written.append((family, frame.select(self.part_of(self.key)).distinct().count()))
+
+    monkeypatch.setattr(KeyedStore, "_write", counted)
+    for together in (1_000_000, 1):
+        monkeypatch.setattr(keyed, "ROWS_TOGETHER", together)
+        made = KeyedStore(spark, str(tmp_path / f"s{together}"), SCHEMA, FAMILIES, parts=4)
+        made.replace(spark.createDataFrame(rows, SCHEMA))
+        written.clear()
+        report = merge.merge_into(made, spark.createDataFrame(changed, SCHEMA))
+        assert (report.new, report.modified) == (30, 30)
+        assert sorted(written) == sorted((family, 4 if together > 1 else 1) for family in FAMILIES for _ in range(1 if together > 1 else 4))
+        held[together] = sorted(map(str, made.read().collect()))
+    assert held[1] == held[1_000_000] and len(held[1]) == 90
+
+
+def test_portions_hold_all_parts():
+    assert KeyedStore.portions([1, 3, 4], 10) == [[1, 3, 4]]
+    assert KeyedStore.portions([1, 3, 4], 2 * keyed.ROWS_TOGETHER) == [[1], [3], [4]]
+    assert KeyedStore.portions([1, 3, 4, 5, 6], 2 * keyed.ROWS_TOGETHER) == [[1, 3], [4, 5], [6]]
+    assert KeyedStore.portions([], 0) == []

@@ -173,3 +173,18 @@ def test_usage_is_folded_once(spark, tmp_path):
             assert [r.query_count for r in table.read().collect()] == [total]
     deltas.put(rows, 2)
     assert [r.query_count for r in usage.current_usage(table.read(), deltas).collect()] == [3]
+
+
+def test_folded_deltas_go(spark, tmp_path, store):
+    page(tmp_path, "1.json", record("CVE-1", "a"), record("CVE-2", "a"))
+    deltas = load(spark, tmp_path)
+    assert deltas.expire() == []  # nothing is folded yet
+    ingest.fold_vulns(store, deltas)
+    page(tmp_path, "2.json", record("CVE-2", "b"))
+    load(spark, tmp_path)
+    assert deltas.expire() == [0]
+    assert [r.cve_id for r in deltas.read().collect()] == ["CVE-2"]
+    ingest.fold_vulns(store, deltas)
+    store.expire(1)
+    assert deltas.expire() == [1] and deltas.read().count() == 0 and ingest.fold_vulns(store, deltas) is None
+    assert {r.cve_id: r.description for r in store.read().collect()} == {"CVE-1": "a", "CVE-2": "b"}
